@@ -1,12 +1,19 @@
 """The queries of the training-data operators, and their SQL where SQL can say what they return."""
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, langid, packing, pii, quality, rules, simhash
 
 QUERIES = {
+    "op2_pii": pii.query,
+    "op3_language_id": langid.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_quality_classifier": quality.query,
+    "op6_packing": packing.query,
+    "op7_byte_bpe": bpe.query,
     "op9_simhash": simhash.query,
+    "op10_quality_rules": rules.query,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op10_quality_rules": rules.SQL,
 }
