@@ -1,14 +1,16 @@
 """The queries of the training-data operators, and their SQL where SQL can say what they return."""
 
-from . import bpe, exact_dedup, langid, packing, pii, quality, rules, simhash
+from . import bpe, chat, exact_dedup, langid, packing, pii, quality, rules, simhash, substring
 
 QUERIES = {
+    "op1_chat_format": chat.query,
     "op2_pii": pii.query,
     "op3_language_id": langid.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_quality_classifier": quality.query,
     "op6_packing": packing.query,
     "op7_byte_bpe": bpe.query,
+    "op8_repeated_substrings": substring.query,
     "op9_simhash": simhash.query,
     "op10_quality_rules": rules.query,
 }
