@@ -3,7 +3,7 @@
 r(f) = log((alpha + p(f)) / |p|) - log((alpha + q(f)) / |q|), p and q the counts of feature f over rows of label 1 and 0. A text is the set of its features, each with value r(f);
 a hinge-loss machine is fitted to those by dual coordinate descent, class weights balanced, and a logistic curve turns its margin into a share.
 
-Features: words and word pairs, lower-cased or as written, and shapes that words are made of, so that text in words never seen still has features. Learnt from a bounded sample of labelled rows (SAMPLE of either label, those
+Features: words, pairs of words that are common in the sample, the shapes of words and their pairs, so that text of words never seen has features too, and how varied the words are. Learnt from a bounded sample of labelled rows (SAMPLE of either label, those
 with the smallest hash of their ids, whole texts). Scoring reads nothing but the text. Null texts count as empty; an empty text gets the score of its bias. With no labels, or one label only, every score is that label's share (0.5 without
 labels). Rows that repeat keep a row each; labels that repeat count once; an empty table gives an empty result.
 """
@@ -11,73 +11,84 @@ labels). Rows that repeat keep a row each; labels that repeat count once; an emp
 from __future__ import annotations
 
 import re
-from math import fsum
+from collections import Counter
 from itertools import pairwise
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, staged
 
-SAMPLE = 3000  # rows of either label; the bound of what is learnt from
+SAMPLE = 1500  # rows of either label; the bound of what is learnt from
 ALPHA = 1.0
-MIN_DF = 2
+MIN_DF = 3
+COMMON = 1500  # words whose pairs are features
 COST = 0.1
 EPOCHS = 30
 THRESHOLD = 0.3
-FEATURES = 300_000
+FEATURES = 100_000
 
 _RUN = re.compile(r"[^\W\d_]+")
-_SHAPE = str.maketrans({c: "9" for c in "0123456789"})
+_DIGIT = re.compile(r"[0-9]")
 
 
 def shape(w: str) -> str:
     """A word's case and the marks around its letters: Xx, XX, x, and 'x,' for a word with a comma."""
-    return _RUN.sub(lambda m: "XX" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0][0].isupper() else "x", w.translate(_SHAPE))
+    return _RUN.sub(lambda m: "XX" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0][0].isupper() else "x", _DIGIT.sub("9", w))[:24]
 
 
 class Grams:
-    """The features of texts; shapes of words are kept, as long as they are few."""
+    """The features of texts as strings; the shapes of words met are kept, up to a number."""
 
-    def __init__(self):
-        self.seen: dict[str, str] = {}
+    def __init__(self, common=frozenset()):
+        self.common, self.seen = common, {}
 
-    def __call__(self, text: str | None) -> set:
+    def __call__(self, text: str | None) -> set[str]:
         words = (text or "").split()
         if len(self.seen) > 200_000:
             self.seen.clear()
-        seen = self.seen
-        shapes = []
+        seen, shapes = self.seen, []
         for w in words:
-            if (s := seen.get(w)) is None:
-                s = seen[w] = shape(w)[:24]
+            s = seen.get(w)
+            if s is None:
+                s = seen[w] = shape(w)
             shapes.append(s)
-        pairs = set(pairwise(words))
-        out = set(words) | pairs | {("#", s) for s in set(shapes)} | {("##", *p) for p in set(pairwise(shapes))}
+        distinct = set(words)
+        out = set(distinct)
+        common = distinct & self.common
+        if common:
+            out.update([f"{a} {b}" for a, b in pairwise(words) if a in common and b in common])
+        out.update(["\t" + s for s in set(shapes)])
+        out.update([f"\t{a} {b}" for a, b in set(pairwise(shapes))])
         n = len(words)
-        out.add(("n", n.bit_length()))
+        out.add(f"\nn {n.bit_length()}")
         if n:
-            out.add(("distinct", 8 * len(set(words)) // n))
-            out.add(("pairs", 8 * len(pairs) // n))
-            out.add(("length", sum(map(len, words)) // n))
+            out.add(f"\ndistinct {8 * len(distinct) // n}")
+            out.add(f"\nlength {sum(map(len, words)) // n}")
         return out
 
 
 def train(texts: list[str], labels: list[int]) -> dict:
     y = np.where(np.array(labels) == 1, 1, -1)
     if len(set(labels)) < 2:
-        return {"w": {}, "bias": 0.0, "a": 0.0, "b": float(20 * (labels[0] == 1) - 10) if labels else 0.0}
-    grams = Grams()
-    rows = [grams(t) for t in texts]
-    pos, neg = {}, {}
-    for f, s in zip(rows, y):
-        c = pos if s > 0 else neg
-        for x in f:
-            c[x] = c.get(x, 0) + 1
-    names = [x for x in sorted(pos.keys() | neg.keys(), key=lambda x: (-(pos.get(x, 0) + neg.get(x, 0)), repr(x))) if pos.get(x, 0) + neg.get(x, 0) >= MIN_DF][:FEATURES]
-    p, q = (np.array([c.get(x, 0) for x in names]) + ALPHA for c in (pos, neg))
+        return {"w": {}, "bias": 0.0, "a": 0.0, "b": float(20 * (labels[0] == 1) - 10) if labels else 0.0, "common": frozenset()}
+    df: Counter = Counter()
+    for t in texts:
+        df.update(set(t.split()))
+    common = frozenset(sorted(df, key=lambda w: (-df[w], w))[:COMMON])
+    rare = {w for w, n in df.items() if n < MIN_DF}
+    del df
+    grams, pos, neg, rows = Grams(common), Counter(), Counter(), []
+    for t, s in zip(texts, y):
+        f = grams(t) - rare
+        (pos if s > 0 else neg).update(f)
+        rows.append(f)
+    del rare
+    names = sorted((x for x in pos.keys() | neg.keys() if pos[x] + neg[x] >= MIN_DF), key=lambda x: (-pos[x] - neg[x], x))[:FEATURES]
+    p, q = (np.array([c[x] for x in names]) + ALPHA for c in (pos, neg))
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     at = {x: i for i, x in enumerate(names)}
     xs = [np.array(sorted(at[f] for f in fs if f in at), np.int64) for fs in rows]
@@ -113,7 +124,7 @@ def train(texts: list[str], labels: list[int]) -> dict:
         if abs(da) + abs(db) < 1e-6:
             break
     v = w * r
-    return {"w": {x: float(v[i]) for x, i in at.items()}, "bias": bias, "a": float(a), "b": float(b)}
+    return {"w": {x: float(v[i]) for x, i in at.items()}, "bias": bias, "a": float(a), "b": float(b), "common": common}
 
 
 def score(model: dict, grams: Grams, text: str | None) -> float:
@@ -132,26 +143,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") ->
     for q in (0, 1):
         ids.append(marks.where(F.col("q_") == q).orderBy(F.xxhash64("k_"), "k_").limit(SAMPLE))
     picked = F.broadcast(ids[0].unionAll(ids[1]))  # 2 * SAMPLE rows at most
-    got = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).join(picked, F.col("i_") == F.col("k_")).select("i_", "q_", F.coalesce("t_", F.lit("")).alias("t_")).dropDuplicates(["i_"]).collect()
+    got = docs.select(F.col(id_col).alias("i_"), F.col(text_col).alias("t_")).join(picked, F.col("i_") == F.col("k_")).groupBy("i_", "q_").agg(F.min(F.coalesce("t_", F.lit(""))).alias("t_")).collect()
     got.sort(key=lambda r: r[0])
     return train([r[2] for r in got], [r[1] for r in got])
 
 
-def classify(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> DataFrame:
-    """A row for each row of docs: rid where there is one, doc_id, held_out, score, predicted."""
+def classify(docs: DataFrame, model: dict, id_col="doc_id", text_col="text", rid_col: str | None = None) -> DataFrame:
+    """A row for each row of docs: rid (rid_col, else 0), doc_id, held_out, score, predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
     def run(batches):
-        m, grams = held.value, Grams()
+        m = held.value
+        grams = Grams(m["common"])
         for b in batches:
             s = [score(m, grams, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], ["rid", "doc_id", "held_out", "score", "predicted"])
 
-    rid = F.col("rid") if "rid" in docs.columns else F.lit(0).cast("long").alias("rid")
+    rid = (F.col(rid_col) if rid_col else F.lit(0)).cast("long").alias("rid")
     src = docs.select(rid, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(crc_mod(F.col(id_col), 5) == 0, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "rid long, doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: dict) -> DataFrame:
+    """Docs that the model doesn't reject; every column stays, whatever its name."""
+    names = docs.columns
+    at = {n.lower(): f"c{i}" for i, n in enumerate(names)}
+    rows, _ = staged(docs.toDF(*at.values()).withColumn("rid", F.monotonically_increasing_id()), "quality-docs")
+    good = classify(rows, model, at["doc_id"], at["text"], "rid").where("predicted = 1").select("rid")
+    return rows.join(good, "rid", "left_semi").drop("rid").toDF(*names)
+
+
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return classify(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("rid")
