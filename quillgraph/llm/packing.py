@@ -36,38 +36,69 @@ def tokenizer_path(name: str = VOCAB) -> str:
 
 
 class Encoder:
-    """Token ids as little-endian bytes. White space parts words for the tokenizer, so ids of words that were met before are looked up."""
+    """Token ids as little-endian bytes. White space parts words for the tokenizer, so ids of words that were met before are looked up; words of letters are
+    looked up in lower case and without a last comma or full stop, and new ones are encoded many at a time, parted where a token ends a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.kept = Tokenizer.from_file(path), {"": b""}
-
-    def _raw(self, ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        self.tok, self.kept, self.old, self.letters = Tokenizer.from_file(path), {"": b""}, {}, {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._one(m) for m in (",", ".", "")}
+
+    def _one(self, w: str) -> bytes:
+        return np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _spell(self, words: list[str]) -> None:
+        """Ids of words of lower-case letters."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if cut.size == len(part):
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(part, (4 * cut).tolist()):
+                    self.letters[w] = raw[at:e]
+                    at = e
+            else:  # a word that the tokenizer parts
+                self.letters.update((w, self._one(w)) for w in part)
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.letters) > CACHE:
+            self.letters = {}
+        plain = []
+        for w in new:
+            core, mark = (w[:-1], w[-1]) if w[-1] in ",." else (w, "")
+            if core.isalpha() and "\u03a3" not in core:  # capital sigma: its lower case depends on its place
+                plain.append((w, core.lower(), mark))
+            else:
+                self.kept[w] = self._one(w)
+        self._spell(list({c for _, c, _ in plain if c not in self.letters}))
+        for w, c, mark in plain:
+            self.kept[w] = self.letters[c] + self.marks[mark]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > CACHE:
-            self.kept = {"": b""}
-        kept, split = self.kept, []
+            self.old, self.kept = self.kept, {"": b""}
+        kept, old, split = self.kept, self.old, []
         for t in texts:
             # A special token's string may hold no white space, but it is a token before words are parted.
             split.append(None if "<|" in t else t.replace("\n", " ").split(" "))
         new = {w for words in split if words for w in words if w not in kept and len(w) <= LONGEST}
-        new = list(new)
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                kept[w] = self._raw(e.ids)
+        again = {w for w in new if w in old}
+        kept.update((w, old[w]) for w in again)
+        self._learn(list(new - again))
         out = []
         for t, words in zip(texts, split):
             if words is None:
-                out.append(self._raw(self.tok.encode(t, add_special_tokens=False).ids))
+                out.append(self._one(t))
             else:
                 try:
                     out.append(b"".join(map(kept.__getitem__, words)))
                 except KeyError:
-                    out.append(b"".join([kept[w] if w in kept else self._raw(self.tok.encode(w, add_special_tokens=False).ids) for w in words]))
+                    out.append(b"".join([kept[w] if w in kept else self._one(w) for w in words]))
         return out
 
 
