@@ -17,37 +17,36 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
-KEPT = 200_000  # words a worker keeps
-BATCH = 20_000  # words a query takes
-LONG = 200
+KEPT = 300_000  # words a worker keeps of those met lately, and as many of those met before
+BATCH = 60_000  # words a query takes
+LONG = 200  # under 256, see RECURSION
 SEGMENT = 64  # longer stretches without a blank aren't kept whole
 
 _AWKWARD = re.compile(r"\s (?:\s|\Z)")
 
-RECURSION = """
+# A pair's place and rank are one number, so that the least of a word is its leftmost pair of least rank; the token it makes has the rank as its id.
+RECURSION = f"""
 with recursive s(i, w, p, t) as (
   select 0, w, p, t from fresh
   union all
-  select i + 1, w, p, case when p = spot then made else t end
+  select i + 1, w, p, case when p = best & 255 then best >> 8 else t end
   from (
-    select i, w, p, t, best.p as spot, best.made as made, best.q as gone
-    from (
-      select n.i, n.w, n.p, n.t, min(case when m.rank is not null then {'rank': m.rank, 'p': n.p, 'made': m.made, 'q': n.q} end) over (partition by n.w) as best
-      from (select i, w, p, t, lead(t) over word as u, lead(p) over word as q from s window word as (partition by w order by p)) n
-      left join merges m on m.a = n.t and m.b = n.u
-    )
-    where best is not null
+    select n.i, n.w, n.p, n.t, n.b, min(m.rank * 256 + n.p) over (partition by n.w) as best
+    from (select i, w, p, t, lead(t) over word as u, lag(p) over word as b from s window word as (partition by w order by p)) n
+    left join merges m on m.a = n.t and m.b = n.u
   )
-  where p <> gone
+  where best is not null and (b is null or b <> best & 255)
 )
-select w, list(t order by p) as ids from (select *, max(i) over (partition by w) as last from s) where i = last group by w
+select w, p, t from (select *, max(i) over (partition by w) as last from s) where i = last
 """
-DECODE = "select w, string_agg(hex(v.bytes), '' order by x.p) as raw from (select w, unnest(ids) as t, generate_subscripts(ids, 1) as p from merged) x join vocab v on v.t = x.t group by w"
+IDS = "select w, string_agg(t::varchar, ',' order by p) as ids, count(*) as n from merged group by w order by w"
+DECODE = "select w, unhex(string_agg(v.hex, '' order by x.p)) as raw from merged x join vocab v on v.t = x.t group by w order by w"
 
 
 def vocab_path(name: str = VOCAB) -> str:
@@ -72,6 +71,7 @@ class Coder:
         self.raw = {r: t for t, r in self.ranks.items()}
         self.words = regex.compile(pattern).findall
         self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.old: dict[str, tuple[str, int, bytes]] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         a, b, made = [], [], []
         for t, r in self.ranks.items():
@@ -79,27 +79,23 @@ class Coder:
                 x, y = self.ranks.get(t[:i]), self.ranks.get(t[i:])
                 if x is not None and y is not None:
                     a.append(x), b.append(y), made.append(r)
-        pairs = pa.table({"a": a, "b": b, "rank": made, "made": made})  # a pair's rank is that of the bytes it makes
-        whole = pa.table({"t": list(self.raw), "bytes": pa.array(list(self.raw.values()), pa.binary())})
-        self.con.register("pairs", pairs)
-        self.con.register("whole", whole)
+        self.con.register("pairs", pa.table({"a": a, "b": b, "rank": made}))  # a pair's rank is that of the bytes it makes
+        self.con.register("whole", pa.table({"t": list(self.raw), "hex": [x.hex() for x in self.raw.values()]}))
         self.con.execute("create table merges as select * from pairs")
         self.con.execute("create table vocab as select * from whole")
-
-    def merge(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        """By the recursive query: each word's ids, and the bytes they decode to."""
-        w, p, t = [], [], []
-        for i, x in enumerate(words):
-            w += [i] * len(x)
-            p += range(len(x))
-            t += [self.ranks[x[j : j + 1]] for j in range(len(x))]
-        self.con.register("fresh", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int64())}))
-        merged = self.con.sql(RECURSION).to_arrow_table()
-        self.con.register("merged", merged)
-        raw = dict(zip(*self.con.sql(DECODE).to_arrow_table().to_pydict().values()))
-        got = merged.to_pydict()
-        ids = dict(zip(got["w"], got["ids"]))
-        return [(ids[i], bytes.fromhex(raw[i])) for i in range(len(words))]
+        self.byte = np.array([self.ranks[bytes([x])] for x in range(256)], np.int64)
+
+    def merge(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
+        """By the recursive query: each word's ids joined by commas, how many they are, and the bytes they decode to."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        w = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        p = (np.arange(w.size) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        t = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        self.con.register("fresh", pa.table({"w": w, "p": p, "t": t}))
+        self.con.register("merged", self.con.sql(RECURSION).to_arrow_table())
+        ids = self.con.sql(IDS).to_arrow_table()
+        raw = self.con.sql(DECODE).to_arrow_table().column("raw").to_pylist()
+        return list(zip(ids.column("ids").to_pylist(), ids.column("n").to_pylist(), raw))
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same rule over a heap: the leftmost pair of least rank first."""
@@ -135,8 +131,7 @@ class Coder:
         short = [w for w in new if len(w.encode("utf-8", "surrogatepass")) <= LONG]
         for i in range(0, len(short), BATCH):
             part = short[i : i + BATCH]
-            for w, (ids, raw) in zip(part, self.merge([w.encode("utf-8", "surrogatepass") for w in part])):
-                found[w] = (",".join(map(str, ids)), len(ids), raw)
+            found.update(zip(part, self.merge([w.encode("utf-8", "surrogatepass") for w in part])))
         for w in set(new).difference(short):
             ids = self.merge_long(w.encode("utf-8", "surrogatepass"))
             found[w] = (",".join(map(str, ids)), len(ids), b"".join(self.raw[t] for t in ids))
@@ -150,7 +145,7 @@ class Coder:
     def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """n_tokens, hash of the ids, hash of the decoded bytes."""
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.old, self.kept = self.kept, {}
         split = []
         for t in texts:
             if not t:
@@ -160,7 +155,11 @@ class Coder:
             else:
                 first, *rest = t.split(" ")
                 split.append(([first] if first else []) + [" " + x for x in rest])
-        need = {s for x in split for s in x if s not in self.kept}
+        kept, old = self.kept, self.old
+        need = {s for x in split for s in x if s not in kept}
+        again = {s for s in need if s in old}
+        kept.update((s, old[s]) for s in again)
+        need -= again
         found = self.learn(need)
         self.kept.update((s, v) for s, v in found.items() if len(s) <= SEGMENT)
         out = []
@@ -176,9 +175,11 @@ class Coder:
         return [int(i) for w in ws for i in found[w][0].split(",") if i]
 
     def decode(self, ids) -> bytes:
-        self.con.register("merged", pa.table({"w": pa.array([0], pa.int32()), "ids": pa.array([list(ids)], pa.list_(pa.int64()))}))
-        raw = self.con.execute(DECODE).fetchall()
-        return bytes.fromhex(raw[0][1]) if raw else b""
+        ids = list(ids)
+        if not ids:
+            return b""
+        self.con.register("merged", pa.table({"w": np.zeros(len(ids), np.int32), "p": np.arange(len(ids)), "t": np.array(ids, np.int64)}))
+        return self.con.sql(DECODE).fetchall()[0][1]
 
 
 _coders: dict[tuple[str, str], Coder] = {}
