@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
-KEPT = 300_000  # words a worker keeps of those met lately, and as many of those met before
+KEPT = 500_000  # words a worker keeps of those met lately, and as many of those met before
 BATCH = 60_000  # words a query takes
 LONG = 200  # under 256, see RECURSION
 SEGMENT = 64  # longer stretches without a blank aren't kept whole
@@ -205,8 +205,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         c = coder(path, pattern)
         for b in batches:
             texts, got = b.column("text").to_pylist(), []
-            for i in range(0, len(texts), 1000):
-                got += c(texts[i : i + 1000])
+            for i in range(0, len(texts), 2500):
+                got += c(texts[i : i + 2500])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

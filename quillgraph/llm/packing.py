@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import staged
 
 CAPACITY = 4096
 WIDTH = 16
 END = 2
 VOCAB = "word_bpe_49k.json"
-CACHE = 300_000  # words whose ids a worker keeps
+CACHE = 500_000  # words whose ids a worker keeps
 LONGEST = 48  # longer words aren't kept
 
 
@@ -121,11 +121,12 @@ def _pieces(path: str, keep_ids: bool):
         for b in batches:
             cols: list[list] = [[] for _ in range(9 + keep_ids)]
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for at in range(0, len(texts), 512):
-                for k, raw in enumerate(enc(texts[at : at + 512]), at):
+            rids, docs = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
+            for at in range(0, len(texts), 2000):
+                for k, raw in enumerate(enc(texts[at : at + 2000]), at):
                     raw += END.to_bytes(4, "little")
                     n = len(raw) // 4
-                    rid, doc = b.column("rid")[k].as_py(), b.column("doc_id")[k].as_py()
+                    rid, doc = rids[k], docs[k]
                     for s in range(0, n, CAPACITY):
                         ids = raw[4 * s : 4 * (s + CAPACITY)]
                         c = -(-len(ids) // (4 * WIDTH))
@@ -247,7 +248,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="te
     pieces, _ = staged(src.mapInArrow(_pieces(path or tokenizer_path(), keep_ids), PIECE + ", ids binary" * keep_ids), "pack")
     # Pieces of each class in each task: as many rows as tasks times classes, whatever the corpus.
     met = pieces.groupBy("part", "cls").agg((F.max("nth") + 1).alias("n"))
-    met, met_path = staged(met.select(F.col("part").alias("p_"), F.col("cls").alias("c_"), "n", (F.sum("n").over(Window.partitionBy("cls").orderBy("part")) - F.col("n")).alias("before")), "pack-met")
+    met, _ = staged(met.select(F.col("part").alias("p_"), F.col("cls").alias("c_"), "n", (F.sum("n").over(Window.partitionBy("cls").orderBy("part")) - F.col("n")).alias("before")), "pack-met")
     size = CAPACITY // WIDTH
     demand = np.zeros(size + 1, np.int64)
     for r in met.groupBy("c_").agg(F.sum("n").alias("n")).collect():
