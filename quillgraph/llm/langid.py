@@ -11,16 +11,20 @@ keep a row each; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
 SAMPLE = 400  # rows a language; the bound of what is learnt from
+SLACK = 2
 SLOTS = 1 << 14
 EPOCHS = 300
 AMBIGUOUS = 0.2  # gap of losses under which a prediction is flagged
@@ -110,12 +114,24 @@ def predict(model: dict, text: str | None) -> tuple[str, float, bool]:
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict:
     """A model from the rows that aren't held out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ((crc_mod(F.col(id_col), 4) != 2) | F.col(id_col).isNull()))
-    langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())  # as many as there are languages
-    got = []
-    for a in langs:
-        got += rows.where(F.col(lang_col) == a).select(text_col, lang_col).orderBy(F.xxhash64(id_col), text_col).limit(SAMPLE).collect()
-    got = [r for r in got if _LETTER.search(r[0])]
-    return train([r[0] for r in got], [r[1] for r in got])
+    rows = rows.select(F.col(lang_col).cast("string").alias("l_"), F.col(text_col).cast("string").alias("t_"), F.xxhash64(id_col).alias("h_"))
+    held = {r[0]: r[1] for r in rows.groupBy("l_").agg(F.count(F.lit(1))).collect()}  # a row a language
+    if not held:
+        return train([], [])
+    # Only rows under a cut of the hash leave their task: about SLACK * SAMPLE a language, however many tasks there are.
+    share = {a: min(1.0, SLACK * SAMPLE / n) for a, n in held.items()}
+    got, lacking = [], set(held)
+    while lacking:
+        under = [(F.col("l_") == a) & (F.col("h_") <= min(2**63 - 1, int(share[a] * 2**64) - 2**63)) for a in sorted(lacking)]
+        first = Window.partitionBy("l_").orderBy("h_", "t_")
+        best = rows.where(reduce(or_, under)).withColumn("k_", F.row_number().over(first)).where(F.col("k_") <= SAMPLE).collect()
+        n = Counter(r["l_"] for r in best)
+        short = {a for a in lacking if n[a] < min(SAMPLE, held[a])}  # where many rows share an id
+        got += [r for r in best if r["l_"] not in short]
+        share.update((a, min(1.0, 8 * share[a])) for a in short)
+        lacking = short
+    got = [r for r in sorted(got, key=lambda r: (r["l_"], r["k_"])) if _LETTER.search(r["t_"])]
+    return train([r["t_"] for r in got], [r["l_"] for r in got])
 
 
 def identify(docs: DataFrame, model: dict, id_col="doc_id", text_col="text") -> DataFrame:

@@ -155,6 +155,17 @@ def test_langid(spark, docs, none):
         assert len({tuple(r) for r in c}) == k
 
 
+def test_langid_sample(spark, monkeypatch):
+    """The sample is the SAMPLE rows of least hash a language, where many rows share an id too."""
+    monkeypatch.setattr(langid, "SAMPLE", 10)
+    monkeypatch.setattr(langid, "SLACK", 1)
+    monkeypatch.setattr(langid, "train", lambda texts, langs: list(zip(langs, texts)))
+    df = spark.createDataFrame([(None if i % 3 else i, f"text{i:03d}", "ab"[i % 2], "s", 0, "r", "g", "f") for i in range(300)], SCHEMA)
+    rows = df.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").selectExpr("lang", "text", "xxhash64(doc_id) as h").collect()
+    want = [(a, r["text"]) for a in "ab" for r in sorted((r for r in rows if r["lang"] == a), key=lambda r: (r["h"], r["text"]))[:10]]
+    assert langid.fit(df) == want
+
+
 def test_quality(spark, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
     df = spark.createDataFrame([(i, _text(40) if i % 2 else _text(40).upper().replace(" ", "!! "), "en", "s", 0, "r", "g", "f") for i in range(200)] + [(None, None, None, None, None, None, None, None)], SCHEMA)
