@@ -4,7 +4,9 @@ A byte goes if a SPAN-byte string that covers it also starts earlier (smaller do
 
 Each SPAN-byte window of a text is filed under the least hash of its GRAM-byte strings. Windows that are equal share that hash, and neighbouring windows mostly do, so a text becomes
 runs of windows, one row each. Rows meet by hash, in the order of their starts: a run whose bytes were met before goes whole; where runs under a hash differ, the first of each kind is fetched
-with its bytes and its windows are compared one by one, by their bytes. (A column-wise Burrows-Wheeler construction takes as many rounds over the whole collection as the longest text has bytes; see the README.)
+with its bytes, and the runs of a group of hashes are a collection: its Burrows-Wheeler transform and common prefixes are built column-wise, one symbol of each run a round, and neighbouring suffixes
+with SPAN bytes in common are equal windows. Runs, not texts, bound the number of rounds (RUN + SPAN at most), and a collection's size bounds its arrays, so these are rewritten
+in memory and not in files.
 
 Null texts count as empty; texts of fewer than SPAN bytes lose nothing; rows that repeat are documents of their own, the first one stays; null ids come last; an empty table gives an empty result.
 """
@@ -23,7 +25,9 @@ from .common import staged, unstage
 
 SPAN, GRAM = 100, 24
 WIDE = SPAN - GRAM + 1  # grams in a window
-RUN = 1024  # windows in a run at most
+RUN = 128  # windows in a run at most; only runs of a gram that repeats are longer than WIDE
+END = 0xFF  # no byte of UTF-8
+TOGETHER = 1 << 17  # bytes of a collection; more only where one hash has more
 LAST = (1 << 63) - 1
 
 
@@ -162,28 +166,97 @@ def _fetch(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], ["m", "ord", "rid", "s", "bytes"])
 
 
+def _range_minima(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minima of v[low..high], both included; only one level of the doubling table is held at a time."""
+    out = np.zeros(low.size, v.dtype)
+    level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    table = v
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+def transform(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a collection (END where a run begins) and the common prefixes of neighbouring suffixes, at most SPAN.
+
+    Column-wise: round j puts the suffix of length j of every run that long into the order of all suffixes. A suffix's place follows from the place of the one before it: equal symbols of the
+    transform stand in the order of the suffixes they begin. Its common prefix with a neighbour is one more than the least between the two equal symbols. Both arrays are read and rewritten
+    from front to back each round.
+    """
+    size = np.array([len(x) for x in runs_], np.int64)
+    text, end, m = np.frombuffer(b"".join(runs_), np.uint8), np.cumsum(size), len(runs_)
+    bwt, lcp = text[end - 1], np.zeros(m, np.uint8)
+    at = live = np.arange(m)  # rows, ascending, of the newest suffixes, and their runs
+    for j in range(1, int(size.max()) + 1):
+        newest = np.zeros(bwt.size, bool)
+        newest[at] = True
+        order = np.argsort(bwt, kind="stable")
+        rank = np.flatnonzero(newest[order])
+        row = order[rank]
+        who = live[np.searchsorted(at, row)]
+        before, after = order[rank - 1], order[np.minimum(rank + 1, order.size - 1)]
+        has_before = (rank > 0) & (bwt[before] == bwt[row])
+        has_after = (after > row) & (bwt[after] == bwt[row])
+        place = m + rank
+        after_place = place[has_after] + 1
+        least = _range_minima(lcp, np.r_[before[has_before], row[has_after]] + 1, np.r_[row[has_before], after[has_after]])
+        least = np.minimum(least + 1, SPAN).astype(np.uint8)
+        old = np.ones(bwt.size + place.size, bool)
+        old[place] = False
+        wider, longer = np.empty(old.size, np.uint8), np.zeros(old.size, np.uint8)
+        wider[old], longer[old] = bwt, lcp
+        goes_on = size[who] > j
+        wider[place] = np.where(goes_on, text[end[who] - j - goes_on], END)
+        longer[place] = 0
+        longer[place[has_before]] = least[: int(has_before.sum())]
+        longer[after_place] = least[int(has_before.sum()) :]
+        bwt, lcp, at, live = wider, longer, place[goes_on], who[goes_on]
+    return bwt, lcp
+
+
+def met_before(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that are also in an earlier run or earlier in their own: run, offset and number of neighbouring ones. All runs have SPAN bytes or more."""
+    bwt, lcp = transform(runs_)
+    size = np.array([len(x) for x in runs_], np.int64)
+    end, m = np.cumsum(size), size.size
+    order = np.argsort(bwt, kind="stable")[: bwt.size - m]  # END sorts last
+    step = np.zeros(bwt.size, np.int64)
+    step[order] = m + np.arange(order.size)
+    begins = np.full(bwt.size, -1, np.int64)  # of each row's suffix, in the runs laid end to end
+    live, at = np.arange(m), np.arange(m)
+    for j in range(1, int(size.max()) + 1):
+        at = step[at]
+        begins[at] = end[live] - j
+        more = size[live] > j
+        live, at = live[more], at[more]
+    head = np.flatnonzero(lcp < SPAN)
+    first = np.repeat(np.minimum.reduceat(begins, head), np.diff(np.r_[head, lcp.size]))
+    met = np.zeros(int(end[-1]) + 1, bool)
+    met[begins[begins != first]] = True
+    edge = np.flatnonzero(np.diff(np.r_[False, met]))  # a run's last SPAN - 1 bytes begin no window, so none crosses runs
+    start, stop = edge[::2], edge[1::2]
+    run = np.searchsorted(end, start, "right")
+    return run, start - (end - size)[run], stop - start
+
+
 def _compare(batches):
-    """Windows met before, by their bytes, as runs; rows come sorted by m, then in the order of their starts."""
-    seen, last = set(), None
-    for b in batches:
-        rid, start, size = [], [], []
-        for m, r, s, x in zip(*(b.column(n).to_pylist() for n in ("m", "rid", "s", "bytes"))):
-            if m != last:
-                seen, last = set(), m
-            open_at = None
-            for i in range(len(x) - SPAN + 1):
-                w = x[i : i + SPAN]
-                if w in seen:
-                    if open_at is None:
-                        open_at = i
-                else:
-                    seen.add(w)
-                    if open_at is not None:
-                        rid.append(r), start.append(s + open_at), size.append(i - open_at)
-                        open_at = None
-            if open_at is not None:
-                rid.append(r), start.append(s + open_at), size.append(len(x) - SPAN + 1 - open_at)
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["rid", "s", "n"])
+    """Windows met before, by their bytes, as runs; rows come sorted by m, then in the order of their starts. Equal windows have one m, so whole groups of m are a collection."""
+    held: list[pa.Table] = []
+    for group in _groups(batches):
+        held.append(group)
+        if sum(t.column("bytes").nbytes for t in held) >= TOGETHER:
+            yield _met(held)
+            held = []
+    if held:
+        yield _met(held)
+
+
+def _met(tables):
+    t = pa.concat_tables(tables)
+    run, offset, n = met_before(t.column("bytes").to_pylist())
+    return pa.RecordBatch.from_arrays([pa.array(t.column("rid").to_numpy()[run]), pa.array((t.column("s").to_numpy()[run] + offset).astype(np.int32)), pa.array(n.astype(np.int32))], ["rid", "s", "n"])
 
 
 def spans_of(gone) -> list[tuple[int, int]]:

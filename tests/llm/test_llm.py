@@ -101,6 +101,25 @@ def test_substrings(docs, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_transform_of_a_collection(monkeypatch):
+    for span in (3, 7):
+        monkeypatch.setattr(substring, "SPAN", span)
+        for _ in range(40):
+            texts = [bytes(random.choice(b"ab\0") for _ in range(random.randint(span, 40))) for _ in range(random.randint(1, 8))]
+            bwt, lcp = substring.transform(texts)
+            rows = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+            assert bwt.tolist() == [texts[i][k - 1] if k else substring.END for _, i, k in rows]
+            common = [next((n for n in range(span) if a[n : n + 1] != b[n : n + 1] or n >= len(a)), span) for (a, _, _), (b, _, _) in zip(rows, rows[1:])]
+            assert lcp.tolist() == [0, *common]
+            seen, want = set(), []
+            for i, t in enumerate(texts):
+                for k in range(len(t) - span + 1):
+                    if t[k : k + span] in seen:
+                        want.append((i, k))
+                    seen.add(t[k : k + span])
+            assert want == sorted((int(r), int(o) + q) for r, o, n in zip(*substring.met_before(texts)) for q in range(n))
+
+
 def test_chat_matches_the_plain_program(spark):
     rows = [(7, i, random.choice(["user", "assistant", "system", None, "tool"]), f"t{i}") for i in range(600)]
     rows += [(8, None, "assistant", None), (8, 1, "user", ""), (8, 1, "user", ""), (None, 0, "user", "x")]
