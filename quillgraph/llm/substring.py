@@ -4,8 +4,8 @@ A byte goes if a SPAN-byte string that covers it also starts earlier (smaller do
 
 Each SPAN-byte window of a text is filed under the least hash of its GRAM-byte strings. Windows that are equal share that hash, and neighbouring windows mostly do, so a text becomes
 runs of windows, one row each. Rows meet by hash, in the order of their starts: a run whose bytes were met before goes whole; where runs under a hash differ, the first of each kind is fetched
-with its bytes, and the runs of a group of hashes are a collection: its Burrows-Wheeler transform and common prefixes are built column-wise, one symbol of each run a round, and neighbouring suffixes
-with SPAN bytes in common are equal windows. Runs, not texts, bound the number of rounds (RUN + SPAN at most), and a collection's size bounds its arrays, so these are rewritten
+with its bytes, and the runs of a group of hashes are a collection: its Burrows-Wheeler transform and common prefixes are built column-wise, one symbol of STEP bytes of each sequence a round, and neighbouring suffixes
+with SPAN bytes in common are equal windows. Runs, not texts, bound the number of rounds ((RUN + SPAN) / STEP at most), and a collection's size bounds its arrays, so these are rewritten
 in memory and not in files.
 
 Null texts count as empty; texts of fewer than SPAN bytes lose nothing; rows that repeat are documents of their own, the first one stays; null ids come last; an empty table gives an empty result.
@@ -26,7 +26,7 @@ from .common import staged, unstage
 SPAN, GRAM = 100, 24
 WIDE = SPAN - GRAM + 1  # grams in a window
 RUN = 128  # windows in a run at most; only runs of a gram that repeats are longer than WIDE
-END = 0xFF  # no byte of UTF-8
+STEP = 4  # bytes in a symbol; SPAN is a multiple of it
 TOGETHER = 1 << 17  # bytes of a collection; more only where one hash has more
 LAST = (1 << 63) - 1
 
@@ -178,17 +178,16 @@ def _range_minima(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return out
 
 
-def transform(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a collection (END where a run begins) and the common prefixes of neighbouring suffixes, at most SPAN.
+def transform(symbols: np.ndarray, size: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a collection (the type's largest number where a sequence begins) and the common prefixes of neighbouring suffixes, at most cap.
 
-    Column-wise: round j puts the suffix of length j of every run that long into the order of all suffixes. A suffix's place follows from the place of the one before it: equal symbols of the
-    transform stand in the order of the suffixes they begin. Its common prefix with a neighbour is one more than the least between the two equal symbols. Both arrays are read and rewritten
-    from front to back each round.
+    symbols holds the sequences end to end, none empty. Column-wise: round j puts the suffix of length j of every sequence that long into the order of all suffixes. A suffix's place follows from
+    the place of the one before it: equal symbols of the transform stand in the order of the suffixes they begin. Its common prefix with a neighbour is one more than the least between the two
+    equal symbols. Both arrays are read and rewritten from front to back each round.
     """
-    size = np.array([len(x) for x in runs_], np.int64)
-    text, end, m = np.frombuffer(b"".join(runs_), np.uint8), np.cumsum(size), len(runs_)
-    bwt, lcp = text[end - 1], np.zeros(m, np.uint8)
-    at = live = np.arange(m)  # rows, ascending, of the newest suffixes, and their runs
+    none, end, m = np.iinfo(symbols.dtype).max, np.cumsum(size), size.size
+    bwt, lcp = symbols[end - 1], np.zeros(m, np.uint8)
+    at = live = np.arange(m)  # rows, ascending, of the newest suffixes, and their sequences
     for j in range(1, int(size.max()) + 1):
         newest = np.zeros(bwt.size, bool)
         newest[at] = True
@@ -202,13 +201,13 @@ def transform(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         place = m + rank
         after_place = place[has_after] + 1
         least = _range_minima(lcp, np.r_[before[has_before], row[has_after]] + 1, np.r_[row[has_before], after[has_after]])
-        least = np.minimum(least + 1, SPAN).astype(np.uint8)
+        least = np.minimum(least + 1, cap).astype(np.uint8)
         old = np.ones(bwt.size + place.size, bool)
         old[place] = False
-        wider, longer = np.empty(old.size, np.uint8), np.zeros(old.size, np.uint8)
+        wider, longer = np.empty(old.size, bwt.dtype), np.zeros(old.size, np.uint8)
         wider[old], longer[old] = bwt, lcp
         goes_on = size[who] > j
-        wider[place] = np.where(goes_on, text[end[who] - j - goes_on], END)
+        wider[place] = np.where(goes_on, symbols[end[who] - j - goes_on], none)
         longer[place] = 0
         longer[place[has_before]] = least[: int(has_before.sum())]
         longer[after_place] = least[int(has_before.sum()) :]
@@ -217,28 +216,38 @@ def transform(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def met_before(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that are also in an earlier run or earlier in their own: run, offset and number of neighbouring ones. All runs have SPAN bytes or more."""
-    bwt, lcp = transform(runs_)
-    size = np.array([len(x) for x in runs_], np.int64)
+    """Windows that are also in an earlier run or earlier in their own: run, offset and number of neighbouring ones. All runs have SPAN bytes or more.
+
+    A symbol is STEP bytes, and each run gives STEP sequences, one for each remainder of the offset: as many suffixes as by single bytes, in a STEP-th of the rounds.
+    """
+    text = np.frombuffer(b"".join(runs_), np.uint8)
+    stop = np.cumsum([len(x) for x in runs_])
+    start = np.r_[0, stop[:-1]]
+    parts = [np.arange(a + r, b - STEP + 1, STEP) for a, b in zip(start.tolist(), stop.tolist()) for r in range(STEP)]
+    parts = [x for x in parts if x.size]
+    place = np.concatenate(parts)  # of each symbol's first byte
+    size = np.array([x.size for x in parts], np.int64)
+    values, symbols = np.unique(sum(text[place + i].astype(np.uint32) << np.uint32(8 * (STEP - 1 - i)) for i in range(STEP)), return_inverse=True)
+    bwt, lcp = transform(symbols.astype(np.uint16 if values.size < 0xFFFF else np.uint32), size, SPAN // STEP)
     end, m = np.cumsum(size), size.size
-    order = np.argsort(bwt, kind="stable")[: bwt.size - m]  # END sorts last
+    order = np.argsort(bwt, kind="stable")[: bwt.size - m]  # where sequences begin sorts last
     step = np.zeros(bwt.size, np.int64)
     step[order] = m + np.arange(order.size)
-    begins = np.full(bwt.size, -1, np.int64)  # of each row's suffix, in the runs laid end to end
+    begins = np.full(bwt.size, -1, np.int64)  # first byte of each row's suffix
     live, at = np.arange(m), np.arange(m)
     for j in range(1, int(size.max()) + 1):
         at = step[at]
-        begins[at] = end[live] - j
+        begins[at] = place[end[live] - j]
         more = size[live] > j
         live, at = live[more], at[more]
-    head = np.flatnonzero(lcp < SPAN)
+    head = np.flatnonzero(lcp < SPAN // STEP)
     first = np.repeat(np.minimum.reduceat(begins, head), np.diff(np.r_[head, lcp.size]))
-    met = np.zeros(int(end[-1]) + 1, bool)
+    met = np.zeros(text.size + 1, bool)
     met[begins[begins != first]] = True
     edge = np.flatnonzero(np.diff(np.r_[False, met]))  # a run's last SPAN - 1 bytes begin no window, so none crosses runs
-    start, stop = edge[::2], edge[1::2]
-    run = np.searchsorted(end, start, "right")
-    return run, start - (end - size)[run], stop - start
+    opens, closes = edge[::2], edge[1::2]
+    run = np.searchsorted(stop, opens, "right")
+    return run, opens - start[run], closes - opens
 
 
 def _compare(batches):

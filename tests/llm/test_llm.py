@@ -102,13 +102,14 @@ def test_substrings(docs, none):
 
 
 def test_transform_of_a_collection(monkeypatch):
-    for span in (3, 7):
+    for span, step in ((3, 1), (7, 1), (8, 4), (12, 4), (6, 2)):
         monkeypatch.setattr(substring, "SPAN", span)
+        monkeypatch.setattr(substring, "STEP", step)
         for _ in range(40):
             texts = [bytes(random.choice(b"ab\0") for _ in range(random.randint(span, 40))) for _ in range(random.randint(1, 8))]
-            bwt, lcp = substring.transform(texts)
+            bwt, lcp = substring.transform(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), span)
             rows = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
-            assert bwt.tolist() == [texts[i][k - 1] if k else substring.END for _, i, k in rows]
+            assert bwt.tolist() == [texts[i][k - 1] if k else 255 for _, i, k in rows]
             common = [next((n for n in range(span) if a[n : n + 1] != b[n : n + 1] or n >= len(a)), span) for (a, _, _), (b, _, _) in zip(rows, rows[1:])]
             assert lcp.tolist() == [0, *common]
             seen, want = set(), []
