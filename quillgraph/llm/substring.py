@@ -5,7 +5,8 @@ A byte goes if a SPAN-byte string that covers it also starts earlier (smaller do
 Each SPAN-byte window of a text is filed under the least hash of its GRAM-byte strings. Windows that are equal share that hash, and neighbouring windows mostly do, so a text becomes
 runs of windows, one row each. Rows meet by hash, in the order of their starts: a run whose bytes were met before goes whole; where runs under a hash differ, the first of each kind is fetched
 with its bytes, and the runs of a group of hashes are a collection: its Burrows-Wheeler transform and common prefixes are built column-wise, one symbol of STEP bytes of each sequence a round, and neighbouring suffixes
-with SPAN bytes in common are equal windows. Runs, not texts, bound the number of rounds ((RUN + SPAN) / STEP at most), and a collection's size bounds its arrays, so these are rewritten
+with SPAN bytes in common are equal windows. Runs with no window whose hash is met twice stay out of it.
+Runs, not texts, bound the number of rounds ((RUN + SPAN) / STEP at most), and a collection's size bounds its arrays, so these are rewritten
 in memory and not in files.
 
 Null texts count as empty; texts of fewer than SPAN bytes lose nothing; rows that repeat are documents of their own, the first one stays; null ids come last; an empty table gives an empty result.
@@ -27,7 +28,7 @@ SPAN, GRAM = 100, 24
 WIDE = SPAN - GRAM + 1  # grams in a window
 RUN = 128  # windows in a run at most; only runs of a gram that repeats are longer than WIDE
 STEP = 4  # bytes in a symbol; SPAN is a multiple of it
-TOGETHER = 1 << 17  # bytes of a collection; more only where one hash has more
+TOGETHER = 1 << 18  # bytes of a collection; more only where one hash has more
 LAST = (1 << 63) - 1
 
 
@@ -169,12 +170,17 @@ def _fetch(batches):
 def _range_minima(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Minima of v[low..high], both included; only one level of the doubling table is held at a time."""
     out = np.zeros(low.size, v.dtype)
-    level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
-    table = v
-    for k in range(int(level.max(initial=-1)) + 1):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+    level = (np.frexp((high - low + 1).astype(np.float64))[1] - 1).astype(np.uint8)
+    by_level, stops = np.argsort(level, kind="stable"), np.cumsum(np.bincount(level))
+    table, done = v, 0
+    for k, stop in enumerate(stops.tolist()):
+        if stop > done:
+            at = by_level[done:stop]
+            out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+            done = stop
         table = np.minimum(table[: -(1 << k)], table[1 << k :])
+        if not table.any():  # nor is any minimum of more
+            break
     return out
 
 
@@ -262,10 +268,47 @@ def _compare(batches):
         yield _met(held)
 
 
+def may_repeat(runs_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs with a window whose 64-bit hash is met more than once in the collection, and the first and last such offset. Equal windows have equal hashes, so no other run can hold a repeated one."""
+    text = np.frombuffer(b"".join(runs_), np.uint8)
+    stop = np.cumsum([len(x) for x in runs_])
+    with np.errstate(over="ignore"):
+        h, n, k = text.astype(np.uint64) + np.uint64(1), 1, np.uint64(0x9E3779B97F4A7C15)
+        parts = []  # SPAN's binary digits
+        while n <= SPAN:
+            if SPAN & n:
+                parts.append((h, n, k))
+            h, n, k = h[:-n] * k + h[n:], 2 * n, k * k
+        whole, at = np.zeros(max(text.size - SPAN + 1, 0), np.uint64), 0
+        for h, n, k in parts:
+            whole = whole * k + h[at : at + whole.size]
+            at += n
+    inside = np.ones(whole.size, bool)  # not over two runs
+    for e in stop[:-1].tolist():
+        inside[e - SPAN + 1 : e] = False
+    ordered = np.sort(whole[inside])
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    at = np.flatnonzero(inside)
+    if not twice.size:
+        return at[:0], at[:0], at[:0]
+    near = np.searchsorted(twice, whole[at])
+    at = at[twice[np.minimum(near, twice.size - 1)] == whole[at]]
+    run = np.searchsorted(stop, at, "right")
+    head = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    start = np.r_[0, stop[:-1]]
+    return run[head], at[head] - start[run[head]], at[np.r_[head[1:], at.size] - 1] - start[run[head]]
+
+
 def _met(tables):
     t = pa.concat_tables(tables)
-    run, offset, n = met_before(t.column("bytes").to_pylist())
-    return pa.RecordBatch.from_arrays([pa.array(t.column("rid").to_numpy()[run]), pa.array((t.column("s").to_numpy()[run] + offset).astype(np.int32)), pa.array(n.astype(np.int32))], ["rid", "s", "n"])
+    rid, s, runs_ = t.column("rid").to_numpy(), t.column("s").to_numpy(), t.column("bytes").to_pylist()
+    kept, low, high = may_repeat(runs_)
+    if kept.size:
+        run, offset, n = met_before([runs_[i][a : b + SPAN] for i, a, b in zip(kept.tolist(), low.tolist(), high.tolist())])
+    else:
+        run = offset = n = np.zeros(0, np.int64)
+    at = kept[run]
+    return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array((s[at] + low[run] + offset).astype(np.int32)), pa.array(n.astype(np.int32))], ["rid", "s", "n"])
 
 
 def spans_of(gone) -> list[tuple[int, int]]:

@@ -119,6 +119,10 @@ def test_transform_of_a_collection(monkeypatch):
                         want.append((i, k))
                     seen.add(t[k : k + span])
             assert want == sorted((int(r), int(o) + q) for r, o, n in zip(*substring.met_before(texts)) for q in range(n))
+            kept, low, high = substring.may_repeat(texts)
+            parts = [texts[i][a : b + span] for i, a, b in zip(kept, low, high)]
+            found = zip(*substring.met_before(parts)) if parts else []
+            assert want == sorted((int(kept[r]), int(low[r] + o) + q) for r, o, n in found for q in range(n))
 
 
 def test_chat_matches_the_plain_program(spark):
