@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
 from quillgraph.operators import graph as G
+from quillgraph.operators import layout as L
 from quillgraph.operators import retrieval as R
 
 QUERIES: dict = {}
@@ -327,3 +328,34 @@ both("sse_props", "select event_id, cast(get_json_object(props, '$.k') as int) a
 both("session_fold", "select conv_id, array_join(transform(array_sort(collect_list(struct(turn, role))), x -> x.role), '>') as path from {conversations} group by conv_id", "select conv_id, string_agg(role, '>' order by turn, role) as path from conversations group by conv_id")
 both("rewrite_guard", r"select doc_id, size(array_except(regexp_extract_all(text, '([0-9]+)', 1), regexp_extract_all(substring(text, 1, 200), '([0-9]+)', 1))) > 0 as rejected from {documents}", "select doc_id, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(substring(text, 1, 200), '[0-9]+'), x))) > 0 as rejected from documents")
 both("markdown_blocks", r"select doc_id, pos as block, case when part like '# %' then 'h1' when part like '## %' then 'h2' else 'p' end as kind, length(part) as chars from (select doc_id, posexplode(split(text, '\n+')) as (pos, part) from {documents})", r"select doc_id, (unnest(range(len(p))))::int as block, case when unnest(p) like '# %' then 'h1' when unnest(p) like '## %' then 'h2' else 'p' end as kind, length(unnest(p))::int as chars from (select doc_id, regexp_split_to_array(text, '\n+') as p from documents)")
+
+
+@query("""
+with x as (select l_suppkey as doc, case when l_quantity * 1.5 > 0.5 and l_quantity * 1.5 < 60 then l_quantity * 1.5 end as gap from lineitem)
+select doc, coalesce(list_sort(list(gap) filter (gap is not null))[cast(floor(0.5 * count(gap)) as bigint) + 1], 12.0) as median_gap from x group by doc
+""")
+def layout_median_gap(spark, d):
+    """Upper median of gaps (here: one and a half quantities of a supplier)."""
+    return L.median_gap(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), (F.col("l_quantity") * 1.5).alias("gap")))
+
+
+@query("""
+with x as (select distinct o_custkey as doc, o_orderkey as page, o_orderpriority as key from orders),
+n as (select doc, count(distinct page) as pages from x group by doc),
+k as (select doc, key, count(*) as on_pages from x where key is not null group by doc, key)
+select doc, key, on_pages, pages from k join n using (doc) where pages >= 3 and on_pages >= greatest(2, ceil(0.4 * pages))
+""")
+def layout_repeated_keys(spark, d):
+    """Header keys that recur over a document's pages (here: priorities over a customer's orders)."""
+    return L.repeated_keys(read(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), F.col("o_orderpriority").alias("key")))
+
+
+@query("""
+with x as (select p_brand as doc, round(p_size / 4.0 * 2) / 2 as s, sum(length(p_name)) as w, min(p_partkey) as o from part group by all),
+r as (select doc, s, row_number() over (partition by doc order by w desc, o) as k from x where s is not null and w > 0)
+select doc, s as body_size from r where k = 1
+""")
+def layout_body_size(spark, d):
+    """Size of most characters, rounded to a half (here: a quarter of a part's size, by the letters of names of a brand)."""
+    parts = read(spark, d, "part").select(F.col("p_brand").alias("doc"), (F.col("p_size") / 4.0).alias("font_size"), F.col("p_name").alias("str"), F.col("p_partkey").alias("run_no"))
+    return L.body_size(parts)
