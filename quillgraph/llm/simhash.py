@@ -7,6 +7,12 @@ large-star and small-star rounds over written tables.
 
 Rows that share a fingerprint are one node from the start, so copies never meet in pairs. Null and empty texts have fingerprint zero and link
 like any other. Rows that repeat keep a row each. A component's id is its smallest non-null doc_id.
+
+That is op9's contract. near_dedup, the pipeline's stage, links at a similarity (common shingles over all shingles) of 4/5 or more of the sets of five-word shingles, and
+misses no such pair: sets are put in one fixed order, and two sets that alike share one of their first n - ceil(4n/5) + 1 shingles. The order is by how often a
+sample holds a shingle, rare ones first, so the sample bears on cost only, not on what is found. Sets that meet are held to the bounds that their sizes and places give; pairs left
+are compared on the whole sets. First only neighbours in a bucket are compared; then all pairs whose rows aren't in one component yet. Equal sets are one node. Texts of fewer than
+five words are one shingle, so null and empty texts are alike. Shingles are 64-bit hashes, equal sets 128-bit ones.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import staged, unstage
 
 BITS, SEGMENTS = 4, ((0, 21), (21, 42), (42, 64))
+SHINGLE = 5  # words of near_dedup's shingles
+ORDER_ROWS, ORDER_SHINGLES = 20_000, 100_000  # sample and length of the list of common shingles; they bear on cost only
 SMALL = 8  # buckets up to this size are compared all at once in numpy
 
 
@@ -158,12 +166,157 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid
     return prints.join(of, prints["fp"] == of["k"]).select("rid", "doc_id", "fp", F.col("best.d").alias("component_id"), (F.col("rid") == F.col("best.r")).alias("kept"))
 
 
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's n-word shingles, ascending; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    parts = [joined[a : b - 1] for a, b in zip([0, *ends[:-1]], ends[n - 1 :])] or [joined]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)).view(np.int64))
+
+
+def alike(common, a, b):
+    """Whether sets of a and b members, common of them shared, are similar at 4/5 or more."""
+    return 9 * common >= 4 * (a + b)
+
+
+def _lists(sets):
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+
+
+def _shingled(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("rid"), _lists([shingles(t) for t in b.column("text").to_pylist()])], ["rid", "set"])
+
+
+def _prefixes(common, ranks):
+    """A row for each text: a digest and the size of its set, and the set's prefix in the order."""
+
+    def run(batches):
+        for b in batches:
+            digest, sizes, heads = [], [], []
+            for t in b.column("text").to_pylist():
+                s = shingles(t)
+                digest.append(xxhash.xxh128_digest(s.tobytes()))
+                sizes.append(s.size)
+                if common.size:
+                    i = np.minimum(np.searchsorted(common, s), common.size - 1)
+                    s = s[np.argsort(np.where(common[i] == s, ranks[i], 0), kind="stable")]
+                heads.append(s[: s.size - (4 * s.size + 4) // 5 + 1])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), _lists(heads)], ["rid", "doc_id", "digest", "n", "head"])
+
+    return run
+
+
+def _whole_runs(batches):
+    """Tables of rows that come sorted by key, cut between keys only."""
+    wait = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column("key").to_numpy()
+        if wait and wait[0].column("key")[0].as_py() == k[-1]:
+            wait.append(b)
+            continue
+        last = int(np.searchsorted(k, k[-1]))
+        if wait or last:
+            yield pa.Table.from_batches([*wait, b.slice(0, last)]).combine_chunks()
+        wait = [b.slice(last)]
+    if wait:
+        yield pa.Table.from_batches(wait).combine_chunks()
+
+
+def _met(batches):
+    """Rows of keys that two sets hold."""
+    for t in _whole_runs(batches):
+        k = t.column("key").to_numpy()
+        same = k[1:] == k[:-1]
+        yield from t.filter(pa.array(np.r_[False, same] | np.r_[same, False])).to_batches()
+
+
+def _candidates(neighbours: bool):
+    """Pairs of a bucket that its sizes and places allow: neighbours by size only, or all that aren't in one component."""
+
+    def run(batches):
+        for t in _whole_runs(batches):
+            key, node, n, at, root = (t.column(c).to_numpy() for c in ("key", "node", "n", "at", "root"))
+            end = np.searchsorted(key, key, side="right")
+            i, d = np.arange(key.size), 1
+            while True:
+                # Sizes ascend in a bucket: a row whose partner d places on is too large has none further on.
+                i = i[i + d < end[i]]
+                i = i[4 * n[i + d] <= 5 * n[i]]
+                if not i.size:
+                    break
+                j = i + d
+                ok = alike(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j]) & (root[i] != root[j])
+                u, v = node[i[ok]], node[j[ok]]
+                if u.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+                if neighbours:
+                    break
+                d += 1
+
+    return run
+
+
+def _similar(batches):
+    for b in batches:
+        if b.num_rows:
+            x, y = b.column("x"), b.column("y")
+            ok = [alike(np.intersect1d(s.values.to_numpy(), o.values.to_numpy(), assume_unique=True).size, len(s.values), len(o.values)) for s, o in zip(x, y)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar, from the texts of rows."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets, _ = staged(rows.join(ids, rows["rid"] == ids["id"], "left_semi").select("rid", "text").mapInArrow(_shingled, "rid long, set array<long>"), "near-sets")
+    x, y = sets.toDF("a_", "x"), sets.toDF("b_", "y")
+    both = pairs.join(x, F.col("u") == F.col("a_")).join(y, F.col("v") == F.col("b_"))
+    return both.select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """A row for each row of docs: rid, doc_id, component_id and kept, as classes has them, by similarity of shingle sets."""
+    src = docs.select((F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not rid_col:
+        src, _ = staged(src, "near-docs")  # written, so that row numbers don't change
+    total = src.count()
+    part = src.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, ORDER_ROWS / max(total, 1))))
+    often = part.select("rid", "text").mapInArrow(_shingled, "rid long, set array<long>").select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    often = sorted(often.where("c > 2").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect())
+    common, ranks = np.array([r["s"] for r in often], np.int64), np.array([r["c"] for r in often], np.int64)
+    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, digest binary, n long, head array<long>"), "near-heads")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rid").alias("r")))
+    nodes, _ = staged(heads.groupBy("digest").agg(F.min("rid").alias("node"), first.alias("first")), "near-nodes")
+    index = heads.join(nodes.select(F.col("node").alias("k_")), heads["rid"] == F.col("k_")).select(F.posexplode("head").alias("at", "key"), F.col("rid").alias("node"), "n")
+    index = index.select("key", "node", "n", F.col("at").cast("long").alias("at"))
+    met, _ = staged(index.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n long, at long"), "near-met")
+
+    def pairs(rows, neighbours):
+        dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(neighbours), "u long, v long")
+        got, _ = staged(dealt.distinct(), "near-pairs")
+        return _verified(got, src)
+
+    near, _ = staged(pairs(met.withColumn("root", F.col("node")), True), "near-links")
+    comp, _ = staged(components(near), "near-cc")
+    comp = comp.withColumnRenamed("node", "c_").withColumnRenamed("root", "r_")
+    rest = pairs(met.join(comp, met["node"] == comp["c_"], "left").select("key", "node", "n", "at", F.coalesce("r_", "node").alias("root")), False)
+    links, _ = staged(near.unionAll(rest), "near-links")
+    comp, _ = staged(components(links), "near-cc")
+    labelled = nodes.join(comp.withColumnRenamed("node", "c_"), F.col("node") == F.col("c_"), "left").select(F.col("digest").alias("k"), F.coalesce("root", "node").alias("root"), "first")
+    best = labelled.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "root_")
+    of = labelled.join(best, labelled["root"] == best["root_"]).select("k", "best")
+    return heads.join(of, heads["digest"] == of["k"]).select("rid", "doc_id", F.col("best.d").alias("component_id"), (F.col("rid") == F.col("best.r")).alias("kept"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component of docs; every column stays, whatever its name."""
+    """One row of each component of similar docs; every column stays, whatever its name."""
     names = docs.columns
     at = {n.lower(): f"c{i}" for i, n in enumerate(names)}
     rows, _ = staged(docs.toDF(*at.values()).withColumn("rid", F.monotonically_increasing_id()), "simhash-docs")
-    kept = classes(rows, at["doc_id"], at["text"], "rid").where("kept").select("rid")
+    kept = similar_classes(rows, at["doc_id"], at["text"], "rid").where("kept").select("rid")
     return rows.join(kept, "rid", "left_semi").drop("rid").toDF(*names)
 
 

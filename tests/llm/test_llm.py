@@ -137,6 +137,33 @@ def test_chat_matches_the_plain_program(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_near_dedup_is_brute_force(spark):
+    """Every pair of similarity 0.8 or more of five-word shingle sets links, as far as the edits go; nothing below does."""
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 300))] for _ in range(12)]
+    foot = [f"licence{k}" for k in range(40)]
+    rows = []
+    for b in base:
+        for k in range(12):
+            w = list(b)
+            for _ in range(rng.randrange(1 + len(w) // 40)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append(" ".join(w[: len(w) - rng.randrange(1 + len(w) // 8)] + foot * (k % 3 == 0)))
+    rows += [None, "", "one two", "One  two", "one three"]
+    sets = [frozenset(zip(*(w[i:] for i in range(5)))) or frozenset([tuple(w)]) for w in ((t or "").lower().split() for t in rows)]
+    label, wide = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                wide += bin(simhash.fingerprint(rows[i]) ^ simhash.fingerprint(rows[j])).count("1") > 4
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "r", "g", "f") for i, t in enumerate(rows)], SCHEMA)
+    assert wide > 50 and len(set(label)) > 20
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(df).collect()} == dict(enumerate(label))
+    assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == set(label)
+
+
 def test_chat_cost_is_least():
     def best(kinds, s=chat.START):
         if not kinds:
