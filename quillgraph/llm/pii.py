@@ -3,11 +3,12 @@
 Base: e-mail, IP, card and phone, each kind's leftmost non-overlapping matches; matches that fail the kind's test are dropped without a retry.
 
 Method: the information that a term gives about a protected entity is their pointwise mutual information over the corpus,
-pmi = log(N * n(e, t) / (n(e) * n(t))), counted in documents; n(e, t) counts documents that have t within WINDOW words of e. It is held against the entity's own
-information, ic = log(N / n(e)). A term that gives GENERALISE of it or more is replaced by a placeholder; one that gives REMOVE or more is
-taken out. Pairs seen in fewer than SUPPORT documents give no estimate. Only documents that hold the entity are sanitised, so a document without personal data stays as it is.
+pmi = log(N * n(e, t) / (n(e) * n(t))), counted in documents; n(e, t) counts documents that hold both, wherever they stand. It is held against the entity's own
+information, ic = log(N / n(e)). A term that gives GENERALISE of it or more about some entity is replaced by a placeholder, one that gives REMOVE or more is
+taken out, at every place where it stands in any text, outside base spans. Pairs seen in fewer than SUPPORT documents give no estimate.
 
-Counts cover every row. Document frequencies are combined in each Arrow batch before the shuffle; the pairs come only from the words around entities. Null
+Counts cover every row. Document frequencies are combined in each Arrow batch before the shuffle; pairs are
+formed only where n(t) is small enough for the threshold to be met at all: n(e, t) is n(e) at most. Null
 text counts as empty; rows that repeat are documents of their own; an empty table gives an empty result.
 """
 
@@ -16,8 +17,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +41,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 
-WINDOW = 6
 SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.98
+SLOTS = 1 << 20  # hash slots that tell a task which words may disclose
 FLUSH = 200_000  # distinct terms that a task holds before it hands its counts on
 
 
@@ -95,40 +100,35 @@ def told(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _context(t: str, spans):
-    """(entity, term, start, end) for the words within WINDOW of an entity that no base span covers."""
-    got = []
-    for kind, a, b in spans:
-        entity = f"{kind}:{t[a:b].lower()}"
-        lo, hi = max(0, a - 64 * WINDOW), b + 64 * WINDOW
-        free = [m for m in TERM.finditer(t, lo, hi) if not any(m.start() < e and s < m.end() for _, s, e in spans)]
-        # A word cut by the window's edge is no word of the text.
-        free = [m for m in free if (m.start() > lo or lo == 0 or not t[lo - 1].isalpha()) and (m.end() < hi or hi >= len(t) or not t[hi].isalpha())]
-        before, after = [m for m in free if m.end() <= a][-WINDOW:], [m for m in free if m.start() >= b][:WINDOW]
-        got += [(entity, m[0].lower(), m.start(), m.end()) for m in before + after]
-    return got
+def _words(t: str, spans):
+    """(term, start, end) for the words that no base span covers."""
+    starts, ends = [s[1] for s in spans], list(accumulate((s[2] for s in spans), max))
+    for m in TERM.finditer(t):
+        i = bisect_left(starts, m.end())
+        if not i or ends[i - 1] <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
 def _scan(batches):
-    """A row for each document, with the context of its entities."""
-    ctx = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
+    """A row for each document, with its distinct entities and, where it has any, its distinct terms."""
     for b in batches:
-        counts, strings, near = {k: [] for k in KINDS}, [], []
+        counts, strings, held, terms = {k: [] for k in KINDS}, [], [], []
         for t in b.column("text").to_pylist():
             spans = base_spans(t)
             c = Counter(s[0] for s in spans)
             for k in KINDS:
                 counts[k].append(c[k])
             strings.append(told(spans))
-            near.append([dict(zip(("entity", "term", "a", "b"), x)) for x in _context(t, spans)] if spans else [])
+            held.append(list({f"{k}:{t[x:y].lower()}" for k, x, y in spans}))
+            terms.append(list({w[0] for w in _words(t, spans)}) if spans else [])
         sha = [hashlib.sha256(s.encode()).hexdigest() for s in strings]
         yield pa.RecordBatch.from_arrays(
-            [b.column("rid"), b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(strings, pa.string()), pa.array(near, ctx)],
-            ["rid", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"],
+            [b.column("rid"), b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(sha, pa.string()), pa.array(strings, pa.string()), pa.array(held, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))],
+            ["rid", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "held", "terms"],
         )
 
 
-SCAN = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,term:string,a:long,b:long>>"
+SCAN = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, held array<string>, terms array<string>"
 
 
 def _frequencies(batches):
@@ -152,28 +152,66 @@ def _frequencies(batches):
 
 def disclosing(src: DataFrame, scan: DataFrame) -> DataFrame:
     """(entity, term, given): terms that give a share of GENERALISE or more of an entity's information."""
-    pairs = scan.select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    entities = pairs.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).withColumnRenamed("entity", "e_")
-    both, _ = staged(both.join(entities, F.col("entity") == F.col("e_")).drop("e_"), "pii-pairs")
-    total = scan.count()
-    wanted = both.select(F.col("term").alias("w_")).distinct()
+    total = float(max(scan.count(), 1))
+    held = scan.select("rid", F.explode("held").alias("entity"))
+    counts = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).withColumnRenamed("entity", "e_")
+    held, _ = staged(held.join(counts, F.col("entity") == F.col("e_")).select("rid", "entity", "n_e"), "pii-held")
+    # The largest n(t) at which a term that every document of an entity holds still gives GENERALISE.
+    most = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - GENERALISE)) * 1.001 + 1
+    top = held.agg(F.max(most)).first()[0] or 0.0
     terms = src.select("text").mapInArrow(_frequencies, "term string, n long")
-    freq = terms.groupBy("term").agg(F.sum("n").alias("n_t")).withColumnRenamed("term", "t_").join(wanted, F.col("t_") == F.col("w_"), "left_semi")
-    ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return both.join(freq, F.col("term") == F.col("t_")).select("entity", "term", (pmi / ic).alias("given")).where((F.col("given") >= GENERALISE) & (ic > 0))
+    freq = terms.groupBy("term").agg(F.sum("n").alias("n_t")).where(F.col("n_t") <= top).withColumnRenamed("term", "t_")
+    rare, _ = staged(scan.select(F.col("rid").alias("r_"), F.explode("terms").alias("term")).join(freq, F.col("term") == F.col("t_")).select("r_", "term", "n_t"), "pii-terms")
+    both = held.join(rare, (F.col("rid") == F.col("r_")) & (F.col("n_t") <= most)).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
+    ic = F.log(F.lit(total) / F.col("n_e"))
+    share = F.col("n_et") / F.greatest("n_t", "n_et")
+    given = 1 + F.log(share) / ic
+    return both.where((F.col("n_et") >= SUPPORT) & (ic > 0)).select("entity", "term", given.alias("given")).where(F.col("given") >= GENERALISE)
+
+
+def _places(bits: bytes):
+    """Where terms stand whose hash is among bits: those that disclose, and few others."""
+
+    def run(batches):
+        known: dict[str, bool] = {}
+
+        def wanted(w):
+            if (got := known.get(w)) is None:
+                if len(known) > FLUSH:
+                    known.clear()
+                h = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS
+                got = known[w] = bool(bits[h >> 3] >> (h & 7) & 1)
+            return got
+
+        for b in batches:
+            rid, term, start, end = [], [], [], []
+            for r, t in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
+                if t and any(wanted(w.lower()) for w in TERM.findall(t)):
+                    for w, x, y in _words(t, base_spans(t)):
+                        if wanted(w):
+                            rid.append(r)
+                            term.append(w)
+                            start.append(x)
+                            end.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(term, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["rid", "term", "a", "b"])
+
+    return run
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
     """A row for each row of docs: rid, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, and extra (term spans: kind term or gone, a, b)."""
     src = docs.select((F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not rid_col:
+        src, _ = staged(src, "pii-docs")  # written, so that row numbers don't change
     scan, _ = staged(src.mapInArrow(_scan, SCAN), "pii")
-    rules = disclosing(src, scan).select(F.col("entity").alias("e_"), F.col("term").alias("t_"), "given")
-    hits = scan.select("rid", F.explode("near").alias("x")).select("rid", "x.*").join(rules, (F.col("entity") == F.col("e_")) & (F.col("term") == F.col("t_")))
-    # A document's own spans, as many as it has words near entities.
-    hits = hits.groupBy("rid", "a", "b").agg(F.max("given").alias("g")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b", F.when(F.col("g") >= REMOVE, "gone").otherwise("term").alias("kind")))).alias("extra")).withColumnRenamed("rid", "r_")
-    return scan.drop("near").join(hits, F.col("rid") == F.col("r_"), "left").drop("r_")
+    rules, _ = staged(disclosing(src, scan).groupBy("term").agg(F.max("given").alias("g")).withColumnRenamed("term", "t_"), "pii-rules")
+    bits = np.zeros(SLOTS, bool)
+    bits[[r[0] for r in rules.select(F.crc32(F.col("t_").cast("binary")) % SLOTS).distinct().collect()]] = True
+    places = src.select("rid", "text").mapInArrow(_places(np.packbits(bits, bitorder="little").tobytes()), "rid long, term string, a long, b long")
+    hits = places.join(rules, F.col("term") == F.col("t_")).select("rid", F.struct("a", "b", F.when(F.col("g") >= REMOVE, "gone").otherwise("term").alias("kind")).alias("x"))
+    # A document's own spans, as many as it has words at most.
+    hits = hits.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("extra")).withColumnRenamed("rid", "r_")
+    return scan.drop("held", "terms").join(hits, F.col("rid") == F.col("r_"), "left").drop("r_")
 
 
 def all_spans(base: str, extra) -> str:
@@ -212,8 +250,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = docs.columns
     at = {n.lower(): f"c{i}" for i, n in enumerate(names)}
     rows, _ = staged(docs.toDF(*at.values()).withColumn("rid", F.monotonically_increasing_id()), "pii-docs")
-    found = find(rows, at["doc_id"], at["text"], "rid").where("base <> ''").select(F.col("rid").alias("r_"), "base", "extra")
-    # Only rows with personal data are rewritten.
+    found = find(rows, at["doc_id"], at["text"], "rid").where("base <> '' or extra is not null").select(F.col("rid").alias("r_"), "base", "extra")
+    # Only rows with personal data or disclosing terms are rewritten.
     hit = rows.join(found, F.col("rid") == F.col("r_")).select("rid", F.col(at["text"]).cast("string").alias("t_"), "base", "extra")
     new = hit.mapInArrow(_clean, "rid long, t_ string").withColumnRenamed("rid", "r_")
     kind = dict(docs.dtypes)

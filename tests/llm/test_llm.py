@@ -188,6 +188,17 @@ def test_pii_terms(spark, none):
     assert all("[EMAIL]" in clean[i] for i in range(8)) and all(clean[i] == t for i, t in rows if i >= 8)
 
 
+def test_pii_terms_anywhere(spark):
+    """A disclosing term far from its entity is found, and goes wherever it stands."""
+    far = " ".join(WORDS * 20)
+    rows = [(i, f"Quillon {far} kim@mail.example.com {far} quillon said") for i in range(4)] + [(4, f"quillon {far}")] + [(i, far) for i in range(5, 400)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "r", "g", "f") for i, t in rows], SCHEMA)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    for i in range(5):
+        assert "quillon" not in clean[i].lower() and all(w in clean[i] for w in WORDS)
+    assert all(clean[i] == t for i, t in rows if i > 4)
+
+
 def test_pii_base_spans_match_the_patterns():
     for t in ["x a.b@c.d.e, @no.x a@@b.c.d a@b", "1.2.3.4.5 300.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111 1111 1111 1112", "+49 (30) 1234-567 +1 2", "9" * 5000, "a." * 4000 + "@x.y"]:
         want = [(m.start(), m.end()) for m in pii.EMAIL.finditer(t)] if len(t) < 1000 else [(0, len(t))] if "@" in t else []
