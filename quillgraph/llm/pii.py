@@ -5,7 +5,8 @@ Base: e-mail, IP, card and phone, each kind's leftmost non-overlapping matches;
 Method: the information that a term gives about a protected entity is their pointwise mutual information over the corpus,
 pmi = log(N * n(e, t) / (n(e) * n(t))), counted in documents; n(e, t) counts documents that hold both, wherever they stand. It is held against the entity's own
 information, ic = log(N / n(e)). A term that gives GENERALISE of it or more about some entity is replaced by a placeholder, one that gives REMOVE or more is
-taken out, at every place where it stands in any text, outside base spans. Pairs seen in fewer than SUPPORT documents give no estimate.
+taken out, at every place where it stands in any text, outside base spans. pmi rests on the share n(e, t) / n(t); of pairs seen in fewer than SUPPORT documents, on that
+share's lower bound (Wilson's, one-sided at 95 %), so entities of one or two documents have estimates too, as sure as so few documents allow.
 
 Counts cover every row. Document frequencies are combined in each Arrow batch before the shuffle; pairs are
 formed only where n(t) is small enough for the threshold to be met at all: n(e, t) is n(e) at most. Null
@@ -42,6 +43,7 @@ TERM = re.compile(r"[^\W\d_]{2,}")
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 
 SUPPORT = 3
+Z = 1.645  # one-sided 95 %
 GENERALISE = 0.85
 REMOVE = 0.98
 SLOTS = 1 << 20  # hash slots that tell a task which words may disclose
@@ -164,9 +166,11 @@ def disclosing(src: DataFrame, scan: DataFrame) -> DataFrame:
     rare, _ = staged(scan.select(F.col("rid").alias("r_"), F.explode("terms").alias("term")).join(freq, F.col("term") == F.col("t_")).select("r_", "term", "n_t"), "pii-terms")
     both = held.join(rare, (F.col("rid") == F.col("r_")) & (F.col("n_t") <= most)).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"))
     ic = F.log(F.lit(total) / F.col("n_e"))
-    share = F.col("n_et") / F.greatest("n_t", "n_et")
-    given = 1 + F.log(share) / ic
-    return both.where((F.col("n_et") >= SUPPORT) & (ic > 0)).select("entity", "term", given.alias("given")).where(F.col("given") >= GENERALISE)
+    n = F.greatest("n_t", "n_et")
+    share = F.col("n_et") / n
+    low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    given = 1 + F.log(F.when(F.col("n_et") < SUPPORT, low).otherwise(share)) / ic
+    return both.where(ic > 0).select("entity", "term", given.alias("given")).where(F.col("given") >= GENERALISE)
 
 
 def _places(bits: bytes):
@@ -186,7 +190,7 @@ def _places(bits: bytes):
         for b in batches:
             rid, term, start, end = [], [], [], []
             for r, t in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
-                if t and any(wanted(w.lower()) for w in TERM.findall(t)):
+                if t and any(wanted(w.lower()) for w in set(TERM.findall(t))):
                     for w, x, y in _words(t, base_spans(t)):
                         if wanted(w):
                             rid.append(r)

@@ -199,6 +199,16 @@ def test_pii_terms_anywhere(spark):
     assert all(clean[i] == t for i, t in rows if i > 4)
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """An entity of one or two documents has its disclosing terms estimated; common words stay."""
+    rows = [(0, "alpha Quillon beta kim@mail.example.com gamma")] + [(i, "alpha Zanzibar beta +49 30 1234 5678 gamma") for i in (1, 2)]
+    rows += [(i, "alpha beta gamma") for i in range(3, 9000)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "r", "g", "f") for i, t in rows], SCHEMA)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[0] == "alpha [TERM] beta [EMAIL] gamma" and clean[1] == clean[2] == "alpha [TERM] beta [PHONE] gamma"
+    assert all(clean[i] == t for i, t in rows[3:])
+
+
 def test_pii_base_spans_match_the_patterns():
     for t in ["x a.b@c.d.e, @no.x a@@b.c.d a@b", "1.2.3.4.5 300.1.1.1 0001.2.3.4", "4111 1111 1111 1111 4111 1111 1111 1112", "+49 (30) 1234-567 +1 2", "9" * 5000, "a." * 4000 + "@x.y"]:
         want = [(m.start(), m.end()) for m in pii.EMAIL.finditer(t)] if len(t) < 1000 else [(0, len(t))] if "@" in t else []
