@@ -10,8 +10,10 @@ Null texts count as empty and give one piece, the end id. Rows that repeat are d
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,18 @@ END = 2
 VOCAB = "word_bpe_49k.json"
 CACHE = 500_000  # words whose ids a worker keeps
 LONGEST = 48  # longer words aren't kept
+BREAK = b"\xff" * 4  # no id
+
+
+def _classes() -> str:
+    """The tokenizer's pattern over characters under U+0180, with line feeds between words kept."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+    letters, digits, space = of("L"), of("N"), "\t\n\x0b\x0c\r \x85\xa0"
+    return f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
+
+
+_PARTS = re.compile(_classes()).findall
+_OTHER = re.compile("[^\x00-\u017f]|<\\|")  # special tokens begin with <|
 
 
 def tokenizer_path(name: str = VOCAB) -> str:
@@ -36,69 +50,64 @@ def tokenizer_path(name: str = VOCAB) -> str:
 
 
 class Encoder:
-    """Token ids as little-endian bytes. White space parts words for the tokenizer, so ids of words that were met before are looked up; words of letters are
-    looked up in lower case and without a last comma or full stop, and new ones are encoded many at a time, parted where a token ends a word."""
+    """Token ids as little-endian bytes. The tokenizer parts words at white space, so ids of words met before are looked up. New words of characters under U+0180, where normal form C changes nothing
+    and lower case needs no neighbours, are put in lower case and parted by the tokenizer's own pattern here, and only their parts not met before go through its model; other words go through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.kept, self.old, self.letters = Tokenizer.from_file(path), {"": b""}, {}, {}
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._one(m) for m in (",", ".", "")}
+        self.tok = Tokenizer.from_file(path)
+        self.model, self.kept, self.old, self.parts = self.tok.model, {"": b""}, {}, {}
+        # The model's alphabet shows a byte as its own character where that is a mark or letter, else as the next free character from U+0100 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def _one(self, w: str) -> bytes:
+    def _whole(self, w: str) -> bytes:
         return np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _spell(self, words: list[str]) -> None:
-        """Ids of words of lower-case letters."""
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if cut.size == len(part):
-                raw, at = ids.tobytes(), 0
-                for w, e in zip(part, (4 * cut).tolist()):
-                    self.letters[w] = raw[at:e]
-                    at = e
-            else:  # a word that the tokenizer parts
-                self.letters.update((w, self._one(w)) for w in part)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.letters) > CACHE:
-            self.letters = {}
-        plain = []
-        for w in new:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ",." else (w, "")
-            if core.isalpha() and "\u03a3" not in core:  # capital sigma: its lower case depends on its place
-                plain.append((w, core.lower(), mark))
-            else:
-                self.kept[w] = self._one(w)
-        self._spell(list({c for _, c, _ in plain if c not in self.letters}))
-        for w, c, mark in plain:
-            self.kept[w] = self.letters[c] + self.marks[mark]
+    def _part(self, p: str) -> bytes:
+        if not (p.isascii() and p.isprintable()):
+            p = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        if _OTHER.search("\n".join(words)):
+            out = {w: self._whole(w) for w in words if _OTHER.search(w)}
+            words = [w for w in words if w not in out]
+        if not words:
+            return out
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        parts = _PARTS("\n".join(words).lower())
+        new = set(parts).difference(self.parts)
+        self.parts.update({p: self._part(p) for p in new}, **{"\n": BREAK})
+        raw = b"".join(map(self.parts.__getitem__, parts))
+        for p in new:
+            if len(p) > LONGEST:
+                del self.parts[p]
+        stop = 4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)
+        out.update(zip(words, [raw[a:b] for a, b in zip([0, *(stop + 4).tolist()], [*stop.tolist(), len(raw)])]))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > CACHE:
             self.old, self.kept = self.kept, {"": b""}
-        kept, old, split = self.kept, self.old, []
-        for t in texts:
-            # A special token's string may hold no white space, but it is a token before words are parted.
-            split.append(None if "<|" in t else t.replace("\n", " ").split(" "))
-        new = {w for words in split if words for w in words if w not in kept and len(w) <= LONGEST}
-        again = {w for w in new if w in old}
-        kept.update((w, old[w]) for w in again)
-        self._learn(list(new - again))
-        out = []
-        for t, words in zip(texts, split):
-            if words is None:
-                out.append(self._one(t))
-            else:
-                try:
-                    out.append(b"".join(map(kept.__getitem__, words)))
-                except KeyError:
-                    out.append(b"".join([kept[w] if w in kept else self._one(w) for w in words]))
+        kept, need = self.kept, set()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        for words in split:
+            need.update(words)
+        need = need.difference(kept)
+        again = need & self.old.keys() if self.old else set()
+        kept.update((w, self.old[w]) for w in again)
+        new = list(need - again)
+        for i in range(0, len(new), 50_000):
+            kept.update(self._learn(new[i : i + 50_000]))
+        out = [b"".join(map(kept.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > LONGEST:
+                del kept[w]
         return out
 
 
@@ -118,24 +127,28 @@ def _pieces(path: str, keep_ids: bool):
     def run(batches):
         enc, part = encoder(path), TaskContext.get().partitionId()
         met = np.zeros(CAPACITY // WIDTH + 1, np.int64)
+        end = END.to_bytes(4, "little")
         for b in batches:
-            cols: list[list] = [[] for _ in range(9 + keep_ids)]
             texts = [t or "" for t in b.column("text").to_pylist()]
-            rids, docs = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 2000):
-                for k, raw in enumerate(enc(texts[at : at + 2000]), at):
-                    raw += END.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    rid, doc = rids[k], docs[k]
-                    for s in range(0, n, CAPACITY):
-                        ids = raw[4 * s : 4 * (s + CAPACITY)]
-                        c = -(-len(ids) // (4 * WIDTH))
-                        row = (rid, doc, s, len(ids) // 4, zlib.crc32(ids), n, c, part, int(met[c]))
-                        met[c] += 1
-                        for col, x in zip(cols, row + (ids,) * keep_ids):
-                            col.append(x)
-            kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "part", "nth"] + ["ids"] * keep_ids)
+            raws = [raw + end for at in range(0, len(texts), 2000) for raw in enc(texts[at : at + 2000])]
+            tokens = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+            n = -(-tokens // CAPACITY)  # pieces of each document
+            row = np.repeat(np.arange(n.size), n)
+            start = (np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)) * CAPACITY
+            if row.size > n.size:
+                raws = [raws[r][4 * s : 4 * (s + CAPACITY)] for r, s in zip(row.tolist(), start.tolist())]
+            length = np.minimum(tokens[row] - start, CAPACITY)
+            cls = -(-length // WIDTH)
+            # Numbers within a class go on from batch to batch.
+            order = np.argsort(cls, kind="stable")
+            count = np.bincount(cls, minlength=met.size)
+            nth = np.empty(cls.size, np.int64)
+            nth[order] = np.arange(cls.size) - np.repeat(np.cumsum(count) - count - met, count)
+            met += count
+            crc = np.fromiter(map(zlib.crc32, raws), np.int64, len(raws))
+            at = pa.array(row)
+            cols = [b.column("rid").take(at), b.column("doc_id").take(at), *map(pa.array, (start, length, crc, tokens[row], cls.astype(np.int32), np.full(cls.size, part, np.int32), nth))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(raws, pa.binary())] * keep_ids, ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "part", "nth"] + ["ids"] * keep_ids)
 
     return run
 
@@ -163,8 +176,9 @@ def price(dual: np.ndarray, limit: np.ndarray, size: int) -> tuple[np.ndarray, f
     return pattern, value
 
 
-def solve(demand: np.ndarray, size: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
-    """The linear program by column generation with a revised simplex: (pattern, times) pairs."""
+def solve(demand: np.ndarray, size: int) -> list[tuple[np.ndarray, float]]:
+    """The linear program by column generation with a revised simplex: (pattern, times) pairs. It ends when no column prices under its cost, or when degenerate steps have left the
+    value as it was for as many rounds as there are patterns in a basis, four times over."""
     rows = np.flatnonzero(demand)
     if not rows.size:
         return []
@@ -175,7 +189,9 @@ def solve(demand: np.ndarray, size: int, rounds: int = 4000) -> list[tuple[np.nd
     np.fill_diagonal(basis, fit[rows])
     inverse = np.diag(1.0 / fit[rows])
     x = inverse @ demand[rows].astype(float)
-    for k in range(rounds):
+    k, least, since = 0, float("inf"), 0
+    while since <= 4 * m:
+        k += 1
         dual = np.zeros(size + 1)
         dual[rows] = inverse.sum(axis=0)  # every column costs one sequence
         pattern, value = price(dual, np.minimum(fit, demand), size)
@@ -189,7 +205,9 @@ def solve(demand: np.ndarray, size: int, rounds: int = 4000) -> list[tuple[np.nd
         x = x - step * col
         x[r] = step
         basis[:, r] = pattern[rows]
-        if k % 64 == 63:  # fresh inverse against drift
+        total = float(x.sum())
+        least, since = (total, 0) if total < least - 1e-9 * max(1.0, least if least < float("inf") else 1.0) else (least, since + 1)
+        if k % 64 == 0:  # fresh inverse against drift
             inverse = np.linalg.inv(basis)
             x = inverse @ demand[rows].astype(float)
         else:
@@ -226,20 +244,18 @@ def plan(demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _slots(patterns):
-    """By class: first rank of each block, its pattern's first sequence, copies of the class in the pattern, and the class's place there."""
-    by, first = {}, 0
+def _slots(patterns, size: int) -> tuple[np.ndarray, ...]:
+    """Blocks of ranks, ascending by class and rank: class, first rank, its pattern's first sequence, copies of the class in the pattern, and the class's place there. A row for each class of each pattern."""
+    rows, first, ranks = [], 0, np.zeros(size + 1, np.int64)
     for p, n in patterns:
         at = 0
-        for c in np.flatnonzero(p)[::-1]:
-            b = by.setdefault(int(c), [[0], [], [], []])
-            b[0].append(b[0][-1] + n * int(p[c]))
-            b[1].append(first)
-            b[2].append(int(p[c]))
-            b[3].append(at)
-            at += int(p[c])
+        for c in np.flatnonzero(p)[::-1].tolist():
+            k = int(p[c])
+            rows.append((c, int(ranks[c]), first, k, at))
+            ranks[c] += n * k
+            at += k
         first += n
-    return by
+    return tuple(np.array(sorted(rows), np.int64).reshape(-1, 5).T)
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="text", keep_ids: bool = False) -> DataFrame:
@@ -253,19 +269,17 @@ def pack(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="te
     demand = np.zeros(size + 1, np.int64)
     for r in met.groupBy("c_").agg(F.sum("n").alias("n")).collect():
         demand[r["c_"]] = r["n"]
-    slots = _slots(plan(demand, size))
+    cls, begin, first, copies, at = _slots(plan(demand, size), size)
+    wide = int(demand.max()) + 1
+    keys = cls * wide + begin
 
     def place(batches):
         for b in batches:
-            seq, order = [], []
-            for c, k in zip(b.column("cls").to_pylist(), b.column("rank").to_pylist()):
-                begin, first, copies, at = slots[c]
-                i = bisect_right(begin, k) - 1
-                q, r = divmod(k - begin[i], copies[i])
-                seq.append(first[i] + q)
-                order.append(at[i] + r)
+            k = b.column("rank").to_numpy()
+            i = np.searchsorted(keys, b.column("cls").to_numpy().astype(np.int64) * wide + k, "right") - 1
+            q, r = np.divmod(k - begin[i], copies[i])
             keep = [n for n in b.schema.names if n not in ("cls", "rank")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(seq, pa.int64()), pa.array(order, pa.int64())], [*keep, "sequence_id", "place"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(first[i] + q), pa.array(at[i] + r)], [*keep, "sequence_id", "place"])
 
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     ranked = pieces.join(met, (F.col("part") == F.col("p_")) & (F.col("cls") == F.col("c_"))).select(*cols, "cls", (F.col("before") + F.col("nth")).alias("rank"))
