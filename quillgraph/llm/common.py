@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -15,9 +17,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset and driver and executors are one process, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -45,6 +49,53 @@ def unstage(spark: SparkSession, *paths: str) -> None:
         _left[:] = [x for x in _left if x[1] != p]
 
 
+def left() -> set[str]:
+    """Paths of the staged tables that there are."""
+    return {p for _, p in _left}
+
+
+def drop(spark: SparkSession, paths, *readers: DataFrame) -> None:
+    """Delete those of the staged tables that none of the readers reads."""
+    read = [f for r in readers for f in r.inputFiles()]
+    unstage(spark, *(p for p in paths if p in left() and not any(p.rsplit("/", 1)[1] in f for f in read)))
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+SLOTS = 1 << 20  # bound of the rows that are broadcast to tell which rows a few ids may mean
+
+
+def _slot(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(SLOTS))
+
+
+def parted(rows: DataFrame, ids: DataFrame, col: str = "rid") -> tuple[DataFrame, DataFrame]:
+    """Rows whose col may be among those of ids, and rows whose col surely isn't, told by hash slots (SLOTS at most are broadcast), so that the latter, wide as they may be, need no shuffle."""
+    slots = F.broadcast(ids.select(_slot(col).alias("slot_")).distinct())
+    return rows.join(slots, _slot(col) == F.col("slot_"), "left_semi"), rows.join(slots, _slot(col) == F.col("slot_"), "left_anti")
+
+
+def without(rows: DataFrame, ids: DataFrame, col: str = "rid") -> DataFrame:
+    """Rows whose col isn't among those of ids."""
+    maybe, surely_not = parted(rows, ids, col)
+    return maybe.join(ids.select(F.col(col).alias("id_")), F.col(col) == F.col("id_"), "left_anti").unionAll(surely_not)
+
+
+def plain(docs: DataFrame):
+    """docs with columns c0, c1, ..., and what finds the new name of an old one: an exact match, else the first that differs in case only."""
+    names = docs.columns
+
+    def at(name: str) -> str | None:
+        hit = [i for i, n in enumerate(names) if n == name] or [i for i, n in enumerate(names) if n.lower() == name]
+        return f"c{hit[0]}" if hit else None
+
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), at
+
+
 @atexit.register
 def _clean() -> None:
     for spark, p in _left:

@@ -4,12 +4,12 @@ Base: e-mail, IP, card and phone, each kind's leftmost non-overlapping matches;
 
 Method: the information that a term gives about a protected entity is their pointwise mutual information over the corpus,
 pmi = log(N * n(e, t) / (n(e) * n(t))), counted in documents; n(e, t) counts documents that hold both, wherever they stand. It is held against the entity's own
-information, ic = log(N / n(e)). A term that gives GENERALISE of it or more about some entity is replaced by a placeholder, one that gives REMOVE or more is
-taken out, at every place where it stands in any text, outside base spans. pmi rests on the share n(e, t) / n(t); of pairs seen in fewer than SUPPORT documents, on that
+information, ic = log(N / n(e)). A term that gives GENERALISE of it or more about some entity, and means that entity with a probability of LEAST or more, is replaced by a placeholder, and taken
+out if it gives REMOVE or more, at every place where it stands in any text, outside base spans. pmi rests on the share n(e, t) / n(t); of pairs seen in fewer than SUPPORT documents, on that
 share's lower bound (Wilson's, one-sided at 95 %), so entities of one or two documents have estimates too, as sure as so few documents allow.
 
 Counts cover every row. Document frequencies are combined in each Arrow batch before the shuffle; pairs are
-formed only where n(t) is small enough for the threshold to be met at all: n(e, t) is n(e) at most. Null
+formed only where n(t) is small enough for LEAST to be met at all: n(e, t) is n(e) at most. Null
 text counts as empty; rows that repeat are documents of their own; an empty table gives an empty result.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, left, parted, plain, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns and the placeholders.
@@ -44,7 +44,8 @@ PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PH
 
 SUPPORT = 3
 Z = 1.645  # one-sided 95 %
-GENERALISE = 0.85
+GENERALISE = 0.8
+LEAST = 0.25  # of n(e, t) / n(t)
 REMOVE = 0.98
 SLOTS = 1 << 20  # hash slots that tell a task which words may disclose
 FLUSH = 200_000  # distinct terms that a task holds before it hands its counts on
@@ -158,8 +159,8 @@ def disclosing(src: DataFrame, scan: DataFrame) -> DataFrame:
     held = scan.select("rid", F.explode("held").alias("entity"))
     counts = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).withColumnRenamed("entity", "e_")
     held, _ = staged(held.join(counts, F.col("entity") == F.col("e_")).select("rid", "entity", "n_e"), "pii-held")
-    # The largest n(t) at which a term that every document of an entity holds still gives GENERALISE.
-    most = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - GENERALISE)) * 1.001 + 1
+    # The largest n(t) at which a term that every document of an entity holds still means it with a probability of LEAST.
+    most = F.col("n_e") / LEAST
     top = held.agg(F.max(most)).first()[0] or 0.0
     terms = src.select("text").mapInArrow(_frequencies, "term string, n long")
     freq = terms.groupBy("term").agg(F.sum("n").alias("n_t")).where(F.col("n_t") <= top).withColumnRenamed("term", "t_")
@@ -169,8 +170,8 @@ def disclosing(src: DataFrame, scan: DataFrame) -> DataFrame:
     n = F.greatest("n_t", "n_et")
     share = F.col("n_et") / n
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    given = 1 + F.log(F.when(F.col("n_et") < SUPPORT, low).otherwise(share)) / ic
-    return both.where(ic > 0).select("entity", "term", given.alias("given")).where(F.col("given") >= GENERALISE)
+    sure = F.when(F.col("n_et") < SUPPORT, low).otherwise(share)
+    return both.where((ic > 0) & (sure >= LEAST)).select("entity", "term", (1 + F.log(sure) / ic).alias("given")).where(F.col("given") >= GENERALISE)
 
 
 def _places(bits: bytes):
@@ -221,8 +222,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_co
 def all_spans(base: str, extra) -> str:
     """Base and term spans as one string, by start, then kind as listed."""
     spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base.split(",") if x)]
-    spans += [("term", x["a"], x["b"]) for x in extra or []]
-    return told(sorted(spans, key=lambda s: (s[1], (*KINDS, "term").index(s[0]))))
+    spans += [(x["kind"], x["a"], x["b"]) for x in extra or []]
+    return told(sorted(spans, key=lambda s: (s[1], (*KINDS, "term", "gone").index(s[0]))))
 
 
 def sanitised(text: str, base: str, extra) -> str:
@@ -242,27 +243,34 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "extra"), pa.array([all_spans(x, y) for x, y in zip(d["base"], d["extra"])], pa.string())], [*(c for c in b.schema.names if c != "extra"), "spans"])
 
 
-def _clean(batches):
-    for b in batches:
-        d = b.select(["t_", "base", "extra"]).to_pydict()
-        new = [t if t is None or not (x or y) else sanitised(t, x or "", y) for t, x, y in zip(d["t_"], d["base"], d["extra"])]
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(new, pa.string())], ["rid", "t_"])
+def _clean(text: str):
+    """Batches with the text sanitised, and without the column of term spans."""
+
+    def run(batches):
+        for b in batches:
+            d = b.select([text, "base", "extra"]).to_pydict()
+            new = [t if t is None or not (x or y) else sanitised(t, x or "", y) for t, x, y in zip(d[text], d["base"], d["extra"])]
+            names = [n for n in b.schema.names if n != "extra"]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else b.column(n) for n in names], names)
+
+    return run
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """Docs with sanitised text, and n_chars, where there is one, to match; other columns stay, whatever their names."""
-    names = docs.columns
-    at = {n.lower(): f"c{i}" for i, n in enumerate(names)}
-    rows, _ = staged(docs.toDF(*at.values()).withColumn("rid", F.monotonically_increasing_id()), "pii-docs")
-    found = find(rows, at["doc_id"], at["text"], "rid").where("base <> '' or extra is not null").select(F.col("rid").alias("r_"), "base", "extra")
-    # Only rows with personal data or disclosing terms are rewritten.
-    hit = rows.join(found, F.col("rid") == F.col("r_")).select("rid", F.col(at["text"]).cast("string").alias("t_"), "base", "extra")
-    new = hit.mapInArrow(_clean, "rid long, t_ string").withColumnRenamed("rid", "r_")
-    kind = dict(docs.dtypes)
-    out = rows.join(new, F.col("rid") == F.col("r_"), "left").withColumn(at["text"], F.coalesce("t_", at["text"]))
-    if "n_chars" in at:
-        out = out.withColumn(at["n_chars"], F.when(F.col("r_").isNotNull(), F.length(at["text"]).cast(kind[next(n for n in names if n.lower() == "n_chars")])).otherwise(F.col(at["n_chars"])))
-    return out.select(*at.values()).toDF(*names)
+    rows, at = plain(docs)
+    text, n_chars = at("text"), at("n_chars")
+    rows, _ = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "pii-docs")
+    before = left()
+    found, path = staged(find(rows, at("doc_id"), text, "rid").where("base <> '' or extra is not null").select("rid", "base", "extra"), "pii-found")
+    drop(docs.sparkSession, left() - before - {path})
+    # Only rows with personal data or disclosing terms, and the few that share their hash slots, are shuffled and rewritten.
+    maybe, untouched = parted(rows, found)
+    hit = maybe.join(found.withColumnRenamed("rid", "r_"), F.col("rid") == F.col("r_"), "left").drop("rid", "r_")
+    cleaned = hit.mapInArrow(_clean(text), hit.drop("extra").schema)
+    if n_chars:
+        cleaned = cleaned.withColumn(n_chars, F.when(F.col("base").isNotNull(), F.length(text).cast(rows.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return cleaned.drop("base").unionByName(untouched.drop("rid")).toDF(*docs.columns)
 
 
 def query(spark, sf_dir):

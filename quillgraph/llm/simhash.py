@@ -10,7 +10,7 @@ like any other. Rows that repeat keep a row each. A component's id is its smalle
 
 That is op9's contract. near_dedup, the pipeline's stage, links at a similarity (common shingles over all shingles) of 4/5 or more of the sets of five-word shingles, and
 misses no such pair: sets are put in one fixed order, and two sets that alike share one of their first n - ceil(4n/5) + 1 shingles. The order is by how often a
-sample holds a shingle, rare ones first, so the sample bears on cost only, not on what is found. Sets that meet are held to the bounds that their sizes and places give; pairs left
+sample holds a shingle, rare ones first, so the sample bears on cost only, not on what is found. Sets that meet are held to the bounds that their sizes and places give, then to the bound of their sketches (parities in slots), which loses no similar pair either; pairs left
 are compared on the whole sets. First only neighbours in a bucket are compared; then all pairs whose rows aren't in one component yet. Equal sets are one node. Texts of fewer than
 five words are one shingle, so null and empty texts are alike. Shingles are 64-bit hashes, equal sets 128-bit ones.
 """
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import drop, left, parted, plain, staged, unstage, without
 
 BITS, SEGMENTS = 4, ((0, 21), (21, 42), (42, 64))
 SHINGLE = 5  # words of near_dedup's shingles
@@ -189,21 +189,45 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([b.column("rid"), _lists([shingles(t) for t in b.column("text").to_pylist()])], ["rid", "set"])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's members dealt to slots, a power of two of them and twice as many as members at least. Halves of a sketch, added, are the sketch of half as many slots."""
+    slots = 1 << max(3, int(2 * s.size - 1).bit_length())
+    return np.packbits(np.bincount(s & (slots - 1), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def most_common(a: int, b: int, x: bytes, y: bytes) -> int:
+    """The most members that sets of a and b members can share by their sketches: each slot of unlike parity holds a member of one set only."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while p.size > q.size:
+        p = p[: p.size // 2] ^ p[p.size // 2 :]
+    while q.size > p.size:
+        q = q[: q.size // 2] ^ q[q.size // 2 :]
+    return (a + b - int(np.bitwise_count(p ^ q).sum())) // 2
+
+
+def _possible(batches):
+    """Pairs whose sketches allow them to be similar."""
+    for b in batches:
+        ok = [bool(alike(most_common(m, n, x, y), m, n)) for m, n, x, y in zip(*(b.column(c).to_pylist() for c in ("m", "n", "x", "y")))]
+        yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _prefixes(common, ranks):
-    """A row for each text: a digest and the size of its set, and the set's prefix in the order."""
+    """A row for each text: a digest, the size and the sketch of its set, and the set's prefix in the order."""
 
     def run(batches):
         for b in batches:
-            digest, sizes, heads = [], [], []
+            digest, sizes, sketches, heads = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
                 digest.append(xxhash.xxh128_digest(s.tobytes()))
                 sizes.append(s.size)
+                sketches.append(sketch(s))
                 if common.size:
                     i = np.minimum(np.searchsorted(common, s), common.size - 1)
                     s = s[np.argsort(np.where(common[i] == s, ranks[i], 0), kind="stable")]
                 heads.append(s[: s.size - (4 * s.size + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), _lists(heads)], ["rid", "doc_id", "digest", "n", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), _lists(heads)], ["rid", "doc_id", "digest", "n", "sketch", "head"])
 
     return run
 
@@ -270,8 +294,9 @@ def _similar(batches):
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar, from the texts of rows."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets, _ = staged(rows.join(ids, rows["rid"] == ids["id"], "left_semi").select("rid", "text").mapInArrow(_shingled, "rid long, set array<long>"), "near-sets")
+    ids, _ = staged(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "near-ids")
+    maybe, _ = parted(rows.select("rid", "text"), ids)
+    sets, _ = staged(maybe.join(ids.withColumnRenamed("rid", "id"), F.col("rid") == F.col("id"), "left_semi").mapInArrow(_shingled, "rid long, set array<long>"), "near-sets")
     x, y = sets.toDF("a_", "x"), sets.toDF("b_", "y")
     both = pairs.join(x, F.col("u") == F.col("a_")).join(y, F.col("v") == F.col("b_"))
     return both.select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
@@ -287,7 +312,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = part.select("rid", "text").mapInArrow(_shingled, "rid long, set array<long>").select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     often = sorted(often.where("c > 2").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect())
     common, ranks = np.array([r["s"] for r in often], np.int64), np.array([r["c"] for r in often], np.int64)
-    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, digest binary, n long, head array<long>"), "near-heads")
+    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, digest binary, n long, sketch binary, head array<long>"), "near-heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rid").alias("r")))
     nodes, _ = staged(heads.groupBy("digest").agg(F.min("rid").alias("node"), first.alias("first")), "near-nodes")
     index = heads.join(nodes.select(F.col("node").alias("k_")), heads["rid"] == F.col("k_")).select(F.posexplode("head").alias("at", "key"), F.col("rid").alias("node"), "n")
@@ -296,7 +321,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def pairs(rows, neighbours):
         dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(neighbours), "u long, v long")
-        got, _ = staged(dealt.distinct(), "near-pairs")
+        of = lambda *names: heads.select("rid", "n", "sketch").toDF(*names)
+        both = dealt.distinct().join(of("a_", "m", "x"), F.col("u") == F.col("a_")).join(of("b_", "n", "y"), F.col("v") == F.col("b_"))
+        got, _ = staged(both.select("u", "v", "m", "n", "x", "y").mapInArrow(_possible, "u long, v long"), "near-pairs")
         return _verified(got, src)
 
     near, _ = staged(pairs(met.withColumn("root", F.col("node")), True), "near-links")
@@ -313,11 +340,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of each component of similar docs; every column stays, whatever its name."""
-    names = docs.columns
-    at = {n.lower(): f"c{i}" for i, n in enumerate(names)}
-    rows, _ = staged(docs.toDF(*at.values()).withColumn("rid", F.monotonically_increasing_id()), "simhash-docs")
-    kept = similar_classes(rows, at["doc_id"], at["text"], "rid").where("kept").select("rid")
-    return rows.join(kept, "rid", "left_semi").drop("rid").toDF(*names)
+    rows, at = plain(docs)
+    rows, _ = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "simhash-docs")
+    before = left()
+    gone, path = staged(similar_classes(rows, at("doc_id"), at("text"), "rid").where("not kept").select("rid"), "simhash-gone")
+    drop(docs.sparkSession, left() - before - {path})
+    return without(rows, gone).drop("rid").toDF(*docs.columns)
 
 
 def query(spark, sf_dir):
