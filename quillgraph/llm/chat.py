@@ -8,8 +8,8 @@ The dynamic program is a chain of small min-plus matrices over the automaton's f
 partitions, and no conversation is gathered: a first pass multiplies each stretch at a partition's edge, the stretches' matrices (two a partition at most) are chained, a second pass finds
 which state each stretch leaves in for every state it may be entered in, and a last pass takes the choices and renders.
 
-Each row gives one piece of text, inserted turns and turn ends included; a conversation is its pieces joined in order of pos. Null turns sort first, ties by role and text; rows that repeat are turns of their own; a null
-or unknown role is free to take any role at COSTS["unknown"]; null text counts as empty; a null conv_id is a conversation of its own; an empty table gives an empty result.
+Each row gives one piece of text, inserted turns and turn ends included; a conversation is its pieces joined in order of pos. Null turns sort first, ties by role and hash of the text; rows that repeat are turns of their own; a null
+or unknown role is free to take any role at COSTS["unknown"]; null text counts as empty; a null conv_id is a conversation of its own; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -168,8 +168,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """A row for each turn: conv_id, pos (from 0 in its conversation), turn, role_in, role_out, merged, relabelled, inserted, cost, piece."""
     src = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Rows that are alike in every column would all sort to one place; a seeded number parts them.
-    order = ["conv", "turn", "role", "text", "salt"]
-    dealt = src.withColumn("salt", F.rand(3)).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The driver samples keys for the ranges, so these hold a text's hash and not the text.
+    order = ["conv", "turn", "role", "hash", "salt"]
+    dealt = src.withColumn("hash", F.xxhash64("text")).withColumn("salt", F.rand(3)).repartitionByRange(*order).sortWithinPartitions(*order)
     rows = _fixed(dealt.select("conv", "turn", "role", "text"))
     edges = sorted(rows.mapInArrow(_kinds_pass, EDGES).collect(), key=lambda r: (r["part"], r["n"]))  # two rows a partition at most
     chains: dict = {}

@@ -3,14 +3,13 @@
 Every language gets a codeword. For each bit a logistic classifier over the shares of hashed letter n-grams predicts that bit; a text's language is the codeword
 whose loss is smallest, each bit's loss weighted by how well that bit is told on the training sample. A small gap between the two nearest codewords is flagged.
 
-Learnt from a bounded sample of labelled rows: SAMPLE rows of each language, those with the smallest hash of their ids; whole texts. Prediction reads
+Learnt from a bounded sample of labelled rows: SAMPLE rows of each language, fewer where that would be over ROWS in all, those with the smallest hash of their ids; whole texts. Prediction reads
 nothing but the text. Null texts, and texts without a letter, are 'und' with score 0; so is every text where no language can be learnt. Rows that repeat
-keep a row each; an empty table gives an empty result.
+keep a row each; an empty table gives an empty result; of docs only the id, the text and, to learn, the language are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import reduce
 from itertools import combinations
@@ -18,19 +17,21 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-SAMPLE = 400  # rows a language; the bound of what is learnt from
+SAMPLE = 400  # rows a language, at most
+ROWS = 2400  # rows of all languages together, at most, and one a language at least: the bound of what is learnt from
 SLACK = 2
 SLOTS = 1 << 14
 EPOCHS = 300
 AMBIGUOUS = 0.2  # gap of losses under which a prediction is flagged
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(k: int) -> np.ndarray:
@@ -118,15 +119,16 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> d
     held = {r[0]: r[1] for r in rows.groupBy("l_").agg(F.count(F.lit(1))).collect()}  # a row a language
     if not held:
         return train([], [])
-    # Only rows under a cut of the hash leave their task: about SLACK * SAMPLE a language, however many tasks there are.
-    share = {a: min(1.0, SLACK * SAMPLE / n) for a, n in held.items()}
+    each = max(1, min(SAMPLE, ROWS // len(held)))
+    # Only rows under a cut of the hash leave their task: about SLACK times as many as are kept, however many tasks there are.
+    share = {a: min(1.0, SLACK * each / n) for a, n in held.items()}
     got, lacking = [], set(held)
     while lacking:
         under = [(F.col("l_") == a) & (F.col("h_") <= min(2**63 - 1, int(share[a] * 2**64) - 2**63)) for a in sorted(lacking)]
         first = Window.partitionBy("l_").orderBy("h_", "t_")
-        best = rows.where(reduce(or_, under)).withColumn("k_", F.row_number().over(first)).where(F.col("k_") <= SAMPLE).collect()
+        best = rows.where(reduce(or_, under)).withColumn("k_", F.row_number().over(first)).where(F.col("k_") <= each).collect()
         n = Counter(r["l_"] for r in best)
-        short = {a for a in lacking if n[a] < min(SAMPLE, held[a])}  # where many rows share an id
+        short = {a for a in lacking if n[a] < min(each, held[a])}  # where many rows share an id
         got += [r for r in best if r["l_"] not in short]
         share.update((a, min(1.0, 8 * share[a])) for a in short)
         lacking = short

@@ -164,6 +164,16 @@ def test_near_dedup_is_brute_force(spark):
     assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == set(label)
 
 
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        pool = rng.integers(-(1 << 62), 1 << 62, 300)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 200))) for _ in range(2))
+        common = np.intersect1d(a, b).size
+        assert common <= simhash.most_common(a.size, b.size, simhash.sketch(a), simhash.sketch(b)) <= min(a.size, b.size) + abs(a.size - b.size)
+    assert simhash.most_common(200, 200, *(simhash.sketch(rng.integers(0, 1 << 62, 200)) for _ in range(2))) < 150
+
+
 def test_chat_cost_is_least():
     def best(kinds, s=chat.START):
         if not kinds:
@@ -188,6 +198,70 @@ def test_pii_terms(spark, none):
     assert all("[EMAIL]" in clean[i] for i in range(8)) and all(clean[i] == t for i, t in rows if i >= 8)
 
 
+def test_pii_terms_by_brute_force(spark):
+    """The term spans are those that the documented estimate gives, counted plainly."""
+    import math
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for _ in range(12)]
+        if i % 30 == 0:
+            words[5:5] = [f"Name{'abcdefghij'[i // 90]}", f"user{i // 90}@mail.example.com"]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "r", "g", "f") for i, t in rows], SCHEMA)
+    held = [{t[a:b].lower() for _, a, b in pii.base_spans(t)} for _, t in rows]
+    terms = [{w for w, _, _ in pii._words(t, pii.base_spans(t))} for _, t in rows]
+    every = [set(pii.TERM.findall(t.lower())) for _, t in rows]
+    given = {}
+    for e in set().union(*held):
+        n_e = sum(e in h for h in held)
+        for w in set().union(*(t for h, t in zip(held, terms) if e in h)):
+            n_t, n_et = sum(w in x for x in every), sum(e in h and w in t for h, t in zip(held, terms))
+            share, z, n = n_et / n_t, pii.Z, n_t
+            if n_et < pii.SUPPORT:
+                share = (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            g = 1 + math.log(share) / math.log(len(rows) / n_e)
+            if share >= pii.LEAST and g >= pii.GENERALISE:
+                given[w] = max(g, given.get(w, 0))
+    want = {i: sorted((a, b, "gone" if given[w] >= pii.REMOVE else "term") for w, a, b in pii._words(t, pii.base_spans(t)) if w in given) for i, t in rows}
+    got = {r["doc_id"]: sorted((x["a"], x["b"], x["kind"]) for x in r["extra"] or []) for r in pii.find(df).collect()}
+    assert got == want and sum(map(len, want.values())) >= 30
+
+
+def test_pii_many_spans_cost_no_square():
+    import time
+
+    t = " ".join(f"name{i} x{i}@mail.example.com" for i in range(3000))
+    at = time.perf_counter()
+    assert len(list(pii._words(t, pii.base_spans(t)))) == 3000 and time.perf_counter() - at < 5
+
+
+def test_pipeline(spark, tmp_path):
+    """The stages one after another, as the tool runs them: what each drops and changes, and that earlier stages' tables are deleted."""
+    import corpus_pipeline
+    from quillgraph.llm import common
+
+    good = [_text(60) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(100, good[0].replace(" ", "  ")), (101, good[1] + " alphax"), (102, good[2] + " mail kim@mail.example.com")]
+    rows += [(200 + i, _text(40).upper().replace(" ", "!! ")) for i in range(30)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 200), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, ids = df, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        ids.append({r[0] for r in docs.select("doc_id").collect()})
+    keep = set(range(30)) | {100, 101, 102}
+    assert ids[0] == keep and ids[1] == keep - {0} and ids[2] == keep - {0, 101, 102} and ids[3] == ids[2]
+    before = common.left()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+    assert set(packed.doc_id) == ids[3] and not (before & common.left() & corpus_pipeline._stages_left)
+
+
 def test_pii_terms_anywhere(spark):
     """A disclosing term far from its entity is found, and goes wherever it stands."""
     far = " ".join(WORDS * 20)
@@ -262,6 +336,10 @@ def test_packing(docs, none):
 
 def test_encoder_is_the_tokenizer():
     enc = packing.encoder(packing.tokenizer_path())
+    letters = [chr(c) for c in range(0x21, 0xFFFF) if chr(c).isalpha() and (c < 0x3000 or c % 13 == 0) and not 0xD800 <= c < 0xE000]
+    marked = [f"ab{c},x AB{c}. {c}{c}'s" for c in letters]
+    for t, raw in zip(marked, enc(marked)):  # every letter as a word's last before a comma or full stop
+        assert np.frombuffer(raw, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
     for t in ["Hello, World.", "ΑΣ ΣΑ. don't   stop...", "x y <|endoftext|> z", "É é İ 12a", "a" * 300, ""]:
         assert np.frombuffer(enc([t])[0], "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
@@ -272,7 +350,7 @@ def test_bpe_is_tiktoken(docs, none):
 
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(bpe.vocab_path()), special_tokens={})
     c = bpe.coder(bpe.vocab_path(), public_tokenizers.PATTERN)
-    for t in ["foo  bar", "a   b \n c", "  x", "x  ", "x\n \n", "aaaa" * 300, "don't   stop", "1 2  3\r\n\r\n 4", "été " * 50, ""] + [t for _, t in ROWS if t]:
+    for t in ["foo  bar", "a   b \n c", "  x", "x  ", "x\n \n", "aaaa" * 300, "".join(random.choice("etaoinsh") for _ in range(700)), "don't   stop", "1 2  3\r\n\r\n 4", "été " * 50, ""] + [t for _, t in ROWS if t]:
         ids = ref.encode_ordinary(t)
         assert c.encode(t) == ids and c.decode(ids) == t.encode()
         assert c([t])[0] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
