@@ -2,53 +2,102 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import cosine, tokens
+from quillgraph.functions.text import tokens
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf): one shuffle, counts combined before it."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def corpus(docs: DataFrame) -> DataFrame:
+    """(doc_id, toks): what searches of a corpus share; persist it where there are several."""
+    return docs.select("doc_id", tokens(F.col("text")).alias("toks"))
 
 
-def bm25(docs: DataFrame, query: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """(doc_id, score, matched) of docs against the distinct terms of query (column text, a row); statistics come from all docs, rows from keep if given.
+def bm25_parts(docs: DataFrame, queries: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, term, tf, idf, part) for each term of a query that a document holds. queries: query_id, text. Statistics come from all docs, rows from keep if given.
 
-    Only postings of query terms are built: the terms, a query's worth, are broadcast before anything is counted.
+    Only postings of query terms are built. The queries of a search are few and their terms are broadcast; tf, df and lengths come from one pass over the tokens.
     """
-    terms = F.broadcast(query.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("q")))
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
+    toks = corpus(docs)
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("q"))
+    terms = F.broadcast(asked.select("q").distinct())
     stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    tf = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(terms, F.col("term") == F.col("q")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("term", "term_")
+    tf = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(terms, F.col("term") == F.col("q"), "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy(F.col("term").alias("term_")).agg(F.count(F.lit(1)).alias("df"))
     rows = tf.join(F.broadcast(df), F.col("term") == F.col("term_")).crossJoin(F.broadcast(stats))  # a row a query term; one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     if keep is not None:
         rows = rows.join(keep.select("doc_id"), "doc_id", "left_semi")
-    return rows.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    rows = rows.select("doc_id", "term", "tf", idf.alias("idf"), part.alias("part"))
+    return rows.join(F.broadcast(asked), F.col("term") == F.col("q")).select("query_id", "doc_id", "term", "tf", "idf", "part")
 
 
-def top(df: DataFrame, k: int, *order) -> DataFrame:
-    return df.orderBy(*order).limit(k)
+def bm25(docs: DataFrame, queries: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, matched) of the documents with a positive score for each query."""
+    parts = bm25_parts(docs, queries, keep)
+    return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched")).where("score > 0")
+
+
+def best(scored: DataFrame, k: int, tie: str = "doc_id") -> DataFrame:
+    """The k best rows of each query, with rank from 1; each task keeps k a query before the shuffle."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def explained(parts: DataFrame, hits: DataFrame, most: int = 6) -> DataFrame:
+    """hits with terms, their heaviest parts (term, tf, idf, score; to four decimals, ties by term), n_terms, all of them, and line, which says so."""
+    p = parts.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    one = F.struct((-F.round("part", 4)).alias("k"), "term", "tf", F.round("idf", 4).alias("idf"), F.round("part", 4).alias("score"))
+    g = p.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(one)).alias("l"), F.count(F.lit(1)).alias("n_terms"))  # a query's terms
+    terms = F.transform(F.slice("l", 1, most), lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), x["idf"].alias("idf"), x["score"].alias("score")))
+    line = F.array_join(F.transform(F.slice("l", 1, 3), lambda x: F.concat(x["term"], F.lit(" ("), x["tf"].cast("string"), F.lit("x)"))), ", ")
+    return hits.join(g.select("query_id", "doc_id", terms.alias("terms"), "n_terms", line.alias("line")), ["query_id", "doc_id"])
 
 
-def vector_search(vectors: DataFrame, query: DataFrame) -> DataFrame:
-    """(vec_id, score): cosine of each vector with the one row of query."""
-    q = F.broadcast(query.select(F.col("embedding").cast("array<double>").alias("q")))
-    return vectors.crossJoin(q).select("vec_id", F.round(cosine(F.col("embedding").cast("array<double>"), F.col("q")), 4).alias("score"))
+@lru_cache(4096)
+def _finder(term: str):
+    """Starts of a term: Latin ones as whole words, others at every place, overlaps too."""
+    latin = term.isascii() and term.isalnum()
+    return re.compile(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])" if latin else rf"(?={re.escape(term)})").finditer
+
+
+def term_spans(texts: DataFrame) -> DataFrame:
+    """(id, start, end, top) where the terms of a text stand in it, whatever their case. texts: id, text, terms (array of term, in lower case, and top). A pass over each text, nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            ids, starts, ends, tops = [], [], [], []
+            for i, text, terms in zip(*(b.column(c).to_pylist() for c in ("id", "text", "terms"))):
+                low = (text or "").lower()
+                for t in terms or []:
+                    found = [m.start() for m in _finder(t["term"])(low)] if t["term"] else []
+                    ids += [i] * len(found)
+                    starts += found
+                    ends += [x + len(t["term"]) for x in found]
+                    tops += [t["top"]] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(tops, pa.bool_())], ["id", "start", "end", "top"])
+
+    return texts.select(F.col("id").cast("long"), "text", "terms").mapInArrow(run, "id long, start int, end int, top boolean")
+
+
+def top(df: DataFrame, k: int, *order) -> DataFrame:
+    return df.orderBy(*order).limit(k)
 
 
 def chunk_fixed(docs: DataFrame, size: int) -> DataFrame:
     """Windows of size characters, stripped; blank ones are left out and don't count."""
-    at = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size))).alias("start"))
-    cut = at.select("doc_id", "start", F.regexp_replace(F.substring("text", F.col("start") + 1, F.lit(size)), r"^\s+|\s+$", "").alias("chunk")).where("chunk <> ''")
-    # Starts within a document are its own few rows.
-    return cut.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1).alias("chunk_index"), "start", F.length("chunk").alias("n_chars"), "chunk")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size)), lambda i: F.struct(i.alias("start"), strip(F.substring(F.col("text"), i + 1, F.lit(size))).alias("chunk")))
+    # Numbered within the row, so that nothing is shuffled.
+    rows = docs.select("doc_id", F.posexplode(F.filter(cut, lambda x: x["chunk"] != "")).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", "c.start", F.length("c.chunk").alias("n_chars"), "c.chunk")
 
 
 def majority(rows: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
@@ -57,15 +106,11 @@ def majority(rows: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
     return n.groupBy(key).agg(F.max_by(value, F.struct("n", (-F.col("first")).alias("f"))).alias(value))
 
 
-def rerank(rows: DataFrame, k: int) -> DataFrame:
-    """Judged rows first, by score, then stated score, then rank before; moved and kept follow from the new rank."""
-    w = Window.partitionBy("query_id").orderBy(F.col("ok").desc(), F.coalesce("score", F.lit(0.0)).desc(), F.coalesce("said", F.lit(0.0)).desc(), "rank_before")
-    return rows.withColumn("rank_after", F.row_number().over(w)).withColumn("moved", F.col("rank_before") - F.col("rank_after")).withColumn("kept", F.col("rank_after") <= k)
-
-
 def merge_spans(spans: DataFrame) -> DataFrame:
-    """(id, start, end): spans that overlap or touch become one."""
+    """(id, island, start, end, n_spans, top): spans that overlap or touch become one, top if one of them is."""
+    if "top" not in spans.columns:
+        spans = spans.withColumn("top", F.lit(False))
     w = Window.partitionBy("id").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     flagged = spans.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
-    return flagged.withColumn("island", F.sum("new").over(w)).groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_spans"))
+    return flagged.withColumn("island", F.sum("new").over(w)).groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_spans"), F.bool_or("top").alias("top"))

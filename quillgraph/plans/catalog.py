@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as X
+from quillgraph.operators import chunking as C
 from quillgraph.operators import graph as G
 from quillgraph.operators import layout as L
+from quillgraph.operators import notes as N
+from quillgraph.operators import rerank as K
 from quillgraph.operators import retrieval as R
+from quillgraph.operators import search as S
+from quillgraph.operators import store as T
+from quillgraph.operators import tools as O
+from quillgraph.streaming import runs as E
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -28,69 +35,78 @@ def read(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def both(name: str, sql: str, duck: str | None = None):
-    """A query written in Spark SQL over the tables it names in braces; duck is DuckDB's wording where that differs."""
-    import re
-
-    names = set(re.findall(r"\{(\w+)\}", sql))
-
-    def f(spark, d):
-        return spark.sql(sql, **{n: read(spark, d, n) for n in names})
-
-    QUERIES[name] = f
-    ORACLE_SQL[name] = (duck or sql).format(**{n: n for n in names}) if duck is None else duck
-
-
+# The queries of a search: items of the benchmark, or vectors, whose id is divisible by 50, against all rows.
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 BM25 = f"""
 with t as (select doc_id, source, {TOKENS} as toks from documents),
-q as (select distinct unnest({TOKENS}) as term from benchmark where item_id = (select min(item_id) from benchmark)),
+q as (select distinct item_id as query_id, unnest({TOKENS}) as term from benchmark where item_id % 50 = 0),
 s as (select count(*) as n, avg(len(toks)) as avgdl from t),
-tf as (select doc_id, len(toks) as dl, term, count(*) as tf from (select doc_id, source, toks, unnest(toks) as term from t) join q using (term) group by all),
+tf as (select doc_id, len(toks) as dl, term, count(*) as tf from (select doc_id, source, toks, unnest(toks) as term from t) where term in (select term from q) group by all),
 df as (select term, count(*) as df from tf group by term),
-p as (select doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) as part from tf join df using (term), s),
-r as (select doc_id, round(sum(part), 6) as score, count(*) as matched from p group by doc_id)
+p as (select query_id, doc_id, term, tf, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) as part from tf join df using (term) join q using (term), s),
+r as (select query_id, doc_id, round(sum(part), 6) as score, count(*) as matched from p group by all),
 """
 
 
-def _bm25(spark, d, keep=None):
-    docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark")
-    return R.bm25(docs, bench.orderBy("item_id").limit(1), keep(docs) if keep else None)
+def _asked(spark, d):
+    return read(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(BM25 + "select row_number() over (order by score desc, doc_id) as rank, doc_id, score, matched from r order by score desc, doc_id limit 10")
+@query(BM25 + "k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) select query_id, rank, doc_id, score, matched from k where rank <= 10")
 def bm25_topk(spark, d):
-    best = R.top(_bm25(spark, d), 10, F.col("score").desc(), "doc_id")
-    return best.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")).cast("long").alias("rank"), "doc_id", "score", "matched")  # ten rows
+    return R.best(R.bm25(read(spark, d, "documents"), _asked(spark, d)), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "matched")
 
 
-@query(BM25 + "select doc_id, score, matched from r where doc_id in (select doc_id from documents where source <> 'src0') order by score desc, doc_id limit 10")
+@query(BM25 + "k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r where doc_id in (select doc_id from documents where source <> 'src0')) select query_id, rank, doc_id, score, matched from k where rank <= 10")
 def bm25_exclude_generated(spark, d):
-    return R.top(_bm25(spark, d, lambda x: x.where("source <> 'src0'")), 10, F.col("score").desc(), "doc_id")
+    docs = read(spark, d, "documents")
+    return R.best(R.bm25(docs, _asked(spark, d), docs.where("source <> 'src0'")), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "matched")
 
 
-@query(BM25 + "select (select count(*) from q) as query_terms, (select n from s) as corpus, (select count(*) from r) as matched, (select round(avgdl, 1) from s) as avgdl")
+@query(BM25 + "m as (select query_id, count(*) as matched from r group by query_id), w as (select query_id, count(*) as query_terms from q group by query_id) select query_id, query_terms, (select n from s) as corpus, coalesce(matched, 0) as matched, (select round(avgdl, 1) from s) as avgdl from w left join m using (query_id)")
 def bm25_stats(spark, d):
-    docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark").orderBy("item_id").limit(1)
-    q = bench.select(F.size(F.array_distinct(X.tokens(F.col("text")))).cast("long").alias("query_terms"))
+    docs, asked = read(spark, d, "documents"), _asked(spark, d)
+    q = asked.select("query_id", F.size(F.array_distinct(X.tokens(F.col("text")))).cast("long").alias("query_terms")).where("query_terms > 0")
     s = docs.agg(F.count(F.lit(1)).alias("corpus"), F.round(F.avg(F.size(X.tokens(F.col("text")))), 1).alias("avgdl"))
-    m = R.bm25(docs, bench).agg(F.count(F.lit(1)).alias("matched"))
-    return q.crossJoin(s).crossJoin(m).select("query_terms", "corpus", "matched", "avgdl")  # one row each
+    m = R.bm25(docs, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    return q.join(m, "query_id", "left").crossJoin(s).select("query_id", "query_terms", "corpus", F.coalesce("m", F.lit(0)).alias("matched"), "avgdl")  # one row of s
 
 
-COS = "with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select e as q from v where vec_id = 0)\n"
+@query(BM25 + """k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r),
+h as (select p.query_id, p.doc_id, p.term, p.tf, round(p.idf, 4) as idf, round(p.part, 4) as part, row_number() over (partition by p.query_id, p.doc_id order by round(p.part, 4) desc, p.term) as pos, count(*) over (partition by p.query_id, p.doc_id) as n_terms from p join k using (query_id, doc_id) where k.rank <= 10)
+select query_id, doc_id, (pos - 1)::int as pos, term, tf, idf, part, n_terms from h where pos <= 6""")
+def bm25_parts(spark, d):
+    parts = R.bm25_parts(read(spark, d, "documents"), _asked(spark, d))
+    hits = R.best(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), 10)
+    return R.explained(parts, hits).select("query_id", "doc_id", F.posexplode("terms").alias("pos", "t"), "n_terms").select("query_id", "doc_id", "pos", "t.term", "t.tf", "t.idf", F.col("t.score").alias("part"), "n_terms")
 
 
-@query(COS + "select vec_id, round(list_cosine_similarity(e, q), 4) as score from v, q order by score desc, vec_id limit 10")
-def cosine_topk(spark, d):
+COS = "with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select vec_id as query_id, e as q from v where vec_id % 50 = 0), r as (select query_id, vec_id, label, round(list_cosine_similarity(e, q), 4) as score from v, q)\n"
+
+
+def _vectors(spark, d):
     v = read(spark, d, "embeddings")
-    return R.top(R.vector_search(v, v.where("vec_id = 0")), 10, F.col("score").desc(), "vec_id")
+    return v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query(COS + "select label, count(*) as n, max(round(list_cosine_similarity(e, q), 4)) as best from v, q group by label")
+@query(COS + "select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from r) where rank <= 10")
+def cosine_topk(spark, d):
+    return T.nearest(*_vectors(spark, d), 10)
+
+
+@query(COS + "select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from r where label <> 0) where rank <= 5")
+def cosine_filtered(spark, d):
+    """The filter comes before the cut, so that no query gets fewer rows than there are."""
+    return T.nearest(*_vectors(spark, d), 5, F.col("label") != 0)
+
+
+@query(COS + "select query_id, label, count(*) as n, max(score) as best from r group by all")
 def cosine_by_label(spark, d):
-    v = read(spark, d, "embeddings")
-    return R.vector_search(v, v.where("vec_id = 0")).join(v.select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    """For each query the best of each label, of ten nearest within it."""
+    v, q = _vectors(spark, d)
+    labels = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    scored = v.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).crossJoin(F.broadcast(q)).groupBy("query_id", "label").agg(F.max(F.round(X.cosine(F.col("v"), F.col("q").cast("array<double>")), 4)).alias("best"))  # a block of queries
+    return scored.join(labels, "label").select("query_id", "label", "n", "best")
 
 
 @query("select vec_id, len(embedding)::int as dim, i::int as pos, round(embedding[i + 1]::double, 4) as value from embeddings, range(0, 10) t(i)")
@@ -98,10 +114,9 @@ def vector_peek(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.posexplode(F.slice("embedding", 1, 10)).alias("pos", "v")).select("vec_id", "dim", "pos", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
-@query("select vec_id, round(sum(round(x::double, 5)), 5) as total from (select vec_id, unnest(embedding) as x from embeddings) group by vec_id")
+@query("select vec_id, (unnest(range(len(embedding))))::int as pos, round(unnest(embedding)::double, 5) as value from embeddings")
 def vector_quantize(spark, d):
-    q = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 5))
-    return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(q, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    return read(spark, d, "embeddings").select("vec_id", F.posexplode(T.quantized(F.col("embedding"))).alias("pos", "value"))
 
 
 DIST = """with d as (select label, vec_id, round(1 - list_cosine_similarity(embedding::double[], lead(embedding::double[]) over (partition by label order by vec_id)), 4) as dist from embeddings),
@@ -112,11 +127,7 @@ c as (select d.label, vec_id, dist, threshold, coalesce(dist >= threshold, false
 
 def _cuts(spark, d):
     """Distances of neighbours within a document (a label stands for one), and cuts at the 90th percentile."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    v = v.withColumn("f", F.lead("e").over(w)).select("label", "vec_id", F.when(F.col("f").isNotNull(), F.round(1 - X.cosine(F.col("e"), F.col("f")), 4)).alias("dist"))
-    t = v.where("dist is not null").groupBy("label").agg(F.round(F.percentile("dist", 0.9), 4).alias("threshold"))
-    return v.join(t, "label").withColumn("cut", F.coalesce(F.col("dist") >= F.col("threshold"), F.lit(False)))
+    return C.breakpoints(C.distances(read(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding").select("label", "vec_id", "dist"), "label", 10).select("label", "vec_id", "dist", "threshold", "cut")
 
 
 @query(DIST + "select * from c")
@@ -124,10 +135,9 @@ def semantic_breakpoints(spark, d):
     return _cuts(spark, d)
 
 
-@query(DIST + "select label, grp, min(vec_id) as first_id, max(vec_id) as last_id, count(*) as n from (select label, vec_id, coalesce(sum(cut::int) over (partition by label order by vec_id rows between unbounded preceding and 1 preceding), 0)::bigint as grp from c) group by label, grp")
+@query(DIST + "select label, grp, min(vec_id) as first_id, max(vec_id) as last_id, count(*) as n from (select label, vec_id, coalesce(sum(cut::int) over (partition by label order by vec_id rows between unbounded preceding and 1 preceding), 0)::int as grp from c) group by label, grp")
 def semantic_groups(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
-    return _cuts(spark, d).withColumn("grp", F.coalesce(F.sum(F.col("cut").cast("int")).over(w), F.lit(0)).cast("long")).groupBy("label", "grp").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+    return C.grouped(_cuts(spark, d), "label", "vec_id").groupBy("label", "grp").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
 
 
 CHUNKS = r"""with c as (select doc_id, s as start, regexp_replace(substring(text, s + 1, 800), '^\s+|\s+$', '', 'g') as chunk from (select doc_id, text, unnest(range(0, greatest(length(text), 1), 800)) as s from documents)),
@@ -150,10 +160,31 @@ p as (select *, sum(length(line) + 1) over (partition by doc_id order by line_no
 c as (select doc_id, unnest(range(0, length(text), 800)) as start from documents where text <> '')
 select c.doc_id, c.start::int as start, min(p.line_no)::int as page from c join p on c.doc_id = p.doc_id and c.start < p.stop group by all""")
 def chunk_page_of(spark, d):
-    """The page (here: line) that an offset lies on: the first whose running end is beyond it. One pass over each document's own array of ends, instead of a range join."""
-    t = read(spark, d, "documents").where("text <> ''").withColumn("lens", F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1))
-    ends = t.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(800))).alias("start"), F.aggregate("lens", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)), lambda a: F.slice(a, 2, F.size(a) - 1)).alias("ends"))
-    return ends.select("doc_id", "start", (F.size(F.filter("ends", lambda e: e <= F.col("start"))) + 1).alias("page"))
+    """The page (here: line) that an offset lies on."""
+    docs = read(spark, d, "documents").where("text <> ''")
+    starts = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(800))).alias("start"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p0", "line")).select("doc_id", (F.col("p0") + 1).alias("page"), F.length("line").alias("n_chars"))
+    return C.page_of(starts, lines, "doc_id").select("doc_id", F.col("start").cast("int").alias("start"), "page")
+
+
+@query("select count(*) as n, min(n_chars)::int as least, max(n_chars)::int as most, round_even(avg(n_chars), 0)::bigint as mean from (select length(text) as n_chars from documents where length(text) >= 120)")
+def chunk_report(spark, d):
+    return C.summarize(read(spark, d, "documents").select(F.length("text").alias("n_chars")).where("n_chars >= 120"))
+
+
+@query()
+def sentence_split(spark, d):
+    return C.sentences(read(spark, d, "documents"))
+
+
+@query()
+def chunk_structure(spark, d):
+    return C.chunk(read(spark, d, "documents"), "structure", 800)
+
+
+@query()
+def chunk_paragraph(spark, d):
+    return C.chunk(read(spark, d, "documents"), "paragraph", 800)
 
 
 LINES = "with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents)\n"
@@ -186,13 +217,71 @@ def _refs(spark, d):
     return G.refs(m.join(o, "chapter"))
 
 
-@query(REFS + "select 'contains' as kind, count(*) as edges, count(*)::double as total from orders union all select 'mentions', count(*), round(sum(weight), 4) from r union all select 'cooccurs', count(*), sum(weight)::double from co union all select 'shares', count(*), sum(w)::double from (select a.doc, b.doc as other, count(*) as w from (select distinct doc, term from r) a join (select distinct doc, term from r) b on a.term = b.term and a.doc < b.doc group by all)")
+SHARES = ", sh as (select a.doc as source, b.doc as target, count(*) as weight from (select distinct doc, term from r) a join (select distinct doc, term from r) b on a.term = b.term and a.doc::varchar < b.doc::varchar group by all)\n"
+
+
+def _library(spark, d):
+    """Chapters and documents of the star tables: orders and customers."""
+    orders = read(spark, d, "orders")
+    chapters = orders.select(F.col("o_orderkey").alias("chapter"), F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("category"), F.col("o_orderkey").alias("ord"))
+    docs = read(spark, d, "customer").select(F.col("c_custkey").alias("doc"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
+    return docs, chapters
+
+
+@query(REFS + SHARES.replace("::varchar", "") + "select 'contains' as type, count(*) as edges, count(*)::double as total from orders union all select 'mentions', count(*), round(sum(weight), 4) from r union all select 'cooccurs', count(*), sum(weight)::double from co union all select 'shares', count(*), sum(weight)::double from sh")
 def kg_edges(spark, d):
     """The four kinds of edges, counted and summed."""
-    r = _refs(spark, d)
-    of = lambda kind, df: df.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("total")).select(F.lit(kind).alias("kind"), "edges", "total")
-    parts = [of("contains", read(spark, d, "orders").select(F.lit(1.0).alias("weight"))), of("mentions", r), of("cooccurs", G.cooccurrence(r)), of("shares", G.shares(r))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return G.edges(_refs(spark, d), _library(spark, d)[1]).groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+@query(REFS + "select o_custkey::varchar as source, o_orderkey::varchar as target, 'contains' as type, 1.0::double as weight from orders union all select chapter::varchar, term::varchar, 'mentions', weight::double from r")
+def kg_edge_rows(spark, d):
+    return G.edges(_refs(spark, d), _library(spark, d)[1]).where("type in ('contains', 'mentions')")
+
+
+@query(REFS + SHARES.replace("::varchar", "") + "select doc, count(*) as partners, sum(weight)::bigint as shared from (select source as doc, weight from sh union all select target, weight from sh) group by doc")
+def kg_shares(spark, d):
+    """For each document how many others share terms with it, and how many terms."""
+    s = G.shares(_refs(spark, d))
+    ends = s.select(F.col("source").alias("doc"), "weight").unionAll(s.select(F.col("target").alias("doc"), "weight"))
+    return ends.groupBy("doc").agg(F.count(F.lit(1)).alias("partners"), F.sum("weight").alias("shared"))
+
+
+VIEW = """, kc as (select term, count(*) as n_chapters from r group by term), kept as (select term from (select *, row_number() over (order by n_chapters desc, term) as k from kc where n_chapters >= 2) where k <= 400),
+e as (select source as p, * from co where source in (select term from kept) and target in (select term from kept) union all select target, * from co where source in (select term from kept) and target in (select term from kept)),
+top as (select source, target, max(weight) as weight from (select *, row_number() over (partition by p order by weight desc, source::varchar, target::varchar) as n from e) where n <= 4 group by source, target)
+"""
+
+
+def _view_keywords(spark, d):
+    k = _refs(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("n_chapters")).withColumn("ord", F.col("term"))
+    return G.view_keywords(k, 2, 400)
+
+
+@query(REFS + SHARES.replace("::varchar", "") + VIEW + """, m as (select doc, term, max(weight) as weight from r where term in (select term from kept) group by all)
+select 'mentions' as type, count(*) as links, round(sum(weight), 4) as total from m union all select 'cooccurs', count(*), sum(weight)::double from top union all select 'shares', count(*), sum(weight)::double from sh""")
+def kg_view(spark, d):
+    """Links of the view without chapters, counted and summed."""
+    chapters = _library(spark, d)[1]
+    links = G.view_links(G.edges(_refs(spark, d), chapters), chapters, _view_keywords(spark, d), include_chapters=False)
+    return links.groupBy("type").agg(F.count(F.lit(1)).alias("links"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+@query(REFS + VIEW + """select c_custkey::varchar as id, 'document' as kind, c_name as label, c_mktsegment as category, (8 + least(12, coalesce(n, 0)))::double as size, coalesce(n, 0) as n from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on c_custkey = o_custkey
+union all select o_orderkey::varchar, 'chapter', o_orderstatus, o_orderpriority, 3.0::double, null from orders
+union all select term::varchar, 'keyword', term::varchar, 'misc', (1.5 + least(10, n_chapters))::double, n_chapters from kc where term in (select term from kept)""")
+def kg_nodes(spark, d):
+    k = _view_keywords(spark, d).select(F.col("term").cast("string").alias("term"), F.col("term").cast("string").alias("label"), F.lit("misc").alias("category"), "n_chapters")
+    return G.nodes(*_library(spark, d), k)
+
+
+@query("""with t as (select o_orderkey, o_custkey as doc, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+g as (select * from t where i % 4 <> 0) select a.o_orderkey as chapter, p.o_orderkey as previous, n.o_orderkey as next from g a left join g p on p.doc = a.doc and p.i = a.i - 1 left join g n on n.doc = a.doc and n.i = a.i + 1""")
+def prev_next(spark, d):
+    """Chapters (orders of a customer, every fourth left out) with those whose index is one less and one more."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    c = read(spark, d, "orders").select(F.col("o_orderkey").alias("chapter"), F.col("o_custkey").alias("doc"), F.row_number().over(w).alias("index"))
+    return G.beside(c.where("index % 4 <> 0")).select("chapter", "previous", "next")
 
 
 @query(REFS + "select source, target, weight from co where weight >= 2")
@@ -224,52 +313,94 @@ def top_terms(spark, d):
     return R.top(_refs(spark, d).groupBy("term").agg(F.round(F.sum("weight"), 4).alias("total")), 8, F.col("total").desc(), "term")
 
 
-KEYWORDS = r"""with raw as (select doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{3,}\b')) as w from documents),
-c as (select doc_id, lower(w) as term, count(*) as n, min(w) as label from raw where lower(w) not in ('this','that','with','from','they','have','were','which','their','there','these','then','than') group by all),
-k as (select *, row_number() over (partition by doc_id order by n desc, term) as pos, max(n) over (partition by doc_id) as most from c),
-kw as (select doc_id, term, label, round(n / most, 2) as weight, pos::int as pos from k where pos <= 8)
+# Documents as chapters: the first line is the title, the start of the text the summary, the language the category.
+CHAPTERS = "c as (select doc_id as chapter, source as doc, substring(split_part(text, chr(10), 1), 1, 60) as title, substring(text, 1, 200) as summary, lang as category, text, doc_id as ord from documents)\n"
+KEYWORDS = r"""with """ + CHAPTERS + r""", words as (select chapter, list_concat(list_transform(regexp_split_to_array(title, '[\s,:;()]+'), lambda x: {'w': x, 'n': 4}), list_transform(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{3,}\b|[가-힣]{2,}'), lambda x: {'w': x, 'n': 1})) as l from c),
+raw as (select chapter, generate_subscripts(l, 1) as i, unnest(l) as x from words),
+tm as (select chapter, i, x.w as raw, x.n as n, lower(regexp_replace(regexp_replace(x.w, '^[\s"''“”‘’`(\[{]+|[\s"''“”‘’`)\]}.,;:!?]+$', '', 'g'), '\s+', ' ', 'g')) as term from raw),
+n as (select chapter, term, sum(n) as n, arg_min(raw, i) as label, min(i) as first from tm where length(term) >= 2 and not regexp_matches(term, '^[0-9]+$') and term not in ('the','and','of','in','to','for','with','on','by','an','a','is','are','from','that','this') group by all),
+k as (select *, row_number() over (partition by chapter order by n desc, first) as pos, max(n) over (partition by chapter) as most from n),
+kw as (select chapter, term, label, round(n / most, 2) as weight, pos::int as pos from k where pos <= 8),
+cats as (select term, category, count(*) as m, min(ord) as f from kw join c using (chapter) group by all),
+cat as (select term, category from (select *, row_number() over (partition by term order by m desc, f) as q from cats) where q = 1),
+keywords as (select term, arg_min(label, ord) as label, count(*) as n_chapters, min(ord * 1000 + pos) as ord from kw join c using (chapter) group by term),
+"""
+QUERY = "The Enti, where"  # words: the, enti, where
+HITS = KEYWORDS + """w as (select unnest(['the', 'enti', 'where']) as t),
+sc as (select k.term, (case when k.term = 'the enti, where' or lower(label) = 'the enti, where' then 5.0 when contains(k.term, 'the enti, where') or contains(lower(label), 'the enti, where') then 3.0 else 0.0 end
+ + (select sum(case when k.term = t or lower(label) = t then 2.0 when contains(k.term, t) or contains(lower(label), t) then 1.0 when contains(t, k.term) and length(k.term) >= 2 then 0.8 else 0.0 end) from w))::double as s from keywords k),
+hits as (select term, label, n_chapters, category, s, ord from keywords join sc using (term) join cat using (term) where s > 0 order by s desc, ord limit 12),
+"""
+SOURCES = HITS + """bt as (select chapter, sum(s * (0.4 + weight)) as by_term, list(kw.term order by weight desc, kw.term) as matched from kw join hits using (term) group by chapter),
+hd as (select c.*, matched, coalesce(by_term, 0) + (select sum(case when contains(lower(title), t) then 1.5 when contains(lower(summary), t) then 0.6 else 0.0 end) from w) as head from c left join bt using (chapter)),
+cand as (select *, row_number() over (order by head > 0 desc, ord) <= 400 as read from hd),
+scored as (select *, round(head + case when read then least(4.0, 0.3 * ((select sum(least(10, (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) from w) + case when contains(lower(text), 'the enti, where') then 6 else 0 end)) else 0 end, 9) as score from cand),
+src as (select row_number() over (order by score desc, ord)::int as rank, * from scored where score > 0 order by score desc, ord limit 10),
+plc as (select *, (select min(nullif(instr(lower(text), t), 0)) from w) as p from src),
+snip as (select *, case when p is null then (case when length(summary) <= 240 then summary else regexp_replace(substring(summary, 1, 239), '\\s+$', '') || '…' end) else (case when p > 111 then '…' else '' end) || regexp_replace(regexp_replace(substring(text, greatest(p - 111, 0) + 1, least(p + 189, length(text)) - greatest(p - 111, 0)), '\\s+', ' ', 'g'), '^ | $', '', 'g') || (case when p + 189 < length(text) then '…' else '' end) end as snippet from plc),
 """
 
 
-def _keywords(spark, d):
-    raw = read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]{3,})(?![A-Za-z0-9_])"))).alias("w"))
-    c = raw.withColumn("term", F.lower("w")).where(~F.col("term").isin(*X.STOP)).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("label"))
-    w = Window.partitionBy("doc_id")
-    return c.withColumn("pos", F.row_number().over(w.orderBy(F.col("n").desc(), "term"))).withColumn("most", F.max("n").over(w)).where("pos <= 8").select("doc_id", "term", "label", F.round(F.col("n") / F.col("most"), 2).alias("weight"), "pos")
+def _chapters(spark, d):
+    t = read(spark, d, "documents")
+    return t.select(F.col("doc_id").alias("chapter"), F.col("source").alias("doc"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"), F.substring("text", 1, 200).alias("summary"), F.col("lang").alias("category"), "text", F.col("doc_id").alias("ord"))
 
 
-@query(KEYWORDS + "select * from kw")
+def _search(spark, d):
+    c = _chapters(spark, d)
+    refs = S.frequency_keywords(c)
+    keywords = S.keyword_table(refs, c)
+    hits = S.keyword_hits(keywords, QUERY)
+    return c, refs, keywords, hits
+
+
+@query(KEYWORDS.rstrip().rstrip(",") + " select * from kw")
 def fallback_keywords(spark, d):
-    return _keywords(spark, d)
+    return S.frequency_keywords(_chapters(spark, d))
+
+
+@query(HITS.rstrip().rstrip(",") + " select term, label, category, n_chapters, round(s, 2) as score from hits")
+def keyword_score(spark, d):
+    return _search(spark, d)[3].select("term", "label", "category", "n_chapters", F.round("s", 2).alias("score"))
+
+
+@query(SOURCES.rstrip().rstrip(",") + " select rank, chapter, doc, title, category, round(score, 3) as score, array_to_string(coalesce(matched, []), '|') as matched, snippet from snip")
+def keyword_search(spark, d):
+    c, refs, _, hits = _search(spark, d)
+    return S.keyword_sources(c, refs, hits, QUERY).withColumn("matched", F.array_join("matched", "|"))
 
 
-SCORE = KEYWORDS + """, q as (select 'the'::varchar as fq), s as (select doc_id, term, weight,
- (case when term = fq or lower(label) = fq then 5 when contains(term, fq) or contains(lower(label), fq) then 3 else 0 end
- + case when term = fq or lower(label) = fq then 2.0 when contains(term, fq) or contains(lower(label), fq) then 1.0 when contains(fq, term) and length(term) >= 2 then 0.8 else 0.0 end)::double as s from kw, q)
+RELATED = """best as (select term as hit, s from hits order by s desc, ord limit 4),
+near as (select b.hit, b.s, o.term, count(*) as shared from best b join kw h on h.term = b.hit join kw o on o.chapter = h.chapter and o.term <> b.hit group by all),
+first as (select *, row_number() over (partition by hit order by shared desc, ord) as k from near join (select term, ord from keywords) using (term)),
+rel as (select term, round(sum(shared * s), 9) as raw from first where k <= 12 and term not in (select term from hits) group by term)
 """
 
 
-def _scores(spark, d, full="the"):
-    t, lab, q = F.col("term"), F.lower("label"), F.lit(full)
-    whole = F.when((t == q) | (lab == q), 5).when(F.contains(t, q) | F.contains(lab, q), 3).otherwise(0)
-    token = F.when((t == q) | (lab == q), 2.0).when(F.contains(t, q) | F.contains(lab, q), 1.0).when(F.contains(q, t) & (F.length(t) >= 2), 0.8).otherwise(0.0)
-    return _keywords(spark, d).select("doc_id", "term", "weight", (whole + token).cast("double").alias("s"))
+@query(HITS + RELATED + "select term, label, category, n_chapters, round(raw, 2) as score from rel join keywords using (term) join cat using (term) order by raw desc, ord limit 10")
+def related_keywords(spark, d):
+    _, refs, keywords, hits = _search(spark, d)
+    return S.related_keywords(refs, keywords, hits)
 
 
-@query(SCORE + "select term, max(s) as score, count(*) as chapters from s where s > 0 group by term order by score desc, term limit 12")
-def keyword_score(spark, d):
-    return R.top(_scores(spark, d).where("s > 0").groupBy("term").agg(F.max("s").alias("score"), F.count(F.lit(1)).alias("chapters")), 12, F.col("score").desc(), "term")
+@query(SOURCES + "f as (select category, count(*) as n, min(rank) as r from src where rank <= 3 group by category) select coalesce((select category from f order by n desc, r limit 1), (select category from hits order by s desc, ord limit 1), 'misc') as category")
+def result_category(spark, d):
+    c, refs, _, hits = _search(spark, d)
+    return S.result_category(S.keyword_sources(c, refs, hits, QUERY), hits)
 
 
-@query(SCORE + """, h as (select doc_id, sum(s * (0.4 + weight)) as a from s where s > 0 group by doc_id),
-b as (select doc_id, least(10, (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3)::int as n from documents)
-select doc_id, round(coalesce(a, 0) + case when n > 0 then least(4, 0.3 * n) else 0 end, 3) as score from b left join h using (doc_id) where coalesce(a, 0) > 0 or n > 0 order by score desc, doc_id limit 10""")
-def keyword_search(spark, d):
-    h = _scores(spark, d).where("s > 0").groupBy("doc_id").agg(F.sum(F.col("s") * (0.4 + F.col("weight"))).alias("a"))
-    b = read(spark, d, "documents").select("doc_id", X.occurrences(F.lower("text"), F.lit("the")).alias("n"))
-    body = F.when(F.col("n") > 0, F.least(F.lit(4.0), 0.3 * F.col("n"))).otherwise(0.0)
-    a = F.coalesce("a", F.lit(0.0))
-    return R.top(b.join(h, "doc_id", "left").where((a > 0) | (F.col("n") > 0)).select("doc_id", F.round(a + body, 3).alias("score")), 10, F.col("score").desc(), "doc_id")
+@query(SOURCES + """v as (select vec_id, embedding::double[] as e from embeddings),
+ch as (select vec_id as chapter, substring(text, 1, 200) as text, round(list_cosine_similarity(e, (select e from v where vec_id = 0)), 4) as score from v join c on c.chapter = v.vec_id order by score desc, vec_id limit 10),
+m as (select score as most from src where rank = 1),
+every as (select chapter, greatest(score, 0) as emb, 0.0 as kw from ch union all select chapter, 0, round(score, 3) / (select round(most, 3) from m) from src union all select distinct chapter, 0, 0.35 from kw where term in (select term from hits order by s desc, ord limit 3)),
+b as (select chapter, round(0.7 * max(emb) + 0.3 * max(kw), 9) as raw from every group by chapter)
+select row_number() over (order by raw desc, ord)::int as rank, chapter, doc, title, category, round(raw, 3) as score from b join c using (chapter) where raw > 0.05 order by raw desc, ord limit 8""")
+def hybrid_rank(spark, d):
+    c, refs, _, hits = _search(spark, d)
+    v = read(spark, d, "embeddings").join(c.select(F.col("chapter").alias("vec_id"), "text"), "vec_id")
+    near = T.nearest(v, v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    chunks = near.join(v.select("vec_id", "text"), "vec_id").select(F.col("vec_id").alias("chapter"), F.substring("text", 1, 200).alias("text"), "score")
+    return S.hybrid_rank(c, refs, hits, S.keyword_sources(c, refs, hits, QUERY), chunks).select("rank", "chapter", "doc", "title", "category", "score")
 
 
 @query("""select page_id, host, case when length(s) < 2 then 'doc-' || substring(sha1(url), 1, 8) else s end as slug from (
@@ -291,14 +422,16 @@ def snippet(spark, d):
     return read(spark, d, "documents").withColumn("at", F.instr(F.lower("text"), "der")).select("doc_id", F.when(at == 0, F.substring("text", 1, 240)).otherwise(s).alias("snippet"))
 
 
-@query("""with s as (select doc_id as id, (instr(lower(text), t.w) - 1)::int as start, (instr(lower(text), t.w) - 1 + length(t.w))::int as stop from documents, (values ('the'), ('he'), ('er'), ('en'), ('nd')) t(w) where contains(lower(text), t.w)),
-f as (select *, case when max(stop) over w is null or start > max(stop) over w then 1 else 0 end as new from s window w as (partition by id order by start, stop rows between unbounded preceding and 1 preceding)),
+@query(r"""with t as (select doc_id as id, lower(text) as t, w, w = 'the' as top from documents, (values ('the'), ('of'), ('and')) x(w)),
+s as (select id, top, w, unnest(list_filter(range(1, length(t) + 1), lambda i: substring(t, i, length(w)) = w and not regexp_matches(substring(t, i - 1, 1), '[a-z0-9]') and not regexp_matches(substring(t, i + length(w), 1), '[a-z0-9]'))) as p from (select *, from t where contains(t, w))),
+g as (select id, (p - 1)::int as start, (p - 1 + length(w))::int as stop, top from s),
+f as (select *, case when max(stop) over w is null or start > max(stop) over w then 1 else 0 end as new from g window w as (partition by id order by start, stop rows between unbounded preceding and 1 preceding)),
 i as (select *, sum(new) over (partition by id order by start, stop rows unbounded preceding)::bigint as island from f)
-select id, island, min(start) as start, max(stop) as "end", count(*) as n_spans from i group by id, island""")
+select id, island, min(start) as start, max(stop) as "end", count(*) as n_spans, bool_or(top) as top from i group by id, island""")
 def span_merge(spark, d):
-    words = F.array(*map(F.lit, ("the", "he", "er", "en", "nd")))
-    s = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"), F.explode(words).alias("w")).where(F.contains("t", "w"))
-    return R.merge_spans(s.select("id", (F.expr("locate(w, t)") - 1).alias("start"), (F.expr("locate(w, t)") - 1 + F.length("w")).alias("end")))
+    """Where three words stand as words, in whole texts, spans that touch as one."""
+    terms = F.array(*(F.struct(F.lit(w).alias("term"), F.lit(w == "the").alias("top")) for w in ("the", "of", "and")))
+    return R.merge_spans(R.term_spans(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", terms.alias("terms"))))
 
 
 @query("""select query_id, doc_id, rank_before, rank_after, (rank_before - rank_after)::int as moved, rank_after <= 3 as kept from (
@@ -306,28 +439,205 @@ select *, row_number() over (partition by query_id order by ok desc, coalesce(sc
 select toxic as query_id, doc_id, row_number() over (partition by toxic order by doc_id)::int as rank_before, quality is not null as ok, quality::double as score, (doc_id % 7)::double / 7 as said from labels))""")
 def rerank_order(spark, d):
     rows = read(spark, d, "labels").select(F.col("toxic").alias("query_id"), "doc_id", F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id")).alias("rank_before"), F.col("quality").isNotNull().alias("ok"), F.col("quality").cast("double").alias("score"), (F.expr("doc_id % 7").cast("double") / 7).alias("said"))
-    return R.rerank(rows, 3).select("query_id", "doc_id", "rank_before", "rank_after", "moved", "kept")
-
-
-both("corpus_stats", "select (select count(*) from {documents}) as documents, (select count(*) from {pages}) as pages, (select count(*) from {conversations}) as turns")
-both("store_status", "select source, count(*) as chunks, min(lang) as first_lang, cast(sum(case when n_chars < 120 then 1 else 0 end) as bigint) as thin from {documents} group by source")
-both("page_stats", "select lang, min(n_chars) as least, max(n_chars) as most, cast(floor(avg(n_chars)) as bigint) as mean, cast(sum(case when n_chars < 120 then 1 else 0 end) as bigint) as thin from {documents} group by lang")
-both("upsert_docs", "select doc_id, quality as value, 'new' as origin from {labels} union all select d.doc_id, cast(d.n_chars as int), 'old' from {documents} d left join {labels} l on d.doc_id = l.doc_id where l.doc_id is null")
-both("delete_cascade", "select d.doc_id, d.source from {documents} d left join {labels} l on d.doc_id = l.doc_id and l.toxic = 1 where l.doc_id is null")
-both("notes_search", "select conv_id, turn from {conversations} where text like '%the%' or text like '%und%'")
-both("notes_lost", "select conv_id, turn from {conversations} where role <> 'system' except select conv_id, turn from {conversations} where turn < 6 and role <> 'system'")
-both("delegate_return", "select * from (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as reply_role, lead(turn) over (partition by conv_id order by turn) - turn as gap from {conversations}) where role = 'user'")
-both("progress_compact", "select event_id, user_id, event_type from (select event_id, user_id, event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from {events}) where nxt is null or nxt <> event_type")
-both("prev_next", "select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as prev_turn, lead(turn) over (partition by conv_id order by turn) as next_turn from {conversations}")
-both("run_state", "select conv_id, max_by(role, turn) as last_role, count(*) as turns, cast(sum(case when role = 'user' then 1 else 0 end) as bigint) as delegations from {conversations} group by conv_id")
-both("result_overlap", "select count(*) as shared from (select doc_id from {labels} where quality = 1 intersect select doc_id from {documents} where lang = 'en')")
-both("label_lookup", "select d.doc_id, coalesce(cast(l.quality as string), d.source) as label from {documents} d left join {labels} l on d.doc_id = l.doc_id", "select d.doc_id, coalesce(cast(l.quality as varchar), d.source) as label from documents d left join labels l on d.doc_id = l.doc_id")
-both("category_coercion", "select doc_id, case when source in ('src0', 'src1', 'src2') then source else 'misc' end as category, least(greatest(n_chars / 1000.0, 0), 1) >= 0.5 as heavy from {documents}")
-both("tool_registry", "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as k from {documents}) where k = 1")
-both("sse_props", "select event_id, cast(get_json_object(props, '$.k') as int) as k from {events}", "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events")
-both("session_fold", "select conv_id, array_join(transform(array_sort(collect_list(struct(turn, role))), x -> x.role), '>') as path from {conversations} group by conv_id", "select conv_id, string_agg(role, '>' order by turn, role) as path from conversations group by conv_id")
-both("rewrite_guard", r"select doc_id, size(array_except(regexp_extract_all(text, '([0-9]+)', 1), regexp_extract_all(substring(text, 1, 200), '([0-9]+)', 1))) > 0 as rejected from {documents}", "select doc_id, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(substring(text, 1, 200), '[0-9]+'), x))) > 0 as rejected from documents")
-both("markdown_blocks", r"select doc_id, pos as block, case when part like '# %' then 'h1' when part like '## %' then 'h2' else 'p' end as kind, length(part) as chars from (select doc_id, posexplode(split(text, '\n+')) as (pos, part) from {documents})", r"select doc_id, (unnest(range(len(p))))::int as block, case when unnest(p) like '# %' then 'h1' when unnest(p) like '## %' then 'h2' else 'p' end as kind, length(unnest(p))::int as chars from (select doc_id, regexp_split_to_array(text, '\n+') as p from documents)")
+    return K.rerank(rows, 3).select("query_id", "doc_id", "rank_before", "rank_after", "moved", "kept")
+
+
+@query("select (select count(*) from documents) as documents, (select count(*) from pages) as pages, (select count(*) from conversations) as turns")
+def corpus_stats(spark, d):
+    return G.stats(documents=read(spark, d, "documents"), pages=read(spark, d, "pages"), turns=read(spark, d, "conversations"))
+
+
+def _store(spark, d):
+    """Documents as chunks: a source is a document; every tenth row is generated, and some have no source."""
+    kind = F.when(F.col("doc_id") % 10 == 0, "generated").when(F.col("doc_id") % 10 != 1, "document")
+    return read(spark, d, "documents").select(F.concat(F.col("source"), F.lit("#"), F.col("doc_id")).alias("id"), F.col("source").alias("document"), F.col("doc_id").cast("int").alias("chunk_index"), F.lit(1).alias("page"), F.col("lang").alias("strategy"), F.length("text").alias("n_chars"), "text", F.lit(None).cast("array<float>").alias("vector"), kind.alias("source"), F.lit("q").alias("question"), F.lit("e").alias("engine"), F.lit("b").alias("based_on"), F.lit("c").alias("created"))
+
+
+@query("select source as document, count(*) as chunks, arg_min(lang, doc_id) as strategy, arg_min(case when doc_id % 10 = 0 then 'generated' else 'document' end, doc_id) as source, count(*) filter (doc_id % 10 = 0) as generated from documents group by source")
+def store_status(spark, d):
+    return T.status(_store(spark, d))
+
+
+@query("select doc_id::int as chunk_index, source as document, case when doc_id % 10 = 0 then 'generated' else 'document' end as source, case when doc_id % 10 = 0 then 'q' end as question, case when doc_id % 10 = 0 then 'c' end as created from documents")
+def store_rows(spark, d):
+    return T.rows(_store(spark, d)).select("chunk_index", "document", "source", "question", "created")
+
+
+@query("select count(*) filter (doc_id % 10 <> 0) as kept, count(*) filter (doc_id % 10 = 0) as removed from documents")
+def store_clear_generated(spark, d):
+    kept, removed = T.clear_generated(_store(spark, d))
+    return kept.agg(F.count(F.lit(1)).alias("kept")).crossJoin(removed)  # one row each
+
+
+@query("select source || '#' || doc_id as id, lang as strategy, source as document from documents where not (source = 'src1' and doc_id % 2 = 0) union all select 'src1#' || doc_id, 'new', 'src1' from documents where source = 'src1' and doc_id % 2 = 0")
+def store_add(spark, d):
+    """Chunks of a document added again take the place of those with their ids."""
+    s = _store(spark, d)
+    again = s.where("document = 'src1' and chunk_index % 2 = 0").withColumn("strategy", F.lit("new"))
+    return T.add(s, "src1", again).select("id", "strategy", "document")
+
+
+@query("select lang, count(*) as pages, min(length(text))::int as least, max(length(text))::int as most, floor(avg(length(text)))::bigint as mean from documents group by lang")
+def page_stats(spark, d):
+    return read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"), F.floor(F.avg(F.length("text"))).alias("mean"))
+
+
+@query("select doc_id as page, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 120 as thin from documents where doc_id between 100 and 900")
+def page_window(spark, d):
+    return C.read_pages(read(spark, d, "documents").withColumn("page", F.col("doc_id")), 100, 900).select("page", "thin")
+
+
+@query("select doc_id, quality as value, 'new' as origin from labels union all select d.doc_id, d.n_chars::int, 'old' from documents d where d.doc_id not in (select doc_id from labels)")
+def upsert_docs(spark, d):
+    old = read(spark, d, "documents").select("doc_id", F.col("n_chars").cast("int").alias("value"), F.lit("old").alias("origin"))
+    return T.replace(old, "doc_id", read(spark, d, "labels").select("doc_id", F.col("quality").alias("value"), F.lit("new").alias("origin")))
+
+
+@query("with g as (select doc_id from labels where toxic = 1) select 'chunks' as kept, count(*) as n from documents where doc_id not in (select doc_id from g) union all select 'marks', count(*) from labels where doc_id not in (select doc_id from g)")
+def delete_cascade(spark, d):
+    """Toxic documents deleted from every table that holds them."""
+    labels = read(spark, d, "labels")
+    left = T.delete_documents({"chunks": read(spark, d, "documents").withColumn("doc", F.col("doc_id")), "marks": labels.withColumn("doc", F.col("doc_id"))}, labels.where("toxic = 1").select(F.col("doc_id").alias("doc")))
+    n = lambda name: left[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kept"), "n")
+    return n("chunks").unionByName(n("marks"))
+
+
+def _notes(spark, d):
+    c = read(spark, d, "conversations")
+    return c.select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("t"), F.col("turn")).alias("id"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("").alias("date"), F.col("turn").alias("ord"), "turn")
+
+
+@query("select 'c' || conv_id || 't' || turn as id from conversations where contains(role || ' ' || coalesce(text, ''), 'the') or contains(role || ' ' || coalesce(text, ''), 'assist')")
+def notes_search(spark, d):
+    return N.search(_notes(spark, d), "the assist").select("id")
+
+
+@query("select 'c' || conv_id || 't' || turn as id from conversations where turn >= 6")
+def notes_lost(spark, d):
+    n = _notes(spark, d)
+    return N.lost(n.withColumn("key", F.col("id")).select("id"), n.where("turn < 6").select("id"))
+
+
+def _log(spark, d):
+    """Conversations as logs of runs: users delegate, assistants return."""
+    kind = F.when(F.col("role") == "user", "delegate").when(F.col("role") == "assistant", "return").otherwise(F.col("role"))
+    return read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("seq"), kind.alias("kind"), F.lit("role").alias("role"), (F.col("turn") != 3).alias("ok"))
+
+
+@query("""with l as (select conv_id::varchar as run_id, turn as seq, role as kind, lead(role) over (partition by conv_id order by turn) as nk, lead(turn) over (partition by conv_id order by turn) as ns from conversations where role in ('user', 'assistant'))
+select run_id, seq, case when nk = 'assistant' then ns end as returned, case when nk = 'assistant' then ns - seq end as gap from l where kind = 'user'""")
+def delegate_return(spark, d):
+    return E.paired(_log(spark, d)).drop("role")
+
+
+@query("select conv_id::varchar as run_id, arg_max(case role when 'user' then 'delegate' when 'assistant' then 'return' else role end, turn) as state, count(*) as entries, count(*) filter (role = 'user') as delegations, count(*) filter (turn = 3) as failed from conversations group by conv_id")
+def run_state(spark, d):
+    return E.run_states(_log(spark, d))
+
+
+@query("with s as (select conv_id, min(turn) as s from conversations where role = 'assistant' group by conv_id) select c.conv_id::varchar as run_id, c.turn as seq from conversations c left join s using (conv_id) where s is null or turn <= s")
+def run_until_stopped(spark, d):
+    log = _log(spark, d)
+    return E.until_stopped(log, log.where("kind = 'return'")).select("run_id", "seq")
+
+
+@query("select event_id, user_id, event_type from (select event_id, user_id, event_type, value, lead(value) over (partition by user_id order by ts, event_id) as nv, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from events) where not (coalesce(nxt = event_type, false) and value is not null and nv is not null)")
+def progress_compact(spark, d):
+    return E.compacted(read(spark, d, "events"), "user_id", ("ts", "event_id"), "event_type", "value").select("event_id", "user_id", "event_type")
+
+
+@query("select count(distinct doc_id) as shared from documents where lang = 'en' and doc_id in (select doc_id from labels where quality = 1)")
+def result_overlap(spark, d):
+    return K.overlap(read(spark, d, "labels").where("quality = 1"), read(spark, d, "documents").where("lang = 'en'"), "doc_id")
+
+
+@query("select d.doc_id::varchar as term, coalesce(l.quality::varchar, d.doc_id::varchar) as label from documents d left join labels l using (doc_id)")
+def label_lookup(spark, d):
+    return G.labels_of(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("term")), read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("term"), F.col("quality").cast("string").alias("label")))
+
+
+@query("select doc_id, case when source in ('src0', 'src1', 'src2') then source else 'misc' end as category, case when doc_id % 9 = 0 then 0.5 else least(1, greatest(0, n_chars / 1000.0 - 0.2)) end::double as weight, greatest(10, least(2000, n_chars)) as most from documents")
+def category_coercion(spark, d):
+    w = F.when(F.col("doc_id") % 9 == 0, "nan").otherwise((F.col("n_chars") / 1000.0 - 0.2).cast("string"))
+    return read(spark, d, "documents").select("doc_id", X.coerce_category(F.col("source"), ("src0", "src1", "src2")).alias("category"), X.clamp_weight(w).alias("weight"), X.clamp(F.col("n_chars").cast("string"), 10, 2000, 400).alias("most"))
+
+
+@query("select source as name, min(doc_id) as doc_id from documents where source <> 'src3' group by source")
+def tool_registry(spark, d):
+    t = read(spark, d, "documents").select(F.col("source").alias("name"), "doc_id")
+    return O.registry(t, "name", "doc_id", t.where("name <> 'src3'")).select("name", "doc_id")
+
+
+@query("select user_id, (row_number() over (partition by user_id order by event_id) - 1)::int as pos, props as payload from events")
+def sse_frames(spark, d):
+    """Each user's events as one stream of frames, decoded again."""
+    frame = F.struct("event_id", X.sse_encode(F.col("props")).alias("f"))
+    streams = read(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(frame)), lambda x: x["f"]), "").alias("stream"))
+    return streams.select("user_id", F.posexplode(X.sse_decode(F.col("stream"))).alias("pos", "payload"))
+
+
+@query("select conv_id::varchar as run_id, string_agg(text, '' order by turn) as answer, bool_or(turn >= 5) as done from conversations where text is not null group by conv_id")
+def session_fold(spark, d):
+    c = read(spark, d, "conversations").where("text is not null")
+    events = c.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("int").alias("seq"), F.lit("delta").alias("type"), F.col("text").alias("payload"))
+    over = c.where("turn >= 5").select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("int").alias("seq"), F.lit("done").alias("type"), F.lit("").alias("payload"))
+    return E.fold_events(events.unionByName(over)).select("run_id", "answer", "done")
+
+
+@query(r"""with x as (select conv_id, turn, text as o, lead(text) over (partition by conv_id order by turn) as n from conversations),
+y as (select *, coalesce(list_filter(list_transform(string_split(regexp_replace(n, '\r\n?', chr(10), 'g'), chr(10)), lambda l: regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '^["“”‘’'']+|["“”‘’'']+$', '', 'g')), lambda l: l <> '')[1], '') as f from x where n is not null and o is not null)
+select conv_id, turn, case when f = '' then 'empty' when length(f) > greatest(120, 4 * length(o)) then 'long' when len(list_filter(regexp_extract_all(f, '[0-9]+'), lambda k: not list_contains(regexp_extract_all(o, '[0-9]+'), k))) > 0 then 'numbers' end as fault from y""")
+def rewrite_guard(spark, d):
+    """Each turn as a rewriting of the one before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, d, "conversations").withColumn("new", F.lead("text").over(w)).where("new is not null and text is not null")
+    return c.select("conv_id", "turn", X.rewrite_fault(F.col("text"), F.col("new")).alias("fault"))
+
+
+@query(r"""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), '\n{2,}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as p from documents),
+x as (select doc_id, generate_subscripts(p, 1) - 1 as block, unnest(p) as part from p)
+select doc_id, block::int as block, case when part like '### %' then 'h3' when part like '## %' then 'h2' when part like '# %' then 'h1' else 'p' end as kind, length(regexp_replace(part, '^#{1,3} ', ''))::int as chars from x""")
+def markdown_blocks(spark, d):
+    """Blocks of documents; a line that ends a sentence ends a paragraph."""
+    return read(spark, d, "documents").select("doc_id", F.posexplode(X.markdown_blocks(F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n\n")))).alias("block", "b")).select("doc_id", "block", "b.kind", F.length("b.text").alias("chars"))
+
+
+@query("""with x as (select doc_id, (doc_id % 7) / 10 as y, (doc_id % 3) / 10 as n from labels), z as (select *, greatest(0, 1 - (y + n + 0.05)) as rest from x)
+select doc_id, round(y / (y + n + rest), 6) as p_yes, round(rest, 6) as rest, case when n <= 0 then 'N' when y <= 0 then 'Y' else '' end as missing from z""")
+def py_score(spark, d):
+    """The probability of Y from the candidates of the first token that reads as Y or N."""
+    p = lambda t, c: F.struct(F.lit(t).alias("token"), F.log(F.nullif(c, F.lit(0.0))).alias("logprob"))
+    top = F.array(p(" Y", (F.col("doc_id") % 7) / 10), p("no", (F.col("doc_id") % 3) / 10), p("maybe", F.lit(0.05)))
+    tokens = F.array(F.struct(F.lit("\n").alias("token"), F.lit(0.0).alias("logprob"), F.array(p("Y", F.lit(1.0))).alias("top")), F.struct(F.lit(" Yes").alias("token"), F.lit(-0.1).alias("logprob"), top.alias("top")))
+    return read(spark, d, "labels").select("doc_id", K.p_yes(K.with_probs(tokens)).alias("p")).select("doc_id", F.round("p.p_yes", 6).alias("p_yes"), "p.rest", "p.missing")
+
+
+@query("""select doc_id, case doc_id % 6 when 0 then 'Y' when 1 then 'N' when 2 then 'Y' when 3 then '' when 4 then 'N' else '' end as verdict, case doc_id % 6 when 0 then 0.92 when 1 then 0.1 when 2 then 0.3 when 4 then 0.4 end::double as said,
+case doc_id % 6 when 2 then 'inconsistent' when 3 then 'start' when 4 then 'form' when 5 then 'start' end as fault, case doc_id % 6 when 0 then 0.92 when 1 then 0.1 when 2 then 0.3 when 4 then 0.4 end::double as score, (doc_id % 6) not in (3, 5) as ok from labels""")
+def verdict_parse(spark, d):
+    raws = F.array(*map(F.lit, ("Y 0.92", "N 0.10", "\n 'Y 0.30'", "the text", '"n .4"', "")))
+    rows = read(spark, d, "labels").select("doc_id", F.get(raws, (F.col("doc_id") % 6).cast("int")).alias("raw"), F.lit(None).cast("array<struct<token:string,logprob:double,prob:double,top:array<struct<token:string,logprob:double,prob:double>>>>").alias("tokens"))
+    return K.judged(rows).select("doc_id", "verdict", "said", "fault", "score", "ok")
+
+
+@query("""with s as (select label as hit_id, vec_id as sent_no, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 4) as score from embeddings),
+m as (select *, row_number() over (partition by hit_id order by score desc, sent_no) as rank from s),
+l as (select *, case when rank = 1 then 'top' when score >= 0.1 then 'high' else '' end as level from m)
+select hit_id, 0.1::double as base_score, max(score) as best_score, count(*) as n_segments, count(*) filter (level <> '') as n_marked from l group by hit_id""")
+def evidence_marks(spark, d):
+    """Sentences (here: vectors of a label) by how near they are to the query, marked where they reach their hit's own score (here: 0.1)."""
+    v = read(spark, d, "embeddings")
+    q = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("q")))  # one row
+    s = v.crossJoin(q).select(F.col("label").alias("hit_id"), F.col("vec_id").alias("sent_no"), F.round(X.cosine(F.col("embedding").cast("array<double>"), F.col("q")), 4).alias("score"), F.lit(0.1).alias("base"))
+    return K.evidence_summary(K.evidence(s)).drop("best_distance", "gain")
+
+
+@query("select doc, rank::int as rank, term from (select o_custkey as doc, l_partkey::varchar as term, row_number() over (partition by o_custkey order by sum(w) desc, l_partkey::varchar) as rank from (select o_custkey, l_orderkey, l_partkey, max(l_quantity) / 50 as w from lineitem join orders on l_orderkey = o_orderkey group by all) group by o_custkey, l_partkey) where rank <= 8")
+def document_keywords(spark, d):
+    """Each document's heaviest terms."""
+    r = _refs(spark, d).withColumn("term", F.col("term").cast("string"))
+    none = spark.createDataFrame([], "doc long, label string, ord int")
+    return G.document_keywords(r.withColumn("weight", F.round("weight", 6)), none, spark.createDataFrame([], "term string, label string"))
 
 
 @query("""
