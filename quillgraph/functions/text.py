@@ -121,7 +121,8 @@ def plain_body(markdown: Column) -> Column:
 
 def clamp(value: Column, low, high, default) -> Column:
     """A parameter as a whole number within bounds; the default where it is none."""
-    return F.coalesce(F.least(F.greatest(value.try_cast("double").cast("long"), F.lit(low)), F.lit(high)), F.lit(default))
+    n = value.try_cast("double").cast("long")
+    return F.when(n.isNull(), F.lit(default)).otherwise(F.least(F.greatest(n, F.lit(low)), F.lit(high)))
 
 
 def clamp_weight(w: Column) -> Column:
