@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None
 
 
 def quantized(vector: Column, places: int = 5) -> Column:
-    return F.transform(vector.cast("array<double>"), lambda x: F.round(x, places))
+    return F.transform(vector.cast("array<double>"), lambda x: F.round(x, places) + F.lit(0.0))  # no negative zero
 
 
 def savable(answers: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def vector_peek(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.posexplode(F.slice("embedding", 1, 10)).alias("pos", "v")).select("vec_id", "dim", "pos", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
-@query("select vec_id, (unnest(range(len(embedding))))::int as pos, round(unnest(embedding)::double, 5) as value from embeddings")
+@query("select vec_id, (unnest(range(len(embedding))))::int as pos, round(unnest(embedding)::double, 5) + 0.0::double as value from embeddings")
 def vector_quantize(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.posexplode(T.quantized(F.col("embedding"))).alias("pos", "value"))
 
