@@ -11,7 +11,7 @@ like any other. Rows that repeat keep a row each. A component's id is its smalle
 That is op9's contract. near_dedup, the pipeline's stage, links at a similarity (common shingles over all shingles) of 4/5 or more of the sets of five-word shingles, and
 misses no such pair: sets are put in one fixed order, and two sets that alike share one of their first n - ceil(4n/5) + 1 shingles. The order is by how often a
 sample holds a shingle, rare ones first, so the sample bears on cost only, not on what is found. Sets that meet are held to the bounds that their sizes and places give, then to the bound of their sketches (parities in slots), which loses no similar pair either; pairs left
-are compared on the whole sets. First only neighbours in a bucket are compared; then all pairs whose rows aren't in one component yet. Equal sets are one node. Texts of fewer than
+are compared on the whole sets. First rows of a bucket are compared with neighbours of other components only (by size, then by chance); then all pairs whose rows aren't in one component yet. Equal sets are one node. Texts of fewer than
 five words are one shingle, so null and empty texts are alike. Shingles are 64-bit hashes, equal sets 128-bit ones.
 """
 
@@ -30,6 +30,7 @@ from .common import drop, left, parted, plain, staged, unstage, without
 BITS, SEGMENTS = 4, ((0, 21), (21, 42), (42, 64))
 SHINGLE = 5  # words of near_dedup's shingles
 ORDER_ROWS, ORDER_SHINGLES = 20_000, 100_000  # sample and length of the list of common shingles; they bear on cost only
+CHANCES = 2  # rounds in which near_dedup compares neighbours in an order by chance; they bear on cost only
 SMALL = 8  # buckets up to this size are compared all at once in numpy
 
 
@@ -258,28 +259,56 @@ def _met(batches):
         yield from t.filter(pa.array(np.r_[False, same] | np.r_[same, False])).to_batches()
 
 
-def _candidates(neighbours: bool):
-    """Pairs of a bucket that its sizes and places allow: neighbours by size only, or all that aren't in one component."""
+def _other_root(key, root):
+    """For each row, the place of the next row that has its key and another root, or -1; rows of one root that follow each other are a run."""
+    cut = np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1
+    after = np.repeat(np.r_[cut, key.size], np.diff(np.r_[0, cut, key.size]))
+    return np.where((after < key.size) & (key[np.minimum(after, key.size - 1)] == key), after, -1)
+
+
+def _adjacent(key, n, root):
+    """Pairs of each row with the next and with the last row before it of another root in its bucket: two a row at most."""
+    after = _other_root(key, root)
+    before = key.size - 1 - _other_root(key[::-1], root[::-1])[::-1]  # where there is none: key.size
+    i, j = np.flatnonzero(after >= 0), np.flatnonzero(before < key.size)
+    yield np.r_[i, before[j]], np.r_[after[i], j]
+
+
+def _all_pairs(key, n, root):
+    """All pairs of a bucket whose roots differ and whose sizes allow them. One of such a pair isn't of the bucket's most frequent root, so only rows of other roots look for partners."""
+    order = np.lexsort((root, key))
+    k, r = key[order], root[order]
+    head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
+    size = np.diff(np.r_[head, k.size])
+    by_size = np.lexsort((-size, k[head]))
+    most = by_size[np.r_[True, k[head][by_size][1:] != k[head][by_size][:-1]]]  # one run a key, in the order of keys
+    often = r[head][most][np.searchsorted(k[head][most], key)]
+    few = root != often
+    begin, end = np.searchsorted(key, key, side="left"), np.searchsorted(key, key, side="right")
+    up = down = np.flatnonzero(few)
+    d = 1
+    # Sizes ascend in a bucket: a row whose partner d places on is too large, or d places back too small, has none further.
+    while up.size or down.size:
+        up = up[up + d < end[up]]
+        up = up[4 * n[up + d] <= 5 * n[up]]
+        down = down[down - d >= begin[down]]
+        down = down[4 * n[down] <= 5 * n[down - d]]
+        back = down[~few[down - d]]  # the partner doesn't look for itself
+        yield np.r_[up, back - d], np.r_[up + d, back]
+        d += 1
+
+
+def _candidates(pairs_of):
+    """Those of a bucket's pairs that its sizes and places allow, of rows that aren't in one component."""
 
     def run(batches):
         for t in _whole_runs(batches):
             key, node, n, at, root = (t.column(c).to_numpy() for c in ("key", "node", "n", "at", "root"))
-            end = np.searchsorted(key, key, side="right")
-            i, d = np.arange(key.size), 1
-            while True:
-                # Sizes ascend in a bucket: a row whose partner d places on is too large has none further on.
-                i = i[i + d < end[i]]
-                i = i[4 * n[i + d] <= 5 * n[i]]
-                if not i.size:
-                    break
-                j = i + d
-                ok = alike(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j]) & (root[i] != root[j])
+            for i, j in pairs_of(key, n, root):
+                ok = (4 * n[j] <= 5 * n[i]) & (4 * n[i] <= 5 * n[j]) & (root[i] != root[j]) & alike(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j])
                 u, v = node[i[ok]], node[j[ok]]
                 if u.size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-                if neighbours:
-                    break
-                d += 1
 
     return run
 
@@ -319,19 +348,22 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = index.select("key", "node", "n", F.col("at").cast("long").alias("at"))
     met, _ = staged(index.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n long, at long"), "near-met")
 
-    def pairs(rows, neighbours):
-        dealt = rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_candidates(neighbours), "u long, v long")
+    def links_of(comp, pairs_of, *order):
+        rows = met.withColumn("root", F.col("node")) if comp is None else met.join(comp.toDF("c_", "r_"), F.col("node") == F.col("c_"), "left").select("key", "node", "n", "at", F.coalesce("r_", "node").alias("root"))
+        dealt = rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_candidates(pairs_of), "u long, v long")
         of = lambda *names: heads.select("rid", "n", "sketch").toDF(*names)
         both = dealt.distinct().join(of("a_", "m", "x"), F.col("u") == F.col("a_")).join(of("b_", "n", "y"), F.col("v") == F.col("b_"))
         got, _ = staged(both.select("u", "v", "m", "n", "x", "y").mapInArrow(_possible, "u long, v long"), "near-pairs")
-        return _verified(got, src)
-
-    near, _ = staged(pairs(met.withColumn("root", F.col("node")), True), "near-links")
-    comp, _ = staged(components(near), "near-cc")
-    comp = comp.withColumnRenamed("node", "c_").withColumnRenamed("root", "r_")
-    rest = pairs(met.join(comp, met["node"] == comp["c_"], "left").select("key", "node", "n", "at", F.coalesce("r_", "node").alias("root")), False)
-    links, _ = staged(near.unionAll(rest), "near-links")
-    comp, _ = staged(components(links), "near-cc")
+        return staged(_verified(got, src), "near-links")[0]
+
+    # Neighbours by size, then by chance, join large groups at a cost in proportion to their rows. All pairs are left to find what lies between components.
+    found = links_of(None, _adjacent, "n", "node")
+    comp, _ = staged(components(found), "near-cc")
+    for seed in range(CHANCES):
+        found = found.unionAll(links_of(comp, _adjacent, F.xxhash64("node", F.lit(seed))))
+        comp, _ = staged(components(found), "near-cc")
+    found = found.unionAll(links_of(comp, _all_pairs, "n", "node"))
+    comp, _ = staged(components(found), "near-cc")
     labelled = nodes.join(comp.withColumnRenamed("node", "c_"), F.col("node") == F.col("c_"), "left").select(F.col("digest").alias("k"), F.coalesce("root", "node").alias("root"), "first")
     best = labelled.groupBy("root").agg(F.min("first").alias("best")).withColumnRenamed("root", "root_")
     of = labelled.join(best, labelled["root"] == best["root_"]).select("k", "best")

@@ -164,6 +164,20 @@ def test_near_dedup_is_brute_force(spark):
     assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == set(label)
 
 
+def test_pairs_between_components_are_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        rows = int(rng.integers(1, 40))
+        key, n, root = rng.integers(-3, 3, rows), rng.integers(1, 14, rows), rng.integers(0, 4, rows)
+        order = np.lexsort((n, key))
+        key, n, root = key[order], n[order], root[order]
+        unlike = [(i, j) for i in range(rows) for j in range(i + 1, rows) if key[i] == key[j] and root[i] != root[j]]
+        got = [p for i, j in simhash._all_pairs(key, n, root) for p in zip(i.tolist(), j.tolist()) if root[p[0]] != root[p[1]]]
+        assert sorted(got) == [(i, j) for i, j in unlike if 4 * n[j] <= 5 * n[i]]
+        near = {p for i, j in simhash._adjacent(key, n, root) for p in zip(i.tolist(), j.tolist())}
+        assert near == {(i, min(j for k, j in unlike if k == i)) for i, _ in unlike} | {(max(i for i, k in unlike if k == j), j) for _, j in unlike}
+
+
 def test_sketches_bound_what_sets_share():
     rng = np.random.default_rng(2)
     for _ in range(300):
