@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,21 @@ def forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH = 1000  # rows of an Arrow batch where each row holds whole texts or sets
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH rows at most for what is planned and run meanwhile: an executor holds a batch several times (rows, Arrow buffers of a power of two, Python)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 SLOTS = 1 << 20  # bound of the rows that are broadcast to tell which rows a few ids may mean
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, left, parted, plain, staged
+from .common import drop, left, parted, plain, small_batches, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns and the placeholders.
@@ -262,7 +262,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text, n_chars = at("text"), at("n_chars")
     rows, _ = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "pii-docs")
     before = left()
-    found, path = staged(find(rows, at("doc_id"), text, "rid").where("base <> '' or extra is not null").select("rid", "base", "extra"), "pii-found")
+    with small_batches(docs.sparkSession):
+        found, path = staged(find(rows, at("doc_id"), text, "rid").where("base <> '' or extra is not null").select("rid", "base", "extra"), "pii-found")
     drop(docs.sparkSession, left() - before - {path})
     # Only rows with personal data or disclosing terms, and the few that share their hash slots, are shuffled and rewritten.
     maybe, untouched = parted(rows, found)

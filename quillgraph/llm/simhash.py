@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, left, parted, plain, staged, unstage, without
+from .common import drop, left, parted, plain, small_batches, staged, unstage, without
 
 BITS, SEGMENTS = 4, ((0, 21), (21, 42), (42, 64))
 SHINGLE = 5  # words of near_dedup's shingles
@@ -227,7 +227,7 @@ def _prefixes(common, ranks):
                 if common.size:
                     i = np.minimum(np.searchsorted(common, s), common.size - 1)
                     s = s[np.argsort(np.where(common[i] == s, ranks[i], 0), kind="stable")]
-                heads.append(s[: s.size - (4 * s.size + 4) // 5 + 1])
+                heads.append(s[: s.size - (4 * s.size + 4) // 5 + 1].copy())  # not the whole set
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), _lists(heads)], ["rid", "doc_id", "digest", "n", "sketch", "head"])
 
     return run
@@ -375,7 +375,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows, at = plain(docs)
     rows, _ = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "simhash-docs")
     before = left()
-    gone, path = staged(similar_classes(rows, at("doc_id"), at("text"), "rid").where("not kept").select("rid"), "simhash-gone")
+    with small_batches(docs.sparkSession):
+        gone, path = staged(similar_classes(rows, at("doc_id"), at("text"), "rid").where("not kept").select("rid"), "simhash-gone")
     drop(docs.sparkSession, left() - before - {path})
     return without(rows, gone).drop("rid").toDF(*docs.columns)
 
