@@ -11,7 +11,7 @@ like any other. Rows that repeat keep a row each. A component's id is its smalle
 That is op9's contract. near_dedup, the pipeline's stage, links at a similarity (common shingles over all shingles) of 4/5 or more of the sets of five-word shingles, and
 misses no such pair: sets are put in one fixed order, and two sets that alike share one of their first n - ceil(4n/5) + 1 shingles. The order is by how often a
 sample holds a shingle, rare ones first, so the sample bears on cost only, not on what is found. Sets that meet are held to the bounds that their sizes and places give, then to the bound of their sketches (parities in slots), which loses no similar pair either; pairs left
-are compared on the whole sets. First rows of a bucket are compared with neighbours of other components only (by size, then by chance); then all pairs whose rows aren't in one component yet. Equal sets are one node. Texts of fewer than
+are compared on the whole sets. First rows of a bucket are compared with neighbours of other components only (by size, then by chance); then all pairs whose rows aren't in one component yet; those take the bound of brief sketches, of BRIEF slots, in the bucket itself. Equal sets are one node. Texts of fewer than
 five words are one shingle, so null and empty texts are alike. Shingles are 64-bit hashes, equal sets 128-bit ones.
 """
 
@@ -31,6 +31,7 @@ BITS, SEGMENTS = 4, ((0, 21), (21, 42), (42, 64))
 SHINGLE = 5  # words of near_dedup's shingles
 ORDER_ROWS, ORDER_SHINGLES = 20_000, 100_000  # sample and length of the list of common shingles; they bear on cost only
 CHANCES = 2  # rounds in which near_dedup compares neighbours in an order by chance; they bear on cost only
+BRIEF = 1024  # slots of the sketch that rows carry into their buckets; it bears on cost only
 SMALL = 8  # buckets up to this size are compared all at once in numpy
 
 
@@ -190,9 +191,9 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([b.column("rid"), _lists([shingles(t) for t in b.column("text").to_pylist()])], ["rid", "set"])
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of a set's members dealt to slots, a power of two of them and twice as many as members at least. Halves of a sketch, added, are the sketch of half as many slots."""
-    slots = 1 << max(3, int(2 * s.size - 1).bit_length())
+def sketch(s: np.ndarray, slots: int = 0) -> bytes:
+    """Parities of a set's members dealt to slots, a power of two of them and, if not given, twice as many as members at least. Halves of a sketch, added, are the sketch of half as many slots."""
+    slots = slots or 1 << max(3, int(2 * s.size - 1).bit_length())
     return np.packbits(np.bincount(s & (slots - 1), minlength=slots) & 1, bitorder="little").tobytes()
 
 
@@ -214,21 +215,22 @@ def _possible(batches):
 
 
 def _prefixes(common, ranks):
-    """A row for each text: a digest, the size and the sketch of its set, and the set's prefix in the order."""
+    """A row for each text: a digest, the size, the sketch and the brief sketch of its set, and the set's prefix in the order."""
 
     def run(batches):
         for b in batches:
-            digest, sizes, sketches, heads = [], [], [], []
+            digest, sizes, sketches, briefs, heads = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t)
                 digest.append(xxhash.xxh128_digest(s.tobytes()))
                 sizes.append(s.size)
                 sketches.append(sketch(s))
+                briefs.append(sketch(s, BRIEF))
                 if common.size:
                     i = np.minimum(np.searchsorted(common, s), common.size - 1)
                     s = s[np.argsort(np.where(common[i] == s, ranks[i], 0), kind="stable")]
                 heads.append(s[: s.size - (4 * s.size + 4) // 5 + 1].copy())  # not the whole set
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), _lists(heads)], ["rid", "doc_id", "digest", "n", "sketch", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary()), _lists(heads)], ["rid", "doc_id", "digest", "n", "sketch", "brief", "head"])
 
     return run
 
@@ -298,15 +300,36 @@ def _all_pairs(key, n, root):
         d += 1
 
 
-def _candidates(pairs_of):
+def _allowed(t, pairs_of):
     """Those of a bucket's pairs that its sizes and places allow, of rows that aren't in one component."""
+    key, n, at, root = (t.column(c).to_numpy() for c in ("key", "n", "at", "root"))
+    for i, j in pairs_of(key, n, root):
+        ok = (4 * n[j] <= 5 * n[i]) & (4 * n[i] <= 5 * n[j]) & (root[i] != root[j]) & alike(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j])
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def _open(batches):
+    """Rows that an allowed pair holds: as many as come in at most, whatever the number of pairs."""
+    for t in _whole_runs(batches):
+        held = np.zeros(t.num_rows, bool)
+        for i, j in _allowed(t, _all_pairs):
+            held[i] = held[j] = True
+        yield from t.filter(pa.array(held)).to_batches()
+
+
+def _candidates(pairs_of):
+    """Allowed pairs; where rows carry brief sketches, those that they leave."""
 
     def run(batches):
         for t in _whole_runs(batches):
-            key, node, n, at, root = (t.column(c).to_numpy() for c in ("key", "node", "n", "at", "root"))
-            for i, j in pairs_of(key, n, root):
-                ok = (4 * n[j] <= 5 * n[i]) & (4 * n[i] <= 5 * n[j]) & (root[i] != root[j]) & alike(np.minimum(n[i] - at[i], n[j] - at[j]), n[i], n[j])
-                u, v = node[i[ok]], node[j[ok]]
+            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+            bits = np.frombuffer(b"".join(t.column("brief").to_pylist()), np.uint64).reshape(-1, BRIEF // 64) if "brief" in t.column_names else None
+            for i, j in _allowed(t, pairs_of):
+                if bits is not None:
+                    ok = alike((n[i] + n[j] - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)) // 2, n[i], n[j])
+                    i, j = i[ok], j[ok]
+                u, v = node[i], node[j]
                 if u.size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
@@ -341,7 +364,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = part.select("rid", "text").mapInArrow(_shingled, "rid long, set array<long>").select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     often = sorted(often.where("c > 2").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect())
     common, ranks = np.array([r["s"] for r in often], np.int64), np.array([r["c"] for r in often], np.int64)
-    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, digest binary, n long, sketch binary, head array<long>"), "near-heads")
+    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, digest binary, n long, sketch binary, brief binary, head array<long>"), "near-heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rid").alias("r")))
     nodes, _ = staged(heads.groupBy("digest").agg(F.min("rid").alias("node"), first.alias("first")), "near-nodes")
     index = heads.join(nodes.select(F.col("node").alias("k_")), heads["rid"] == F.col("k_")).select(F.posexplode("head").alias("at", "key"), F.col("rid").alias("node"), "n")
@@ -350,6 +373,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def links_of(comp, pairs_of, *order):
         rows = met.withColumn("root", F.col("node")) if comp is None else met.join(comp.toDF("c_", "r_"), F.col("node") == F.col("c_"), "left").select("key", "node", "n", "at", F.coalesce("r_", "node").alias("root"))
+        if pairs_of is _all_pairs:
+            # Buckets in which components still differ: their rows get brief sketches, so that unlike pairs never leave a bucket.
+            rows = rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_open, "key long, node long, n long, at long, root long")
+            rows = rows.join(heads.select(F.col("rid").alias("h_"), "brief"), F.col("node") == F.col("h_")).drop("h_")
         dealt = rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_candidates(pairs_of), "u long, v long")
         of = lambda *names: heads.select("rid", "n", "sketch").toDF(*names)
         both = dealt.distinct().join(of("a_", "m", "x"), F.col("u") == F.col("a_")).join(of("b_", "n", "y"), F.col("v") == F.col("b_"))
