@@ -3,9 +3,9 @@
 A posting is a document and its share g of a term's score; a term's list is cut into blocks of documents, sorted by document, and dealt by ranges of (term, block), so that a common term's list lies over
 many partitions. With a query's terms as its lists:
 
-1. The K largest postings of each list give partial sums; the K-th largest of them is a lower bound of the K-th best score.
-2. That bound over the number of lists is the uniform threshold: every list gives all its postings at or over it. A document that no list gives can't reach the bound. The sums of what was given bound the K-th
-   best score again, and documents whose sum, with all that may be missing, stays under it go.
+1. The K largest postings of each list give partial sums. The LOOKED * K documents of largest sums are looked up in all lists, and the K-th best of their scores is a lower bound of the K-th best of all.
+2. One threshold holds for all lists of a query: the largest at which a document that is under it in every list can't reach the bound (a list's largest posting counts where that is less). Every list gives all its postings at or
+   over it, as arrays for each block of documents, which are summed there. The sums bound the K-th best score again, and documents whose sum, with the most that other lists may add, stays under it go.
 3. Every list is looked up for the documents that are left, and their exact scores rank them.
 
 The terms sought are the queries' own; they go to the tasks in parts of TERMS, so that each part is bounded; each part is a pass over the documents. All else is joined.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import forget, small_batches, staged, unstage
 
 K = 50
+LOOKED = 4  # times K documents are looked up for the first bound
 TERMS = 1_000_000  # terms that one pass over the documents seeks
 WORDS, DOCS = 8_000_000, 1 << 16  # of a block of documents, at most (but for a last batch)
 _PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -111,49 +112,119 @@ def _postings(index: dict[bytes, int], docs: int, words: int, ids: bool):
 def _heads(k: int):
     """Of each list, what a partition has of its k largest postings."""
 
+    def rows(best):
+        t = np.repeat(np.array(list(best), np.int64), [x[0].size for x in best.values()])
+        col = lambda i, kind: np.concatenate([x[i] for x in best.values()]).astype(kind) if best else np.zeros(0, kind)
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(col(0, np.int64)), pa.array(col(1, np.int32)), pa.array(col(2, np.int64))], ["tid", "block", "idx", "g"])
+
     def run(batches):
         best: dict[int, tuple] = {}
         for b in batches:
             for tid, block, idx, g in zip(*(b.column(c).to_pylist() for c in ("tid", "block", "idx", "g"))):
-                rid, g = np.frombuffer(idx, "<i4").astype(np.int64) + block, np.frombuffer(g, "<i4")
+                idx, g = np.frombuffer(idx, "<i4"), np.frombuffer(g, "<i4")
+                own = np.full(idx.size, block), idx, g
                 if tid in best:
-                    rid, g = np.concatenate([best[tid][0], rid]), np.concatenate([best[tid][1], g])
-                if g.size > k:
-                    top = np.argpartition(g, g.size - k)[-k:]
-                    rid, g = rid[top], g[top]
-                best[tid] = rid, g
+                    own = tuple(np.concatenate(x) for x in zip(best[tid], own))
+                if own[2].size > k:
+                    top = np.argpartition(own[2], own[2].size - k)[-k:]
+                    own = tuple(x[top] for x in own)
+                best[tid] = own
             if len(best) > 20_000:  # lists of earlier rows are mostly over
-                yield _rows(best)
+                yield rows(best)
                 best = {}
-        yield _rows(best)
-
-    def _rows(best):
-        t = np.repeat(np.array(list(best), np.int64), [x[0].size for x in best.values()])
-        r, g = (np.concatenate([x[i] for x in best.values()]).astype(np.int64) if best else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(r), pa.array(g)], ["tid", "rid", "g"])
+        yield rows(best)
 
     return run
 
 
+def threshold(bound: int, most: list[int]) -> int:
+    """The largest T for which lists whose postings are under T (and at most `most`, each) add up to less than the bound; 1 at least, at which nothing is under it."""
+    most, below = sorted(most), 0
+    for i, m in enumerate(most):
+        t = (bound - 1 - below) // (len(most) - i) + 1  # the lists before give their most, this one and those after T - 1
+        if t - 1 < m:
+            return max(1, t)
+        below += m
+    return max(1, (most[-1] if most else 0) + 1)
+
+
+def _thresholds(batches):
+    """For each list of a query what it has to give, and the most of what it needn't (cap); the caps' sum."""
+    for b in batches:
+        out = []
+        for q, bound, lists in zip(*(b.column(c).to_pylist() for c in ("q", "bound", "lists"))):
+            t = threshold(bound or 0, [x["w"] * x["most"] for x in lists])
+            caps = [min(t - 1, x["w"] * x["most"]) for x in lists]
+            out += [(q, x["tid"], x["w"], -(-t // x["w"]), c, sum(caps)) for x, c in zip(lists, caps)]
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["q", "tid", "w", "least", "cap", "caps"])
+
+
 def _given(batches):
     """The postings at or over the threshold of each query that asks for the list."""
     for b in batches:
-        qs, rids, scores = [], [], []
+        out, size = [], 0
         for block, idx, g, ask in zip(*(b.column(c).to_pylist() for c in ("block", "idx", "g", "ask"))):
             idx, g = np.frombuffer(idx, "<i4"), np.frombuffer(g, "<i4")
             for a in ask:
                 at = np.flatnonzero(g >= a["least"])
-                qs.append(np.full(at.size, a["q"], np.int64))
-                rids.append(idx[at].astype(np.int64) + block)
-                scores.append(g[at].astype(np.int64) * a["w"])
-                if sum(map(len, qs)) > 500_000:
-                    yield _triples(qs, rids, scores)
-                    qs, rids, scores = [], [], []
-        yield _triples(qs, rids, scores)
+                if at.size:
+                    out.append((a["q"], block, a["w"], a["cap"], idx[at].tobytes(), g[at].tobytes()))
+                    size += at.size
+            if size > 500_000:
+                yield _rows(out, GIVEN)
+                out, size = [], 0
+        yield _rows(out, GIVEN)
+
+
+GIVEN = (("q", pa.int64()), ("block", pa.int64()), ("w", pa.int64()), ("cap", pa.int64()), ("idx", pa.binary()), ("g", pa.binary()))
+SUMMED = (("q", pa.int64()), ("block", pa.int64()), ("idx", pa.binary()), ("s", pa.binary()), ("room", pa.binary()))
 
 
-def _triples(*cols):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols], ["q", "rid", "s"])
+def _rows(out: list[tuple], schema):
+    cols = list(zip(*out)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema)], [n for n, _ in schema])
+
+
+def _summed(batches):
+    """What a block's documents were given for a query: sums, and the sum less the caps of the lists that gave."""
+    for b in batches:
+        out = []
+        for q, block, parts in zip(*(b.column(c).to_pylist() for c in ("q", "block", "parts"))):
+            lists = [(np.frombuffer(x["idx"], "<i4"), np.frombuffer(x["g"], "<i4").astype(np.int64) * x["w"], x["cap"]) for x in parts]
+            s = np.zeros(1 + max(int(i[-1]) for i, _, _ in lists), np.int64)
+            room, met = s.copy(), np.zeros(s.size, bool)
+            for i, v, cap in lists:  # a document is once in a list
+                s[i] += v
+                room[i] += v - cap
+                met[i] = True
+            at = np.flatnonzero(met)
+            out.append((q, block, at.astype("<i4").tobytes(), s[at].tobytes(), room[at].tobytes()))
+        yield _rows(out, SUMMED)
+
+
+def _best_sums(k: int):
+    def run(batches):
+        for b in batches:
+            out = []
+            for q, s in zip(b.column("q").to_pylist(), b.column("s").to_pylist()):
+                s = np.frombuffer(s, np.int64)
+                s = np.partition(s, s.size - k)[-k:] if s.size > k else s
+                out += [(q, int(v)) for v in s]
+            yield _rows(out, (("q", pa.int64()), ("s", pa.int64())))
+
+    return run
+
+
+def _may_reach(batches):
+    """Of each block the documents that may reach the bound."""
+    for b in batches:
+        out = []
+        for q, block, idx, room, caps, bound in zip(*(b.column(c).to_pylist() for c in ("q", "block", "idx", "room", "caps", "bound"))):
+            at = np.frombuffer(idx, "<i4")[np.frombuffer(room, np.int64) + caps >= (bound or 0)]
+            if at.size:
+                out.append((q, block, at.tobytes()))
+        yield _rows(out, (("q", pa.int64()), ("block", pa.int64()), ("want", pa.binary())))
 
 
 def _looked_up(batches):
@@ -162,7 +233,7 @@ def _looked_up(batches):
         out = []
         for tid, block, idx, g, asks in zip(*(b.column(c).to_pylist() for c in ("tid", "block", "idx", "g", "asks"))):
             for a in asks:
-                want = np.array(a["rids"], np.int64) - block
+                want = np.frombuffer(a["want"], "<i4").astype(np.int64)
                 if tid < 0:
                     null = np.unpackbits(np.frombuffer(idx, np.uint8))[want].astype(bool)
                     out.append((a["q"], want + block, np.zeros(want.size, np.int64), np.frombuffer(g, "<i8")[want], null))
@@ -178,6 +249,11 @@ def _looked_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(col(1, np.int64)), pa.array(col(2, np.int64)), pa.array(col(3, np.int64), mask=col(4, bool))], ["q", "rid", "s", "doc_id"])
 
 
+def _packed(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("block"), pa.array([np.array(x, "<i4").tobytes() for x in b.column("l").to_pylist()], pa.binary())], ["q", "block", "want"])
+
+
 def _kth(sums: DataFrame, k: int) -> DataFrame:
     """The k-th largest sum of each query, no row where it has fewer."""
     return sums.withColumn("r_", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(f"r_ <= {k}").where(f"r_ = {k}").select("q", F.col("s").alias("bound"))
@@ -222,30 +298,34 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id"
         weight = F.floor(1000 * F.log((2.0 * F.lit(n_docs) + 2.0) / (2 * F.col("df") + 1).cast("double")))
         df = real.groupBy("tid").agg(F.sum("n").alias("df")).select("tid", weight.cast("long").alias("w")).where("w > 0")
         qt = keep(asked.join(union(numbers), "term").join(df, "tid").select("q", "item_id", "tid", "w"), "terms")
-        lists_of = qt.groupBy("q").agg(F.count("*").alias("m"))
+
+        def looked_up(wanted: DataFrame) -> DataFrame:
+            """q, rid, score, doc_id of documents (q, block, want: their places in the block)."""
+            lookups = wanted.join(qt.select("q", "tid", "w"), "q").unionByName(wanted.withColumns({"tid": F.lit(-1).cast("long"), "w": F.lit(0).cast("long")}))
+            lookups = lookups.groupBy("tid", "block").agg(F.collect_list(F.struct("q", "w", "want")).alias("asks"))  # the queries of a list
+            found = posted.join(lookups, ["tid", "block"]).select("tid", "block", "idx", "g", "asks").mapInArrow(_looked_up, "q long, rid long, s long, doc_id long")
+            return found.groupBy("q", "rid").agg(F.sum("s").alias("s"), F.max("doc_id").alias("doc_id"))
+
         # 1: heads, and a lower bound of the k-th best score.
-        heads = real.select("tid", "block", "idx", "g").mapInArrow(_heads(k), "tid long, rid long, g long")
-        heads = heads.withColumn("r_", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("g")))).where(f"r_ <= {k}").drop("r_")
-        sums = qt.join(heads, "tid").groupBy("q", "rid").agg(F.sum(F.col("w") * F.col("g")).alias("s"))
-        bounds = keep(lists_of.join(_kth(sums, k), "q", "left").select("q", "m", F.expr("(coalesce(bound, 0) + m - 1) div m").alias("least")), "bounds")
-        # 2: all postings at or over the threshold; what is missing from each list is under it.
-        asks = qt.join(bounds, "q").groupBy("tid").agg(F.collect_list(F.struct("q", "w", F.greatest(F.lit(1), F.expr("(least + w - 1) div w")).alias("least"))).alias("ask"))
-        asks = keep(asks, "asks")
-        given = real.join(asks, "tid").select("block", "idx", "g", "ask").mapInArrow(_given, "q long, rid long, s long")
-        given = keep(given.groupBy("q", "rid").agg(F.sum("s").alias("s"), F.count("*").alias("seen")), "given")
-        better = _kth(given, k).withColumnRenamed("q", "q_")
-        most = F.col("s") + (F.col("m") - F.col("seen")) * F.greatest(F.col("least") - 1, F.lit(0))
-        left = given.join(bounds, "q").join(better, F.col("q") == F.col("q_"), "left").where(most >= F.coalesce("bound", F.lit(0))).select("q", "rid")
-        # 3: exact scores of what is left. A document's block is the last that begins at or before it.
-        starts = posted.where("tid = -1").select("block", "n")
-        left = left.withColumn("p_", F.shiftright("rid", 33))
-        starts = starts.withColumn("p_", F.shiftright("block", 33))
-        left = left.join(starts, "p_").where("rid >= block and rid < block + n")
-        left = keep(left.groupBy("q", "block").agg(F.collect_list("rid").alias("rids")), "left")
-        lookups = left.join(qt.select("q", "tid", "w"), "q").unionByName(left.withColumns({"tid": F.lit(-1).cast("long"), "w": F.lit(0).cast("long")}))
-        lookups = lookups.groupBy("tid", "block").agg(F.collect_list(F.struct("q", "w", "rids")).alias("asks"))
-        exact = posted.join(lookups, ["tid", "block"]).select("tid", "block", "idx", "g", "asks").mapInArrow(_looked_up, "q long, rid long, s long, doc_id long")
-        exact = exact.groupBy("q", "rid").agg(F.sum("s").alias("score"), F.max("doc_id").alias("doc_id")).where("score > 0")
+        heads = real.select("tid", "block", "idx", "g").mapInArrow(_heads(k), "tid long, block long, idx int, g long")
+        heads = heads.withColumn("r_", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("g")))).where(f"r_ <= {k}")
+        heads = keep(heads.drop("r_"), "heads")
+        sums = qt.join(heads, "tid").groupBy("q", "block", "idx").agg(F.sum(F.col("w") * F.col("g")).alias("s"))
+        first = sums.withColumn("r_", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(f"r_ <= {LOOKED * k}")
+        first = first.groupBy("q", "block").agg(F.array_sort(F.collect_list("idx")).alias("l")).mapInArrow(_packed, "q long, block long, want binary")
+        bounds = _kth(looked_up(keep(first, "first")), k)
+        # 2: all postings at or over the threshold, summed by document.
+        most = heads.groupBy("tid").agg(F.max("g").alias("most"))
+        lists_of = qt.join(most, "tid").groupBy("q").agg(F.collect_list(F.struct("tid", "w", "most")).alias("lists"))
+        asks = keep(lists_of.join(bounds, "q", "left").select("q", "bound", "lists").mapInArrow(_thresholds, "q long, tid long, w long, least long, cap long, caps long"), "asks")
+        by_list = asks.groupBy("tid").agg(F.collect_list(F.struct("q", "w", "cap", F.greatest(F.lit(1), "least").alias("least"))).alias("ask"))
+        given = real.join(by_list, "tid").select("block", "idx", "g", "ask").mapInArrow(_given, "q long, block long, w long, cap long, idx binary, g binary")
+        given = given.groupBy("q", "block").agg(F.collect_list(F.struct("w", "cap", "idx", "g")).alias("parts"))  # a block's documents, at most once for each of the query's terms
+        given = keep(given.mapInArrow(_summed, "q long, block long, idx binary, s binary, room binary"), "given")
+        better = _kth(given.select("q", "s").mapInArrow(_best_sums(k), "q long, s long"), k)
+        left = given.join(asks.select("q", "caps").distinct(), "q").join(better, "q", "left").select("q", "block", "idx", "room", "caps", "bound").mapInArrow(_may_reach, "q long, block long, want binary")
+        # 3: exact scores of what is left.
+        exact = looked_up(keep(left, "left")).withColumnRenamed("s", "score").where("score > 0")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id", "rid"))
         best = exact.withColumn("rank", rank).where(f"rank <= {k}")
         out, _ = staged(best.join(qt.select("q", "item_id").distinct(), "q").select("item_id", "rank", "doc_id", "score"), "tput-out")
