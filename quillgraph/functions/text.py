@@ -35,6 +35,32 @@ def nfc(s: Column) -> Column:
     return compose(s)
 
 
+def _uncomposed() -> str:
+    """A class of characters, at least one of which any text outside normal form C holds: those that have another form, or that join with what stands before them."""
+    loose = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.combining(chr(c)) or 0x1160 <= c < 0x1200)]
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    loose = sorted({*loose, *(int(d[1], 16) for d in pairs if len(d) == 2 and d[0][0] != "<")})
+    runs, out = [], []
+    for c in loose:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    for a, b in runs:
+        out.append(f"\\x{{{a:x}}}-\\x{{{b:x}}}")
+    return "[" + "".join(out) + "]"
+
+
+_UNCOMPOSED: list[str] = []
+
+
+def composed(s: Column) -> Column:
+    """nfc, where only texts that may need it leave the JVM."""
+    if not _UNCOMPOSED:
+        _UNCOMPOSED.append(_uncomposed())
+    return F.coalesce(nfc(F.when(s.rlike(_UNCOMPOSED[0]), s)), s)
+
+
 def strip(s: Column) -> Column:
     """Without white space, of any script, at either end."""
     return F.regexp_replace(s, _EDGES, "")
@@ -42,11 +68,12 @@ def strip(s: Column) -> Column:
 
 def query_tokens(q: Column) -> Column:
     """Distinct words of a normalised query in the order they are first seen, two characters at least."""
-    return F.array_distinct(F.filter(F.split(normalize_keyword(q), r"[\s,;/|]+"), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(F.split(normalize_keyword(composed(q)), r"[\s,;/|]+"), lambda t: F.length(t) >= 2))
 
 
 def slugify(s: Column) -> Column:
-    """Lower case, no file ending, other characters to single dashes, 60 at most; short results become a name made from the hash."""
+    """Lower case in normal form C, no file ending, other characters to single dashes, 60 at most; short results become a name made from the hash."""
+    s = composed(s)
     x = F.regexp_replace(F.lower(s), r"\.[a-z0-9]{1,5}$", "")
     x = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9가-힣]+", "-"), "^-+|-+$", "")
     x = F.regexp_replace(F.substring(x, 1, 60), "^-+|-+$", "")
@@ -120,9 +147,10 @@ def plain_body(markdown: Column) -> Column:
 
 
 def clamp(value: Column, low, high, default) -> Column:
-    """A parameter as a whole number within bounds; the default where it is none."""
-    n = value.try_cast("double").cast("long")
-    return F.when(n.isNull(), F.lit(default)).otherwise(F.least(F.greatest(n, F.lit(low)), F.lit(high)))
+    """A parameter as a whole number (rounded down) within bounds, however large it is; the default where it is no number."""
+    n = value.try_cast("double")
+    bounded = F.least(F.greatest(F.floor(F.when(F.abs(n) < 1e18, n)), F.lit(low).cast("long")), F.lit(high).cast("long"))
+    return F.when(n.isNull() | F.isnan(n), F.lit(default)).when(n >= 1e18, F.lit(high)).when(n <= -1e18, F.lit(low)).otherwise(bounded)
 
 
 def clamp_weight(w: Column) -> Column:

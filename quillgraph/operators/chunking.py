@@ -19,6 +19,7 @@ SENTENCE_END = re.compile(r"(?<![0-9]\.)(?<=[.!?。！？])\s+")
 LINE_ENDS = re.compile(r"\n+")
 NEW_BLOCK = re.compile(r"\s*(\d+(\.\d+)*\.?\s|[-•·*]\s|제\s*\d+\s*조|[A-Z][A-Z ]{3,})")
 HEADING = re.compile(r"^\s*(\d+(\.\d+)+\.?\s+\S|제\s*\d+\s*조|(Section|Chapter|Appendix)\s+\S|\d+\.\s+[A-Z가-힣])", re.IGNORECASE)
+SENTENCE = re.compile(r"[^.!?。]+[.!?。]?\s*")
 SHORT, LONG = 25, 220
 FLOOR, TAIL = 0.4, 0.2
 SEMANTIC_MOST = 2000
@@ -98,9 +99,9 @@ def structure(text: str, size: int):
 def paragraph(text: str, size: int):
     """Paragraphs packed one after another while they stay within size, a blank line between; a longer one is cut and stands alone."""
     out: list[list] = []
-    is_open, at = False, 0
-    for body in re.split(r"\n\s*\n", text):
-        start, at = at, at + len(body) + 2
+    is_open, marks = False, [0, *(x for m in re.finditer(r"\n\s*\n", text) for x in m.span()), len(text)]
+    for start, stop in zip(marks[::2], marks[1::2]):
+        body = text[start:stop]
         if not body.strip():
             continue
         if len(body) > size:
@@ -114,6 +115,61 @@ def paragraph(text: str, size: int):
     return [tuple(x) for x in out]
 
 
+def packed(paragraphs: list[tuple[str, bool]], header: str, target: int) -> list[tuple[str, int, int]]:
+    """Paragraphs (text, whether it is a heading) put together until target characters would be passed, each chunk under the header: chunks with the numbers of their first and last paragraph. Headings stand in brackets. A paragraph of more than twice target is cut behind
+    its sentences' ends, marks kept, into parts of target characters where its sentences allow; what is left of it opens the next chunk, and its length counts there."""
+    out: list[tuple[str, int, int]] = []
+    current: list[str] = []
+    size, first = 0, 0
+
+    def flush(last: int) -> None:
+        nonlocal current, size
+        if current:
+            out.append((header + "\n\n" + "\n\n".join(current), first, last))
+        current, size = [], 0
+
+    for no, (body, heading) in enumerate(paragraphs):
+        text = f"[{body}]" if heading else body
+        if current and size + len(text) > target:
+            flush(no - 1)
+        if not current:
+            first = no
+        if len(text) <= 2 * target:
+            current.append(text)
+            size += len(text)
+            continue
+        held = ""
+        for part in SENTENCE.findall(text) or [text]:
+            if held and len(held) + len(part) > target:
+                current.append(held.strip())
+                flush(no)
+                first, held = no, ""
+            held += part
+        if held.strip():
+            current.append(held.strip())
+        size += len(held)
+    flush(len(paragraphs) - 1)
+    return out
+
+
+PACKED = "doc string, chapter_no int, chunk_index int, first_para int, last_para int, n_chars int, chunk string"
+
+
+def pack_chapters(chapters: DataFrame, target: int) -> DataFrame:
+    """Chunks of chapters (doc, chapter_no, header, paragraphs: array of heading, text): doc, chapter_no, chunk_index, first_para, last_para, n_chars, chunk. A chapter is a row, so nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, no, header, paras in zip(*(b.column(c).to_pylist() for c in ("doc", "chapter_no", "header", "paragraphs"))):
+                for i, (chunk, first, last) in enumerate(packed([(p["text"] or "", p["heading"] is not None) for p in paras or []], header or "", target)):
+                    rows.append((doc, no, i, first, last, len(chunk), chunk))
+            cols = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int32()] * 5, pa.string()))], ["doc", "chapter_no", "chunk_index", "first_para", "last_para", "n_chars", "chunk"])
+
+    return chapters.select(F.col("doc").cast("string"), F.col("chapter_no").cast("int"), "header", "paragraphs").mapInArrow(run, PACKED)
+
+
 CHUNKERS = {"fixed": fixed, "structure": structure, "paragraph": paragraph}
 CHUNK = "doc_id long, chunk_index int, start int, n_chars int, strategy string, chunk string"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import shared_pairs
 from .retrieval import majority
 
 
@@ -21,21 +22,13 @@ def keyword_index(r: DataFrame, chapters: DataFrame) -> DataFrame:
 
 
 def cooccurrence(r: DataFrame) -> DataFrame:
-    """(source, target, weight): chapters that two terms share; a chapter has few terms."""
-    a, b = r.select("chapter", F.col("term").alias("source")), r.select("chapter", F.col("term").alias("target"))
-    return a.join(b, "chapter").where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
-
-
-SALTS = 16  # parts that a term's documents are dealt to
+    """(source, target, weight): chapters that two terms share."""
+    return shared_pairs(r, "term", "chapter")
 
 
 def shares(r: DataFrame) -> DataFrame:
-    """(source, target, weight): terms that two documents share. Every pair is an edge, so a term's documents make as many rows as pairs; its pairs are dealt to SALTS parts by their first document, so that a common term
-    isn't one task's work."""
-    t = r.select("doc", "term").distinct()
-    a = t.select("term", F.col("doc").alias("source"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
-    b = t.select("term", F.col("doc").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return a.join(b, ["term", "salt"]).where("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    """(source, target, weight): terms that two documents share. Every pair that shares one is an edge."""
+    return shared_pairs(r, "doc", "term")
 
 
 def neighbours(r: DataFrame, term) -> DataFrame:
@@ -126,7 +119,7 @@ def focused(node_table: DataFrame, text: str) -> DataFrame:
 
 def link_width(kind, weight):
     """Width of a drawn link by its kind."""
-    return F.when(kind == "shares", F.least(F.lit(4.0), 0.6 + 0.4 * weight)).when(kind == "cooccurs", F.least(F.lit(3.0), 0.3 + 0.3 * weight)).when(kind == "contains", 1.0).otherwise(0.4)
+    return F.when(kind == "shares", 1 + F.least(F.lit(4.0), weight * 0.6)).when(kind == "contains", 0.8).otherwise(0.3 + F.least(F.lit(1.5), weight * 0.4))
 
 
 def labels_of(terms: DataFrame, keywords: DataFrame, term: str = "term") -> DataFrame:

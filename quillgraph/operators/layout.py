@@ -33,12 +33,12 @@ def body_size(runs: DataFrame, key: str = "doc", size: str = "font_size", text:
     return sizes.groupBy(key).agg(F.coalesce(best["s_"], F.lit(10.0)).alias("body_size"))
 
 
-def repeated_keys(lines: DataFrame, doc: str = "doc", page: str = "page", key: str = "key") -> DataFrame:
-    """Keys on at least two pages and at least two fifths of a document's pages, in documents of three pages or more."""
+def repeated_keys(lines: DataFrame, doc: str = "doc", page: str = "page", key: str = "key", pages: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """Keys of at least so many characters on at least two pages and at least two fifths of a document's pages, in documents of three pages or more. pages: doc, pages; where it isn't given, the pages among lines are all there are, so give it when lines are only those at the edges."""
     per_page = lines.select(doc, page, key).distinct()
-    pages = per_page.groupBy(doc).agg(F.countDistinct(page).alias("pages"))
-    keys = per_page.where(F.col(key).isNotNull()).groupBy(doc, key).agg(F.count("*").alias("on_pages"))
-    return keys.join(pages, doc).where((F.col("pages") >= 3) & (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.lit(0.4) * F.col("pages")))))
+    n = per_page.groupBy(doc).agg(F.countDistinct(page).alias("pages")) if pages is None else pages.select(doc, F.col("pages").cast("long").alias("pages"))
+    keys = per_page.where(F.length(key) >= least).groupBy(doc, key).agg(F.count("*").alias("on_pages"))
+    return keys.join(n, doc).where((F.col("pages") >= 3) & (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.lit(0.4) * F.col("pages")))))
 
 
 def segment_font(runs: DataFrame, key: str = "segment", size: str = "font_size", bold: str = "bold", text: str = "str") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import cosine
+from quillgraph.operators.nearest import nearest as nearest
 
 GENERATED, GENERATED_DOC = "generated", "generated answers"
 SCHEMA = "id string, document string, chunk_index int, page int, strategy string, n_chars int, text string, vector array<float>, source string, question string, engine string, based_on string, created string"
@@ -88,26 +88,6 @@ def peek(store: DataFrame, document: str, chunk_index: int, head: int = 10) -> D
     return one.select(F.size("vector").alias("dim"), F.transform(F.slice("vector", 1, head), lambda x: F.round(x.cast("double"), 4)).alias("head"))
 
 
-BLOCK = 500  # queries that are broadcast at once
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id_col, score): of the rows that keep allows, the k most similar ones to each query (query_id, q), ties by id. A filter comes before the cut, so k rows come back where there are as many.
-
-    Queries are held against all rows in blocks of BLOCK, each of which is broadcast; each task keeps k rows a query before anything is shuffled.
-    """
-    rows = vectors if keep is None else vectors.where(keep)
-    rows = rows.select(id_col, F.col(vector).cast("array<double>").alias("v_"))
-    blocks, out = max(1, -(-queries.count() // BLOCK)), None
-    best = Window.partitionBy("query_id").orderBy(F.desc("raw"), id_col)
-    for i in range(blocks):
-        q = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", F.col("q").cast("array<double>").alias("q")))
-        scored = rows.crossJoin(q).select("query_id", id_col, F.round(cosine(F.col("v_"), F.col("q")), 4).alias("raw"))
-        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # a limit by group, which each task applies first
-        out = top if out is None else out.unionByName(top)
-    return out.select("query_id", "rank", id_col, F.col("raw").alias("score"))
-
-
 def quantized(vector: Column, places: int = 5) -> Column:
     return F.transform(vector.cast("array<double>"), lambda x: F.round(x, places) + F.lit(0.0))  # no negative zero
 

@@ -22,7 +22,7 @@ TOP_NUMBER = (
     r"^[IVX]{1,5}\.\s+\S.{1,90}$",
 )
 SUB_NUMBER = (r"^[0-9]{1,2}(\.[0-9]{1,2}){1,3}\.?\s+\S", r"^[0-9]{1,2}\.[0-9]{1,2}\s")
-SECTION_WORDS = (
+SECTION_WORDS = (  # one pattern, over two lines
     r"(?i)^(abstract|introduction|background|related work|methods?|methodology|results?|discussion|conclusions?|summary|references|bibliography|acknowledg(e)?ments?|appendix|preface|foreword|contents|table of contents|index"
     r"|glossary|요약|초록|서론|서문|머리말|들어가며|본론|결론|맺음말|나가며|참고\s*문헌|부록|목차|감사의\s*글)$"
 )
@@ -295,12 +295,20 @@ def _fold(most: int):
             mark = {"heading": 2, "text": b["title"], "page": b["first_page"]}
             found[i : i + 2] = [{"title": a["title"], "paragraphs": [*a["paragraphs"], mark, *b["paragraphs"]], "first_page": min(a["first_page"], b["first_page"]), "last_page": max(a["last_page"], b["last_page"])}]
 
+        def merge_first() -> None:
+            """The first chapter joins the second, behind its text and under the first's title; the second's title becomes a heading."""
+            a, b = found[0], found[1]
+            mark = {"heading": 2, "text": b["title"], "page": b["first_page"]}
+            found[:2] = [{"title": a["title"], "paragraphs": [mark, *b["paragraphs"], *a["paragraphs"]], "first_page": min(a["first_page"], b["first_page"]), "last_page": max(a["last_page"], b["last_page"])}]
+
         i = 0
         while i < len(found) and len(found) > 1:
             if size(found[i]) >= 300:
                 i += 1
+            elif i:
+                merge(i - 1)
             else:
-                merge(max(i - 1, 0))
+                merge_first()
         while len(found) > most:
             sizes = [size(c) for c in found]
             both = [a + b for a, b in zip(sizes, sizes[1:])]

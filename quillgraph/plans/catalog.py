@@ -9,12 +9,15 @@ from quillgraph.functions import text as X
 from quillgraph.operators import chunking as C
 from quillgraph.operators import graph as G
 from quillgraph.operators import layout as L
+from quillgraph.operators import nearest as NV
 from quillgraph.operators import notes as N
 from quillgraph.operators import rerank as K
 from quillgraph.operators import retrieval as R
 from quillgraph.operators import search as S
 from quillgraph.operators import store as T
 from quillgraph.operators import tools as O
+from quillgraph.operators.index import Bm25Index
+from quillgraph.sources import versions as V
 from quillgraph.streaming import runs as E
 
 QUERIES: dict = {}
@@ -72,6 +75,20 @@ def bm25_stats(spark, d):
     return q.join(m, "query_id", "left").crossJoin(s).select("query_id", "query_terms", "corpus", F.coalesce("m", F.lit(0)).alias("matched"), "avgdl")  # one row of s
 
 
+CHANGED = BM25.replace("with t as", "with changed as (select doc_id, source, case when doc_id % 5 = 0 then substring(text, 1, 300) else text end as text from documents where doc_id % 7 <> 0),\nt as", 1).replace("from documents),\nq as", "from changed),\nq as")
+
+
+@query(CHANGED + "k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) select query_id, rank, doc_id, score, matched from k where rank <= 10")
+def bm25_incremental(spark, d):
+    """An index that is built of two thirds of the documents, given the others, then shorter texts for a fifth of all, and loses a seventh."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    index = Bm25Index(spark, V.scratch(spark, "index"))
+    index.update(docs.where("doc_id % 3 <> 0"))
+    index.update(docs.where("doc_id % 3 = 0"))
+    index.update(docs.where("doc_id % 5 = 0 or doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.substring("text", 1, 300)).alias("text")))
+    return index.search(_asked(spark, d))
+
+
 @query(BM25 + """k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r),
 h as (select p.query_id, p.doc_id, p.term, p.tf, round(p.idf, 4) as idf, round(p.part, 4) as part, row_number() over (partition by p.query_id, p.doc_id order by round(p.part, 4) desc, p.term) as pos, count(*) over (partition by p.query_id, p.doc_id) as n_terms from p join k using (query_id, doc_id) where k.rank <= 10)
 select query_id, doc_id, (pos - 1)::int as pos, term, tf, idf, part, n_terms from h where pos <= 6""")
@@ -91,22 +108,21 @@ def _vectors(spark, d):
 
 @query(COS + "select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from r) where rank <= 10")
 def cosine_topk(spark, d):
-    return T.nearest(*_vectors(spark, d), 10)
+    return NV.nearest(*_vectors(spark, d), 10)
 
 
 @query(COS + "select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from r where label <> 0) where rank <= 5")
 def cosine_filtered(spark, d):
     """The filter comes before the cut, so that no query gets fewer rows than there are."""
-    return T.nearest(*_vectors(spark, d), 5, F.col("label") != 0)
+    return NV.nearest(*_vectors(spark, d), 5, F.col("label") != 0)
 
 
 @query(COS + "select query_id, label, count(*) as n, max(score) as best from r group by all")
 def cosine_by_label(spark, d):
-    """For each query the best of each label, of ten nearest within it."""
+    """For each query the best of each label."""
     v, q = _vectors(spark, d)
     labels = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    scored = v.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).crossJoin(F.broadcast(q)).groupBy("query_id", "label").agg(F.max(F.round(X.cosine(F.col("v"), F.col("q").cast("array<double>")), 4)).alias("best"))  # a block of queries
-    return scored.join(labels, "label").select("query_id", "label", "n", "best")
+    return NV.nearest(v, q, 1, group="label").join(labels, "label").select("query_id", "label", "n", F.col("score").alias("best"))
 
 
 @query("select vec_id, len(embedding)::int as dim, i::int as pos, round(embedding[i + 1]::double, 4) as value from embeddings, range(0, 10) t(i)")
@@ -325,33 +341,39 @@ cats as (select term, category, count(*) as m, min(ord) as f from kw join c usin
 cat as (select term, category from (select *, row_number() over (partition by term order by m desc, f) as q from cats) where q = 1),
 keywords as (select term, arg_min(label, ord) as label, count(*) as n_chapters, min(ord * 1000 + pos) as ord from kw join c using (chapter) group by term),
 """
-QUERY = "The Enti, where"  # words: the, enti, where
-HITS = KEYWORDS + """w as (select unnest(['the', 'enti', 'where']) as t),
-sc as (select k.term, (case when k.term = 'the enti, where' or lower(label) = 'the enti, where' then 5.0 when contains(k.term, 'the enti, where') or contains(lower(label), 'the enti, where') then 3.0 else 0.0 end
- + (select sum(case when k.term = t or lower(label) = t then 2.0 when contains(k.term, t) or contains(lower(label), t) then 1.0 when contains(t, k.term) and length(k.term) >= 2 then 0.8 else 0.0 end) from w))::double as s from keywords k),
-hits as (select term, label, n_chapters, category, s, ord from keywords join sc using (term) join cat using (term) where s > 0 order by s desc, ord limit 12),
+# The queries: items of the benchmark whose id is divisible by 50.
+HITS = KEYWORDS + """q as (select item_id as query_id, lower(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '^\\s+|\\s+$', '', 'g'), '^[\\s"''“”‘’`(\\[{]+|[\\s"''“”‘’`)\\]}.,;:!?]+$', '', 'g'), '\\s+', ' ', 'g')) as full from benchmark where item_id % 50 = 0),
+w as (select query_id, unnest(list_distinct(list_filter(regexp_split_to_array("full", '[\\s,;/|]+'), lambda x: length(x) >= 2))) as t from q),
+each as (select query_id, k.term, sum(case when k.term = t or lower(label) = t then 2.0 when contains(k.term, t) or contains(lower(label), t) then 1.0 when contains(t, k.term) and length(k.term) >= 2 then 0.8 else 0.0 end) as s from keywords k, w group by all),
+sc as (select query_id, k.term, round((case when "full" = '' then 0.0 when k.term = "full" or lower(label) = "full" then 5.0 when contains(k.term, "full") or contains(lower(label), "full") then 3.0 else 0.0 end + coalesce(each.s, 0))::double, 9) as s
+  from keywords k cross join q left join each using (query_id, term)),
+hits as (select * from (select query_id, term, label, n_chapters, category, s, ord, row_number() over (partition by query_id order by s desc, ord) as hit_rank from keywords join sc using (term) join cat using (term) where s > 0) where hit_rank <= 12),
 """
-SOURCES = HITS + """bt as (select chapter, sum(s * (0.4 + weight)) as by_term, list(kw.term order by weight desc, kw.term) as matched from kw join hits using (term) group by chapter),
-hd as (select c.*, matched, coalesce(by_term, 0) + (select sum(case when contains(lower(title), t) then 1.5 when contains(lower(summary), t) then 0.6 else 0.0 end) from w) as head from c left join bt using (chapter)),
-cand as (select *, row_number() over (order by head > 0 desc, ord) <= 400 as read from hd),
-scored as (select *, round(head + case when read then least(4.0, 0.3 * ((select sum(least(10, (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) from w) + case when contains(lower(text), 'the enti, where') then 6 else 0 end)) else 0 end, 9) as score from cand),
-src as (select row_number() over (order by score desc, ord)::int as rank, * from scored where score > 0 order by score desc, ord limit 10),
-plc as (select *, (select min(nullif(instr(lower(text), t), 0)) from w) as p from src),
+SOURCES = HITS + """bt as (select query_id, chapter, sum(s * (0.4 + weight)) as by_term, list(hits.label order by weight desc, kw.term) as matched from kw join hits using (term) group by query_id, chapter),
+hw as (select query_id, chapter, sum(case when contains(lower(title), t) then 1.5 when contains(lower(summary), t) then 0.6 else 0.0 end) as h from c, w group by query_id, chapter),
+hd as (select q.query_id, q."full", c.*, matched, coalesce(by_term, 0) + coalesce(h, 0) as head from c cross join q left join bt using (query_id, chapter) left join hw using (query_id, chapter)),
+cand as (select *, row_number() over (partition by query_id order by head > 0 desc, ord) <= 400 as read from hd),
+occ as (select cand.query_id, chapter, sum(least(10, (length(lower(text)) - length(replace(lower(text), t, ''))) // length(t))) as n, count(*) as n_words from cand join w on w.query_id = cand.query_id where read group by all),
+scored as (select cand.*, round(head + case when read then least(4.0, 0.3 * (coalesce(n, 0) + case when coalesce(n_words, 0) > 1 and "full" <> '' and contains(lower(text), "full") then 6 else 0 end)) else 0 end, 9) as score from cand left join occ using (query_id, chapter)),
+src as (select * from (select row_number() over (partition by query_id order by score desc, ord)::int as rank, * from scored where score > 0) where rank <= 10),
+plc as (select src.*, p from src left join (select src.query_id, chapter, min(nullif(instr(lower(text), t), 0)) as p from src join w on w.query_id = src.query_id group by all) using (query_id, chapter)),
 snip as (select *, case when p is null then (case when length(summary) <= 240 then summary else regexp_replace(substring(summary, 1, 239), '\\s+$', '') || '…' end) else (case when p > 111 then '…' else '' end) || regexp_replace(regexp_replace(substring(text, greatest(p - 111, 0) + 1, least(p + 189, length(text)) - greatest(p - 111, 0)), '\\s+', ' ', 'g'), '^ | $', '', 'g') || (case when p + 189 < length(text) then '…' else '' end) end as snippet from plc),
 """
 
 
 def _chapters(spark, d):
     t = read(spark, d, "documents")
-    return t.select(F.col("doc_id").alias("chapter"), F.col("source").alias("doc"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"), F.substring("text", 1, 200).alias("summary"), F.col("lang").alias("category"), "text", F.col("doc_id").alias("ord"))
+    return t.select(F.col("doc_id").alias("chapter"), F.col("source").alias("doc"), F.concat(F.lit("Source "), F.col("source")).alias("doc_title"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"), F.substring("text", 1, 200).alias("summary"), F.col("lang").alias("category"), "text", F.col("doc_id").alias("ord"))
 
 
 def _search(spark, d):
+    """chapters, refs and keywords (both stored), the queries, and their hits (stored as well: HITS rows a query)."""
     c = _chapters(spark, d)
-    refs = S.frequency_keywords(c)
-    keywords = S.keyword_table(refs, c)
-    hits = S.keyword_hits(keywords, QUERY)
-    return c, refs, keywords, hits
+    refs, keywords = S.stored(c)
+    q = S.asked(_asked(spark, d))
+    path = V.scratch(spark, "hits")
+    S.keyword_hits(keywords, q).write.parquet(path)
+    return c, refs, keywords, q, spark.read.parquet(path)
 
 
 @query(KEYWORDS.rstrip().rstrip(",") + " select * from kw")
@@ -359,48 +381,61 @@ def fallback_keywords(spark, d):
     return S.frequency_keywords(_chapters(spark, d))
 
 
-@query(HITS.rstrip().rstrip(",") + " select term, label, category, n_chapters, round(s, 2) as score from hits")
+@query(HITS.rstrip().rstrip(",") + " select query_id, hit_rank::int as hit_rank, term, label, category, n_chapters, round(s, 2) as score from hits")
 def keyword_score(spark, d):
-    return _search(spark, d)[3].select("term", "label", "category", "n_chapters", F.round("s", 2).alias("score"))
+    return _search(spark, d)[4].select("query_id", "hit_rank", "term", "label", "category", "n_chapters", F.round("s", 2).alias("score"))
 
 
-@query(SOURCES.rstrip().rstrip(",") + " select rank, chapter, doc, title, category, round(score, 3) as score, array_to_string(coalesce(matched, []), '|') as matched, snippet from snip")
+@query(SOURCES.rstrip().rstrip(",") + " select query_id, rank, chapter, doc, 'Source ' || doc as doc_title, title, category, round(score, 3) as score, array_to_string(coalesce(matched, []), '|') as matched, snippet from snip")
 def keyword_search(spark, d):
-    c, refs, _, hits = _search(spark, d)
-    return S.keyword_sources(c, refs, hits, QUERY).withColumn("matched", F.array_join("matched", "|"))
+    c, refs, _, q, hits = _search(spark, d)
+    return S.keyword_sources(c, refs, hits, q).withColumn("matched", F.array_join("matched", "|"))
 
 
-RELATED = """best as (select term as hit, s from hits order by s desc, ord limit 4),
-near as (select b.hit, b.s, o.term, count(*) as shared from best b join kw h on h.term = b.hit join kw o on o.chapter = h.chapter and o.term <> b.hit group by all),
-first as (select *, row_number() over (partition by hit order by shared desc, ord) as k from near join (select term, ord from keywords) using (term)),
-rel as (select term, round(sum(shared * s), 9) as raw from first where k <= 12 and term not in (select term from hits) group by term)
+RELATED = """best as (select query_id, term as hit, s from hits where hit_rank <= 4),
+near as (select b.query_id, b.hit, b.s, o.term, count(*) as shared from best b join kw h on h.term = b.hit join kw o on o.chapter = h.chapter and o.term <> b.hit group by all),
+first as (select *, row_number() over (partition by query_id, hit order by shared desc, ord) as k from near join (select term, ord from keywords) using (term)),
+rel as (select query_id, term, round(sum(shared * s), 9) as raw from first where k <= 12 and (query_id, term) not in (select (query_id, term) from hits) group by query_id, term)
 """
 
 
-@query(HITS + RELATED + "select term, label, category, n_chapters, round(raw, 2) as score from rel join keywords using (term) join cat using (term) order by raw desc, ord limit 10")
+@query(HITS + RELATED + "select query_id, term, label, category, n_chapters, round(raw, 2) as score from (select *, row_number() over (partition by query_id order by raw desc, ord) as k from rel join keywords using (term) join cat using (term)) where k <= 10")
 def related_keywords(spark, d):
-    _, refs, keywords, hits = _search(spark, d)
+    _, refs, keywords, _, hits = _search(spark, d)
     return S.related_keywords(refs, keywords, hits)
 
 
-@query(SOURCES + "f as (select category, count(*) as n, min(rank) as r from src where rank <= 3 group by category) select coalesce((select category from f order by n desc, r limit 1), (select category from hits order by s desc, ord limit 1), 'misc') as category")
+@query(SOURCES + """f as (select query_id, category, count(*) as n, min(rank) as r from src where rank <= 3 group by all), g as (select query_id, arg_max(category, n * 10 - r) as a from f group by query_id)
+select query_id, coalesce(a, b, 'misc') as category from q left join g using (query_id) left join (select query_id, category as b from hits where hit_rank = 1) using (query_id)""")
 def result_category(spark, d):
-    c, refs, _, hits = _search(spark, d)
-    return S.result_category(S.keyword_sources(c, refs, hits, QUERY), hits)
+    c, refs, _, q, hits = _search(spark, d)
+    return S.result_category(S.keyword_sources(c, refs, hits, q), hits, q)
 
 
-@query(SOURCES + """v as (select vec_id, embedding::double[] as e from embeddings),
-ch as (select vec_id as chapter, substring(text, 1, 200) as text, round(list_cosine_similarity(e, (select e from v where vec_id = 0)), 4) as score from v join c on c.chapter = v.vec_id order by score desc, vec_id limit 10),
-m as (select score as most from src where rank = 1),
-every as (select chapter, greatest(score, 0) as emb, 0.0 as kw from ch union all select chapter, 0, round(score, 3) / (select round(most, 3) from m) from src union all select distinct chapter, 0, 0.35 from kw where term in (select term from hits order by s desc, ord limit 3)),
-b as (select chapter, round(0.7 * max(emb) + 0.3 * max(kw), 9) as raw from every group by chapter)
-select row_number() over (order by raw desc, ord)::int as rank, chapter, doc, title, category, round(raw, 3) as score from b join c using (chapter) where raw > 0.05 order by raw desc, ord limit 8""")
+HYBRID = SOURCES + """v as (select vec_id, embedding::double[] as e from embeddings),
+ch as (select * from (select query_id, chapter, text, score, row_number() over (partition by query_id order by score desc, chapter) as k from (select q.query_id, c.chapter, text, round(list_cosine_similarity(v.e, p.e), 4) as score from q join v p on p.vec_id = q.query_id cross join v join c on c.chapter = v.vec_id)) where k <= 10),
+m as (select query_id, round(score, 3) as most from src where rank = 1),
+every as (select query_id, chapter, greatest(score, 0) as emb, 0.0 as kw from ch union all select query_id, chapter, 0, round(score, 3) / most from src join m using (query_id) union all select distinct query_id, chapter, 0, 0.35 from kw join hits using (term) where hit_rank <= 3),
+b as (select query_id, chapter, round(0.7 * max(emb) + 0.3 * max(kw), 9) as raw from every group by query_id, chapter),
+r as (select * from (select *, row_number() over (partition by query_id order by raw desc, ord)::int as rank from b join c using (chapter) where raw > 0.05) where rank <= 8),
+x as (select r.*, coalesce(nullif(ch.text, ''), nullif(r.text, ''), summary, '') as body0, ch.text is not null as chunked from r left join ch using (query_id, chapter)),
+y as (select x.*, regexp_replace(body0, '\\A[^\\n]*\\n\\n', '') as body, p2 from x left join (select x.query_id, chapter, min(nullif(instr(lower(regexp_replace(body0, '\\A[^\\n]*\\n\\n', '')), t), 0)) as p2 from x join w on w.query_id = x.query_id group by all) using (query_id, chapter)),
+z as (select y.*, snip.matched as found_matched, snip.snippet as found, case when p2 is null then (case when length(summary) <= 240 then summary else regexp_replace(substring(summary, 1, 239), '\\s+$', '') || '…' end) else (case when p2 > 111 then '…' else '' end) || regexp_replace(regexp_replace(substring(body, greatest(p2 - 111, 0) + 1, least(p2 + 189, length(body)) - greatest(p2 - 111, 0)), '\\s+', ' ', 'g'), '^ | $', '', 'g') || (case when p2 + 189 < length(body) then '…' else '' end) end as own from y left join snip using (query_id, chapter))
+select query_id, rank, chapter, doc, 'Source ' || doc as doc_title, title, category, round(raw, 3) as score, sha256(case when length(body0) <= 2200 then body0 else regexp_replace(substring(body0, 1, 2199), '\\s+$', '') || '…' end) as context, coalesce(nullif(found, ''), own) as snippet, array_to_string(coalesce(found_matched, []), '|') as matched from z"""
+
+
+@query(HYBRID)
 def hybrid_rank(spark, d):
-    c, refs, _, hits = _search(spark, d)
-    v = read(spark, d, "embeddings").join(c.select(F.col("chapter").alias("vec_id"), "text"), "vec_id")
-    near = T.nearest(v, v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
-    chunks = near.join(v.select("vec_id", "text"), "vec_id").select(F.col("vec_id").alias("chapter"), F.substring("text", 1, 200).alias("text"), "score")
-    return S.hybrid_rank(c, refs, hits, S.keyword_sources(c, refs, hits, QUERY), chunks).select("rank", "chapter", "doc", "title", "category", "score")
+    """A document's vector is that of its id (those without have none), its whole text its only chunk; a query's vector is that of its id."""
+    c, refs, _, q, hits = _search(spark, d)
+    v = read(spark, d, "embeddings")
+    have = v.join(c.select(F.col("chapter").alias("vec_id")), "vec_id", "left_semi")
+    near = NV.nearest(have, v.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    chunks = near.select("query_id", F.col("vec_id").alias("chapter"), "score").join(c.select("chapter", "text"), "chapter")
+    path = V.scratch(spark, "sources")
+    S.keyword_sources(c, refs, hits, q).write.parquet(path)
+    out = S.hybrid_rank(c, refs, hits, spark.read.parquet(path), chunks, q)
+    return out.withColumn("context", F.sha2("context", 256)).withColumn("matched", F.array_join("matched", "|"))
 
 
 @query("""select page_id, host, case when length(s) < 2 then 'doc-' || substring(sha1(url), 1, 8) else s end as slug from (

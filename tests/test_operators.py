@@ -41,7 +41,7 @@ def test_sentences():
 
 
 def test_chunks(spark):
-    assert chunking.paragraph("aa\n\nbbb\n\n\nc", 7) == [("aa\n\nbbb", 0), ("c", 9)] and chunking.paragraph("a" * 25, 10) == [("a" * 10, 0), ("a" * 10, 10), ("a" * 5, 20)]
+    assert chunking.paragraph("aa\n\nbbb\n\n\nc", 7) == [("aa\n\nbbb", 0), ("c", 10)] and chunking.paragraph("a" * 25, 10) == [("a" * 10, 0), ("a" * 10, 10), ("a" * 5, 20)]
     assert chunking.paragraph("a" * 21, 10) == [("a" * 10, 0), ("a" * 11, 10)]  # too short a tail stays
     text = "intro\n1.1 First\nbody of it\n1.2 Second\n" + "x" * 120
     assert [p for p, _ in chunking.structure(text, 100)] == ["intro\n1.1 First\nbody of it", "1.2 Second\n" + "x" * 89, "x" * 31]
