@@ -71,11 +71,11 @@ BATCH = 1000  # rows of an Arrow batch where each row holds whole texts or sets
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of BATCH rows at most for what is planned and run meanwhile: an executor holds a batch several times (rows, Arrow buffers of a power of two, Python)."""
+def small_batches(spark: SparkSession, rows: int = BATCH):
+    """Arrow batches of so many rows at most for what is planned and run meanwhile: an executor holds a batch several times (rows, Arrow buffers of a power of two, Python)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, BATCH)
+    spark.conf.set(key, rows)
     try:
         yield
     finally:

@@ -3,9 +3,9 @@
 A posting is a document and its share g of a term's score; a term's list is cut into blocks of documents, sorted by document, and dealt by ranges of (term, block), so that a common term's list lies over
 many partitions. With a query's terms as its lists:
 
-1. The K largest postings of each list give partial sums. The LOOKED * K documents of largest sums are looked up in all lists, and the K-th best of their scores is a lower bound of the K-th best of all.
-2. One threshold holds for all lists of a query: the largest at which a document that is under it in every list can't reach the bound (a list's largest posting counts where that is less). Every list gives all its postings at or
-   over it, as arrays for each block of documents, which are summed there. The sums bound the K-th best score again, and documents whose sum, with the most that other lists may add, stays under it go.
+1. The HEAD * K largest postings of each list give partial sums. The LOOKED * K documents of largest sums are looked up in all lists, and the K-th best of their scores is a lower bound of the K-th best of all.
+2. One threshold holds for all lists of a query: the largest at which a document that is under it in every list can't reach the bound. What a list's head leaves is no larger than the head's last posting (nothing, where the head is the list), so that counts
+   where it is less. Every list gives all its postings over that, as arrays for each block of documents, which are summed there. The sums bound the K-th best score again, and documents whose sum, with the most that other lists may add, stays under a bound go.
 3. Every list is looked up for the documents that are left, and their exact scores rank them.
 
 The terms sought are the queries' own; they go to the tasks in parts of TERMS, so that each part is bounded; each part is a pass over the documents. All else is joined.
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import forget, small_batches, staged, unstage
 
 K = 50
-LOOKED = 4  # times K documents are looked up for the first bound
+HEAD, LOOKED = 4, 4  # times K postings of a list are its head; times K documents are looked up for the first bound
+BLOCKS = 50  # rows of an Arrow batch where a row is a block's
 TERMS = 1_000_000  # terms that one pass over the documents seeks
-WORDS, DOCS = 8_000_000, 1 << 16  # of a block of documents, at most (but for a last batch)
+WORDS, DOCS = 4_000_000, 1 << 14  # of a block of documents, at most (but for a last batch)
 _PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 
 
@@ -137,27 +138,26 @@ def _heads(k: int):
     return run
 
 
-def threshold(bound: int, most: list[int]) -> int:
-    """The largest T for which lists whose postings are under T (and at most `most`, each) add up to less than the bound; 1 at least, at which nothing is under it."""
-    most, below = sorted(most), 0
-    for i, m in enumerate(most):
-        t = (bound - 1 - below) // (len(most) - i) + 1  # the lists before give their most, this one and those after T - 1
+def threshold(bound: int, rest: list[int]) -> int:
+    """The largest T for which postings under T, and no larger than what each list has left (rest), add up to less than the bound; 1 at least, under which there is nothing."""
+    rest, below = sorted(rest), 0
+    for i, m in enumerate(rest):
+        t = (bound - 1 - below) // (len(rest) - i) + 1  # the lists before give all that they have left, this one and those after T - 1
         if t - 1 < m:
             return max(1, t)
         below += m
-    return max(1, (most[-1] if most else 0) + 1)
+    return max(1, (rest[-1] if rest else 0) + 1)
 
 
 def _thresholds(batches):
-    """For each list of a query what it has to give, and the most of what it needn't (cap); the caps' sum."""
+    """For each list of a query the least share that it has to give, and the most of what it needn't (cap); the caps' sum."""
     for b in batches:
         out = []
         for q, bound, lists in zip(*(b.column(c).to_pylist() for c in ("q", "bound", "lists"))):
-            t = threshold(bound or 0, [x["w"] * x["most"] for x in lists])
-            caps = [min(t - 1, x["w"] * x["most"]) for x in lists]
-            out += [(q, x["tid"], x["w"], -(-t // x["w"]), c, sum(caps)) for x, c in zip(lists, caps)]
-        cols = list(zip(*out)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["q", "tid", "w", "least", "cap", "caps"])
+            t = threshold(bound or 0, [x["w"] * x["rest"] for x in lists])
+            caps = [min(t - 1, x["w"] * x["rest"]) for x in lists]
+            out += [(q, x["tid"], x["w"], c // x["w"] + 1, c, sum(caps), bound or 0) for x, c in zip(lists, caps)]
+        yield _rows(out, tuple((n, pa.int64()) for n in ("q", "tid", "w", "least", "cap", "caps", "bound")))
 
 
 def _given(batches):
@@ -228,25 +228,47 @@ def _may_reach(batches):
 
 
 def _looked_up(batches):
-    """Candidates' scores in a list; their ids, where the list is that of ids."""
+    """Candidates' postings in a list, as those that are given are; their ids, where the list is that of ids."""
     for b in batches:
-        out = []
+        out, size = [], 0
         for tid, block, idx, g, asks in zip(*(b.column(c).to_pylist() for c in ("tid", "block", "idx", "g", "asks"))):
             for a in asks:
-                want = np.frombuffer(a["want"], "<i4").astype(np.int64)
+                want = np.frombuffer(a["want"], "<i4")
                 if tid < 0:
-                    null = np.unpackbits(np.frombuffer(idx, np.uint8))[want].astype(bool)
-                    out.append((a["q"], want + block, np.zeros(want.size, np.int64), np.frombuffer(g, "<i8")[want], null))
-                    continue
-                have = np.frombuffer(idx, "<i4")
-                at = np.minimum(np.searchsorted(have, want), have.size - 1)
-                hit = have[at] == want
-                s = np.frombuffer(g, "<i4")[at[hit]].astype(np.int64) * a["w"]
-                out.append((a["q"], want[hit] + block, s, np.zeros(s.size, np.int64), np.ones(s.size, bool)))
-        n = [x[1].size for x in out]
-        col = lambda i, t: np.concatenate([x[i] for x in out]) if out else np.zeros(0, t)
-        q = np.repeat(np.array([x[0] for x in out], np.int64), n)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(col(1, np.int64)), pa.array(col(2, np.int64)), pa.array(col(3, np.int64), mask=col(4, bool))], ["q", "rid", "s", "doc_id"])
+                    null = np.unpackbits(np.frombuffer(idx, np.uint8))[want]
+                    out.append((a["q"], block, 0, 0, a["want"], np.frombuffer(g, "<i8")[want].tobytes() + null.tobytes()))
+                else:
+                    have = np.frombuffer(idx, "<i4")
+                    at = np.minimum(np.searchsorted(have, want), have.size - 1)
+                    hit = have[at] == want
+                    out.append((a["q"], block, a["w"], 0, want[hit].tobytes(), np.frombuffer(g, "<i4")[at[hit]].tobytes()))
+                size += want.size
+            if size > 500_000:
+                yield _rows(out, GIVEN)
+                out, size = [], 0
+        yield _rows(out, GIVEN)
+
+
+def _ranked(k: int):
+    """Of a block's candidates the k best: q, rid, s, doc_id. Equal scores go by id, nulls first, then by place."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for q, block, parts in zip(*(b.column(c).to_pylist() for c in ("q", "block", "parts"))):
+                lists = [x for x in parts if x["w"] > 0]
+                ids = next(x for x in parts if x["w"] == 0)
+                want = np.frombuffer(ids["idx"], "<i4")
+                own, null = np.frombuffer(ids["g"], "<i8", want.size), np.frombuffer(ids["g"], np.uint8, offset=8 * want.size).astype(bool)
+                s = np.zeros(int(want[-1]) + 1, np.int64)
+                for x in lists:
+                    s[np.frombuffer(x["idx"], "<i4")] += np.frombuffer(x["g"], "<i4").astype(np.int64) * x["w"]
+                s = s[want]
+                best = np.lexsort((want, own, ~null, -s))[:k]
+                out += [(q, block + int(want[i]), int(s[i]), None if null[i] else int(own[i])) for i in best.tolist() if s[i] > 0]
+            yield _rows(out, tuple((n, pa.int64()) for n in ("q", "rid", "s", "doc_id")))
+
+    return run
 
 
 def _packed(batches):
@@ -294,38 +316,42 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id"
         posted = keep(blocks.repartitionByRange("tid", "block"), "postings")
         unstage(spark, paths.pop(-2))
         forget(spark)
+    with small_batches(spark, BLOCKS):
         real = posted.where("tid >= 0")
         weight = F.floor(1000 * F.log((2.0 * F.lit(n_docs) + 2.0) / (2 * F.col("df") + 1).cast("double")))
         df = real.groupBy("tid").agg(F.sum("n").alias("df")).select("tid", weight.cast("long").alias("w")).where("w > 0")
         qt = keep(asked.join(union(numbers), "term").join(df, "tid").select("q", "item_id", "tid", "w"), "terms")
 
+        by_block = lambda rows: rows.groupBy("q", "block").agg(F.collect_list(F.struct("w", "cap", "idx", "g")).alias("parts"))  # noqa: E731  a block's documents, at most once for each of the query's terms
+        given_rows = "q long, block long, w long, cap long, idx binary, g binary"
+
         def looked_up(wanted: DataFrame) -> DataFrame:
-            """q, rid, score, doc_id of documents (q, block, want: their places in the block)."""
+            """q, rid, s, doc_id: of documents (q, block, want: their places in the block) the k best of each block."""
             lookups = wanted.join(qt.select("q", "tid", "w"), "q").unionByName(wanted.withColumns({"tid": F.lit(-1).cast("long"), "w": F.lit(0).cast("long")}))
             lookups = lookups.groupBy("tid", "block").agg(F.collect_list(F.struct("q", "w", "want")).alias("asks"))  # the queries of a list
-            found = posted.join(lookups, ["tid", "block"]).select("tid", "block", "idx", "g", "asks").mapInArrow(_looked_up, "q long, rid long, s long, doc_id long")
-            return found.groupBy("q", "rid").agg(F.sum("s").alias("s"), F.max("doc_id").alias("doc_id"))
+            found = posted.join(lookups, ["tid", "block"]).select("tid", "block", "idx", "g", "asks").mapInArrow(_looked_up, given_rows)
+            return by_block(found).mapInArrow(_ranked(k), "q long, rid long, s long, doc_id long")
 
         # 1: heads, and a lower bound of the k-th best score.
-        heads = real.select("tid", "block", "idx", "g").mapInArrow(_heads(k), "tid long, block long, idx int, g long")
-        heads = heads.withColumn("r_", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("g")))).where(f"r_ <= {k}")
+        heads = real.select("tid", "block", "idx", "g").mapInArrow(_heads(HEAD * k), "tid long, block long, idx int, g long")
+        heads = heads.withColumn("r_", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("g")))).where(f"r_ <= {HEAD * k}")
         heads = keep(heads.drop("r_"), "heads")
         sums = qt.join(heads, "tid").groupBy("q", "block", "idx").agg(F.sum(F.col("w") * F.col("g")).alias("s"))
         first = sums.withColumn("r_", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).where(f"r_ <= {LOOKED * k}")
         first = first.groupBy("q", "block").agg(F.array_sort(F.collect_list("idx")).alias("l")).mapInArrow(_packed, "q long, block long, want binary")
         bounds = _kth(looked_up(keep(first, "first")), k)
-        # 2: all postings at or over the threshold, summed by document.
-        most = heads.groupBy("tid").agg(F.max("g").alias("most"))
-        lists_of = qt.join(most, "tid").groupBy("q").agg(F.collect_list(F.struct("tid", "w", "most")).alias("lists"))
-        asks = keep(lists_of.join(bounds, "q", "left").select("q", "bound", "lists").mapInArrow(_thresholds, "q long, tid long, w long, least long, cap long, caps long"), "asks")
-        by_list = asks.groupBy("tid").agg(F.collect_list(F.struct("q", "w", "cap", F.greatest(F.lit(1), "least").alias("least"))).alias("ask"))
-        given = real.join(by_list, "tid").select("block", "idx", "g", "ask").mapInArrow(_given, "q long, block long, w long, cap long, idx binary, g binary")
-        given = given.groupBy("q", "block").agg(F.collect_list(F.struct("w", "cap", "idx", "g")).alias("parts"))  # a block's documents, at most once for each of the query's terms
+        # 2: all postings over the threshold, summed by document.
+        rest = heads.groupBy("tid").agg(F.when(F.count("*") < HEAD * k, 0).otherwise(F.min("g")).alias("rest"))
+        lists_of = qt.join(rest, "tid").groupBy("q").agg(F.collect_list(F.struct("tid", "w", "rest")).alias("lists"))
+        asks = keep(lists_of.join(bounds, "q", "left").select("q", "bound", "lists").mapInArrow(_thresholds, "q long, tid long, w long, least long, cap long, caps long, bound long"), "asks")
+        by_list = asks.groupBy("tid").agg(F.collect_list(F.struct("q", "w", "cap", "least")).alias("ask"))
+        given = by_block(real.join(by_list, "tid").select("block", "idx", "g", "ask").mapInArrow(_given, given_rows))
         given = keep(given.mapInArrow(_summed, "q long, block long, idx binary, s binary, room binary"), "given")
-        better = _kth(given.select("q", "s").mapInArrow(_best_sums(k), "q long, s long"), k)
-        left = given.join(asks.select("q", "caps").distinct(), "q").join(better, "q", "left").select("q", "block", "idx", "room", "caps", "bound").mapInArrow(_may_reach, "q long, block long, want binary")
+        better = _kth(given.select("q", "s").mapInArrow(_best_sums(k), "q long, s long"), k).withColumnRenamed("bound", "better")
+        left = given.join(asks.select("q", "caps", "bound").distinct(), "q").join(better, "q", "left").select("q", "block", "idx", "room", "caps", F.greatest("bound", "better").alias("bound"))
+        left = left.mapInArrow(_may_reach, "q long, block long, want binary")
         # 3: exact scores of what is left.
-        exact = looked_up(keep(left, "left")).withColumnRenamed("s", "score").where("score > 0")
+        exact = looked_up(keep(left, "left")).withColumnRenamed("s", "score")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id", "rid"))
         best = exact.withColumn("rank", rank).where(f"rank <= {k}")
         out, _ = staged(best.join(qt.select("q", "item_id").distinct(), "q").select("item_id", "rank", "doc_id", "score"), "tput-out")

@@ -144,7 +144,7 @@ def test_threshold_is_the_largest_safe_one():
         bound = rng.randint(0, sum(most))
         safe = [t for t in range(1, 40) if sum(min(t - 1, m) for m in most) < bound]
         assert lexical.threshold(bound, most) == max([1, *safe])
-    assert lexical.threshold(0, []) == 1
+    assert lexical.threshold(0, []) == 1 and lexical.threshold(10, [0, 0]) == 1
 
 
 def test_share_in_wide_integers():
