@@ -60,9 +60,8 @@ class Library:
     def _bucket(self, key: str):
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def read(self, name: str, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """A table; with keys, those of its buckets that hold them."""
-        only = None if keys is None else {r[0] for r in keys.select(self._bucket(keys.columns[0])).distinct().collect()}  # numbers of buckets
+    def read(self, name: str, version: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets."""
         return self.tables.read_buckets(name, SCHEMAS[name], only, version)
 
     def edges(self) -> DataFrame:
@@ -73,13 +72,15 @@ class Library:
             out = e if out is None else out.unionByName(e)
         return out
 
-    def _rewritten(self, name: str, version: int, keys: DataFrame, kept, new: DataFrame) -> dict[str, list[str]]:
-        """The buckets of a table that hold the keys: what kept (a condition, or a function of the rows) leaves of their rows, and the new ones."""
-        keys = keys.select(F.col(keys.columns[0]).alias(KEYS[name])).where(F.col(KEYS[name]).isNotNull()).distinct()
-        touched = sorted(r[0] for r in keys.select(self._bucket(KEYS[name])).distinct().collect())
+    def _buckets(self, keys: DataFrame, column: str) -> list[int]:
+        """The buckets that keys fall in."""
+        return sorted(r[0] for r in keys.where(F.col(column).isNotNull()).select(self._bucket(column)).distinct().collect())
+
+    def _rewritten(self, name: str, version: int, touched: list[int], kept, new: DataFrame) -> dict[str, list[str]]:
+        """Buckets of a table: what kept, a function of the rows, leaves of them, and the new ones."""
         if not touched:
             return {}
-        old = kept(self.read(name, version, keys)).select(*new.columns)
+        old = kept(self.read(name, version, touched)).select(*new.columns)
         folders = self.tables.stage_in_buckets(old.unionByName(new), self._bucket(KEYS[name]), KEYS[name])
         return {f"{name}/{b:03d}": [folders[b]] if b in folders else [] for b in touched}
 
@@ -98,7 +99,8 @@ class Library:
         )
         # Structure is worked out once; all else reads it.
         new = self.tables.staged(self.tables.stage(c), f"{SCHEMAS['chapters']}, doc_title string, fallback string, n_pages int")
-        return self._replace(new.select("doc").distinct(), new, merges, batch, keywords)
+        changed = self.tables.staged(self.tables.stage(new.select("doc").distinct()), "doc string")
+        return self._replace(changed, new, merges, batch, keywords)
 
     def delete(self, docs: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Take documents (doc) out of every table; gives the version."""
@@ -112,6 +114,8 @@ class Library:
         mine = lambda rows, column="doc": rows.join(changed.select(F.col("doc").alias("c_")), F.col(column) == F.col("c_"), "left_semi")
         others = lambda rows, column="doc": rows.join(changed.select(F.col("doc").alias("c_")), F.col(column) == F.col("c_"), "left_anti")
         out: dict[str, list[str]] = {}
+        again = lambda rows, schema: self.tables.staged(self.tables.stage(rows), schema)  # noqa: E731  worked out once, read several times
+        own = self._buckets(changed, "doc")
         # Refs of the new chapters, and of the old.
         found = (keywords or search.frequency_keywords)(new.withColumn("ord", F.col("chapter")))
         fresh = new.select("chapter", "doc").join(found, "chapter").select("doc", "chapter", "term", "label", "weight", "pos")
@@ -119,38 +123,39 @@ class Library:
             m = G.apply_merges(fresh.select("doc", "chapter", "term", "weight"), merges).withColumn("pos", F.row_number().over(Window.partitionBy("chapter").orderBy(F.desc("weight"), "term")))
             names = fresh.groupBy("term").agg(F.min_by("label", F.struct("chapter", "pos")).alias("label"))
             fresh = m.join(names, "term", "left").select("doc", "chapter", "term", F.coalesce("label", "term").alias("label"), "weight", "pos")
-        fresh = self.tables.staged(self.tables.stage(fresh), SCHEMAS["refs"])
-        old = mine(self.read("refs", base, changed))
-        out |= self._rewritten("chapters", base, changed, others, new.select(*(n.split()[0] for n in SCHEMAS["chapters"].split(", "))))
-        out |= self._rewritten("refs", base, changed, others, fresh)
+        fresh = again(fresh, SCHEMAS["refs"])
+        old = mine(self.read("refs", base, own))
+        out |= self._rewritten("chapters", base, own, others, new.select(*(n.split()[0] for n in SCHEMAS["chapters"].split(", "))))
+        out |= self._rewritten("refs", base, own, others, fresh)
         # Documents.
         weights = fresh.groupBy("doc", "term").agg(F.round(F.sum("weight"), 6).alias("w"), F.min(F.struct("chapter", "pos")).alias("f"))
         top = weights.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("w"), "f"))).where("k <= 8").groupBy("doc").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]).alias("keywords"))
         heads = new.groupBy("doc").agg(F.max("doc_title").alias("title"), F.max("fallback").alias("source_file"), F.max("n_pages").alias("pages"), F.min_by("summary", "index").alias("summary"), F.transform(F.sort_array(F.collect_list(F.struct("index", "chapter"))), lambda x: x["chapter"]).alias("chapters"))
         docs = heads.join(top, "doc", "left").join(majority(new, "doc", "category", "index"), "doc").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-        out |= self._rewritten("documents", base, changed, others, docs.select(*(n.split()[0] for n in SCHEMAS["documents"].split(", "))))
+        out |= self._rewritten("documents", base, own, others, docs.select(*(n.split()[0] for n in SCHEMAS["documents"].split(", "))))
         # Keywords of touched terms, counted over all refs.
-        terms = old.select("term").union(fresh.select("term")).distinct()
-        touched = self._touched(base, terms, changed).unionByName(fresh)
+        terms = again(old.select("term").union(fresh.select("term")).distinct(), "term string")
+        touched = again(self._touched(base, terms, changed).unionByName(fresh), SCHEMAS["refs"])
         categories = others(self.read("chapters", base)).select("chapter", "category").join(touched.select("chapter"), "chapter", "left_semi").unionByName(new.select("chapter", "category"))
         table = _keywords(touched, categories)
         without = lambda rows, column="term": rows.join(terms.select(F.col("term").alias("t_")), F.col(column) == F.col("t_"), "left_anti")
-        out |= self._rewritten("keywords", base, terms, without, table)
+        out |= self._rewritten("keywords", base, self._buckets(terms, "term"), without, table)
         # Edges.
-        out |= self._rewritten("contains", base, changed, others, G.contains(new).withColumn("doc", F.col("source")))
-        out |= self._rewritten("mentions", base, changed, others, fresh.select(F.col("chapter").alias("source"), F.col("term").alias("target"), F.lit("mentions").alias("type"), "weight", "doc"))
+        out |= self._rewritten("contains", base, own, others, G.contains(new).withColumn("doc", F.col("source")))
+        out |= self._rewritten("mentions", base, own, others, fresh.select(F.col("chapter").alias("source"), F.col("term").alias("target"), F.lit("mentions").alias("type"), "weight", "doc"))
         delta = G.cooccurrence(fresh).withColumn("s", F.lit(1)).unionByName(G.cooccurrence(old).withColumn("s", F.lit(-1))).groupBy("source", "target").agg(F.sum(F.col("weight") * F.col("s")).alias("d_")).where("d_ <> 0")
-        delta = self.tables.staged(self.tables.stage(delta), "source string, target string, d_ long")
+        delta = again(delta, "source string, target string, d_ long")
+        ends = self._buckets(delta, "source")
         changed_pairs = lambda rows: rows.join(delta.select("source", "target"), ["source", "target"], "left_anti")
-        before = self.read("cooccurs", base, delta.select("source")).select("source", "target", F.col("weight").alias("w_"))
+        before = self.read("cooccurs", base, ends).select("source", "target", F.col("weight").alias("w_"))
         pairs = delta.join(before, ["source", "target"], "left").withColumn("weight", (F.coalesce("w_", F.lit(0.0)) + F.col("d_")).cast("double")).where("weight > 0").select("source", "target", F.lit("cooccurs").alias("type"), "weight")
-        out |= self._rewritten("cooccurs", base, delta.select("source"), changed_pairs, pairs)
+        out |= self._rewritten("cooccurs", base, ends, changed_pairs, pairs)
         mine_now, theirs = fresh.select("doc", "term").distinct(), touched.select("doc", "term").distinct()
         met = mine_now.select(F.col("doc").alias("a"), "term").join(theirs.select(F.col("doc").alias("b"), "term"), "term").where("a <> b").groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), (F.col("a") < F.col("b")).alias("way")).agg(F.count(F.lit(1)).alias("n"))
         # A pair of two changed documents is met from either end.
         shares = met.groupBy("source", "target").agg(F.max("n").cast("double").alias("weight")).select("source", "target", F.lit("shares").alias("type"), "weight")
         partners = changed.select("doc").union(touched.select("doc")).distinct()
-        out |= self._rewritten("shares", base, partners, lambda rows: others(others(rows, "source"), "target"), shares)
+        out |= self._rewritten("shares", base, self._buckets(partners, "doc"), lambda rows: others(others(rows, "source"), "target"), shares)
         if batch:
             out[f"stream/{batch[0]}"] = [str(batch[1])]
         return self.tables.commit(replace=out, base=base)

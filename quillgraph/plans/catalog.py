@@ -420,7 +420,7 @@ b as (select query_id, chapter, round(0.7 * max(emb) + 0.3 * max(kw), 9) as raw
 r as (select * from (select *, row_number() over (partition by query_id order by raw desc, ord)::int as rank from b join c using (chapter) where raw > 0.05) where rank <= 8),
 x as (select r.*, coalesce(nullif(ch.text, ''), nullif(r.text, ''), summary, '') as body0, ch.text is not null as chunked from r left join ch using (query_id, chapter)),
 y as (select x.*, regexp_replace(body0, '\\A[^\\n]*\\n\\n', '') as body, p2 from x left join (select x.query_id, chapter, min(nullif(instr(lower(regexp_replace(body0, '\\A[^\\n]*\\n\\n', '')), t), 0)) as p2 from x join w on w.query_id = x.query_id group by all) using (query_id, chapter)),
-z as (select y.*, snip.matched as found_matched, snip.snippet as found, case when p2 is null then (case when length(summary) <= 240 then summary else regexp_replace(substring(summary, 1, 239), '\\s+$', '') || '…' end) else (case when p2 > 111 then '…' else '' end) || regexp_replace(regexp_replace(substring(body, greatest(p2 - 111, 0) + 1, least(p2 + 189, length(body)) - greatest(p2 - 111, 0)), '\\s+', ' ', 'g'), '^ | $', '', 'g') || (case when p2 + 189 < length(body) then '…' else '' end) end as own from y left join snip using (query_id, chapter))
+z as (select y.*, snip.matched as found_matched, snip.snippet as found, case when p2 is null then (case when length(y.summary) <= 240 then y.summary else regexp_replace(substring(y.summary, 1, 239), '\\s+$', '') || '…' end) else (case when p2 > 111 then '…' else '' end) || regexp_replace(regexp_replace(substring(body, greatest(p2 - 111, 0) + 1, least(p2 + 189, length(body)) - greatest(p2 - 111, 0)), '\\s+', ' ', 'g'), '^ | $', '', 'g') || (case when p2 + 189 < length(body) then '…' else '' end) end as own from y left join snip using (query_id, chapter))
 select query_id, rank, chapter, doc, 'Source ' || doc as doc_title, title, category, round(raw, 3) as score, sha256(case when length(body0) <= 2200 then body0 else regexp_replace(substring(body0, 1, 2199), '\\s+$', '') || '…' end) as context, coalesce(nullif(found, ''), own) as snippet, array_to_string(coalesce(found_matched, []), '|') as matched from z"""
 
 
