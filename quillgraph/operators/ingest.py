@@ -25,16 +25,16 @@ META = "doc string, meta_title string, fallback string, pages int"
 MOST_CHAPTERS = 60
 
 
-def structured(runs: DataFrame, meta: DataFrame, most: int = MOST_CHAPTERS, picked: DataFrame | None = None) -> DataFrame:
-    """Chapters of documents (structure.CHAPTERS, and doc_title). meta: META, a row for each document; picked: headings that a model chose, if any."""
-    l = structure.lines(runs)
+def structured(runs: DataFrame, meta: DataFrame, most: int = MOST_CHAPTERS, picked: DataFrame | None = None, keep=lambda df: df) -> DataFrame:
+    """Chapters of documents (structure.CHAPTERS, and doc_title). meta: META, a row for each document; picked: headings that a model chose, if any; keep: what writes lines and paragraphs, each read many times, and gives the table of what it wrote."""
+    l = keep(structure.lines(runs))
     edge = (F.col("y") > F.col("height") * 0.9) | (F.col("y") < F.col("height") * 0.09)
     key = X.repeat_key(F.col("text"))
-    l = structure.without_running(l, L.repeated_keys(l.where(edge).select("doc", "page", key.alias("key")), pages=meta), key)
-    body = L.body_size(l.withColumn("at_", F.col("page").cast("long") * 1_000_000 + F.col("line_no")), text="text", order="at_")
-    paras = structure.paragraphs(l, body)
-    titles = structure.title(l.where("page = 1"), body, meta)
-    chosen = structure.select_headings(structure.heading_candidates(paras, body), picked)
+    l = keep(structure.without_running(l, L.repeated_keys(l.where(edge).select("doc", "page", key.alias("key")), pages=meta), key))
+    body = keep(L.body_size(l.withColumn("at_", F.col("page").cast("long") * 1_000_000 + F.col("line_no")), text="text", order="at_"))
+    paras = keep(structure.paragraphs(l, body))
+    titles = keep(structure.title(l.where("page = 1"), body, meta))
+    chosen = keep(structure.select_headings(structure.heading_candidates(paras, body), picked))
     parted = structure.chapters_by_headings(paras, chosen, body, titles)
     rest = structure.chapters_by_pages(paras.join(chosen.select("doc").distinct(), "doc", "left_anti"), meta)
     return structure.fold_chapters(parted.unionByName(rest), most).join(titles.select("doc", F.col("title").alias("doc_title")), "doc")
@@ -87,7 +87,9 @@ class Library:
     def ingest(self, runs: DataFrame, meta: DataFrame, merges: DataFrame | None = None, batch: tuple[str, int] | None = None, keywords=None) -> int:
         """Add documents, or put them in place of those of the same slug; gives the version. merges: what terms (from_term) a model would have as others (to_term). batch: a stream's name and number of the batch, done once. keywords: what finds a chapter's
         keywords, in place of its commonest words."""
-        chapters = structured(runs, meta)
+        if self._done(batch):
+            return self.tables.current()[0]
+        chapters = structured(runs, meta, keep=lambda df: self.spark.read.schema(df.schema).parquet(f"{self.tables.path}/{self.tables.stage(df)}"))
         slug = X.slugify(F.coalesce("doc_title", "fallback"))
         c = chapters.join(meta.select("doc", "fallback", F.col("pages").alias("n_pages")), "doc").withColumn("slug", slug)
         c = c.withColumn("last_", F.max("doc").over(Window.partitionBy("slug"))).where("doc = last_")
@@ -102,14 +104,17 @@ class Library:
         changed = self.tables.staged(self.tables.stage(new.select("doc").distinct()), "doc string")
         return self._replace(changed, new, merges, batch, keywords)
 
+    def _done(self, batch: tuple[str, int] | None) -> bool:
+        return batch is not None and int((self.tables.current()[1].get(f"stream/{batch[0]}") or ["-1"])[0]) >= batch[1]
+
     def delete(self, docs: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Take documents (doc) out of every table; gives the version."""
         none = self.spark.createDataFrame([], f"{SCHEMAS['chapters']}, doc_title string, fallback string, n_pages int")
         return self._replace(docs.select("doc").distinct(), none, None, batch, None)
 
     def _replace(self, changed: DataFrame, new: DataFrame, merges, batch, keywords) -> int:
-        base, noted = self.tables.current()
-        if batch and int((noted.get(f"stream/{batch[0]}") or ["-1"])[0]) >= batch[1]:
+        base, _ = self.tables.current()
+        if self._done(batch):
             return base
         mine = lambda rows, column="doc": rows.join(changed.select(F.col("doc").alias("c_")), F.col(column) == F.col("c_"), "left_semi")
         others = lambda rows, column="doc": rows.join(changed.select(F.col("doc").alias("c_")), F.col(column) == F.col("c_"), "left_anti")
