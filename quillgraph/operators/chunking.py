@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import cosine
+from quillgraph.functions.text import cosine, strip
+from quillgraph.sources.versions import Versions
 
 #: Where sentences end, what begins a new block, what is a heading line.
 SENTENCE_END = re.compile(r"(?<![0-9]\.)(?<=[.!?。！？])\s+")
 LINE_ENDS = re.compile(r"\n+")
 NEW_BLOCK = re.compile(r"\s*(\d+(\.\d+)*\.?\s|[-•·*]\s|제\s*\d+\s*조|[A-Z][A-Z ]{3,})")
 HEADING = re.compile(r"^\s*(\d+(\.\d+)+\.?\s+\S|제\s*\d+\s*조|(Section|Chapter|Appendix)\s+\S|\d+\.\s+[A-Z가-힣])", re.IGNORECASE)
-SENTENCE = re.compile(r"[^.!?。]+[.!?。]?\s*")
+SENTENCE = re.compile(r"[^.!?。]+[.!?。]*\s*|[.!?。]+\s*")
 SHORT, LONG = 25, 220
 FLOOR, TAIL = 0.4, 0.2
 SEMANTIC_MOST = 2000
@@ -115,17 +116,17 @@ def paragraph(text: str, size: int):
     return [tuple(x) for x in out]
 
 
-def packed(paragraphs: list[tuple[str, bool]], header: str, target: int) -> list[tuple[str, int, int]]:
-    """Paragraphs (text, whether it is a heading) put together until target characters would be passed, each chunk under the header: chunks with the numbers of their first and last paragraph. Headings stand in brackets. A paragraph of more than twice target is cut behind
-    its sentences' ends, marks kept, into parts of target characters where its sentences allow; what is left of it opens the next chunk, and its length counts there."""
-    out: list[tuple[str, int, int]] = []
+def packed(paragraphs: list[tuple[str, bool]], header: str, target: int) -> list[tuple[str, int, int, int]]:
+    """Paragraphs (text, whether it is a heading) put together until target characters would be passed, each chunk under the header: the chunk, the number of its first paragraph, where in that it begins, and the number of its last one. Headings stand in brackets. A paragraph
+    of more than twice target is cut behind its sentences' ends, all marks kept, into parts of target characters where its sentences allow; what is left of it opens the next chunk, and its length counts there."""
+    out: list[tuple[str, int, int, int]] = []
     current: list[str] = []
-    size, first = 0, 0
+    size, begin = 0, (0, 0)
 
     def flush(last: int) -> None:
         nonlocal current, size
         if current:
-            out.append((header + "\n\n" + "\n\n".join(current), first, last))
+            out.append((header + "\n\n" + "\n\n".join(current), *begin, last))
         current, size = [], 0
 
     for no, (body, heading) in enumerate(paragraphs):
@@ -133,18 +134,19 @@ def packed(paragraphs: list[tuple[str, bool]], header: str, target: int) -> list
         if current and size + len(text) > target:
             flush(no - 1)
         if not current:
-            first = no
+            begin = no, 0
         if len(text) <= 2 * target:
             current.append(text)
             size += len(text)
             continue
-        held = ""
+        held, at = "", 0
         for part in SENTENCE.findall(text) or [text]:
             if held and len(held) + len(part) > target:
                 current.append(held.strip())
                 flush(no)
-                first, held = no, ""
+                begin, held = (no, at), ""
             held += part
+            at += len(part)
         if held.strip():
             current.append(held.strip())
         size += len(held)
@@ -152,20 +154,21 @@ def packed(paragraphs: list[tuple[str, bool]], header: str, target: int) -> list
     return out
 
 
-PACKED = "doc string, chapter_no int, chunk_index int, first_para int, last_para int, n_chars int, chunk string"
+PACKED = "doc string, chapter_no int, chunk_index int, first_para int, start int, last_para int, n_chars int, chunk string"
 
 
 def pack_chapters(chapters: DataFrame, target: int) -> DataFrame:
-    """Chunks of chapters (doc, chapter_no, header, paragraphs: array of heading, text): doc, chapter_no, chunk_index, first_para, last_para, n_chars, chunk. A chapter is a row, so nothing is shuffled."""
+    """Chunks of chapters (doc, chapter_no, header, paragraphs: array of heading, text): PACKED, start being where the chunk begins in its first paragraph. A chapter is a row, so nothing is shuffled."""
+    kinds = (pa.string(), *[pa.int32()] * 6, pa.string())
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, no, header, paras in zip(*(b.column(c).to_pylist() for c in ("doc", "chapter_no", "header", "paragraphs"))):
-                for i, (chunk, first, last) in enumerate(packed([(p["text"] or "", p["heading"] is not None) for p in paras or []], header or "", target)):
-                    rows.append((doc, no, i, first, last, len(chunk), chunk))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int32()] * 5, pa.string()))], ["doc", "chapter_no", "chunk_index", "first_para", "last_para", "n_chars", "chunk"])
+                for i, (chunk, first, start, last) in enumerate(packed([(p["text"] or "", p["heading"] is not None) for p in paras or []], header or "", target)):
+                    rows.append((doc, no, i, first, start, last, len(chunk), chunk))
+            cols = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [f.split()[0] for f in PACKED.split(", ")])
 
     return chapters.select(F.col("doc").cast("string"), F.col("chapter_no").cast("int"), "header", "paragraphs").mapInArrow(run, PACKED)
 
@@ -224,22 +227,83 @@ def grouped(cuts: DataFrame, doc: str = "doc_id", order: str = "sent_no") -> Dat
     return cuts.withColumn("grp", F.coalesce(F.sum(F.col("cut").cast("int")).over(w), F.lit(0)).cast("int"))
 
 
-def semantic_chunks(docs: DataFrame, vectors: DataFrame, percentile: int = 10) -> DataFrame:
-    """Chunks of sentences between the boundaries of their vectors (doc_id, sent_no, vector), with the white space inside; longer ones than SEMANTIC_MOST are cut. Columns as of chunk."""
+DISTANCES = "doc_id long, sha string, sent_no int, start int, end int, dist double"
+
+
+def sentence_distances(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Of each sentence of docs that has a vector (doc_id, sent_no, vector): DISTANCES, sha being the text's, dist the distance to the next one."""
     s = sentences(docs).join(vectors.select("doc_id", "sent_no", "vector"), ["doc_id", "sent_no"])
-    spans = grouped(breakpoints(distances(s), percentile=percentile)).groupBy("doc_id", "grp").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return distances(s).join(texts, "doc_id").select("doc_id", "sha", "sent_no", "start", "end", "dist")
+
+
+class SentenceCache:
+    """Distances of sentences kept under a document and its text, so that another percentile, and texts that haven't changed, need no vectors. Versioned tables under path."""
+
+    def __init__(self, spark, path: str):
+        self.tables = Versions(spark, path)
+
+    def unknown(self, docs: DataFrame) -> DataFrame:
+        """The documents (doc_id, text) whose text isn't known: those that vectors are needed for."""
+        known = self.tables.read("texts", "doc_id long, sha string")
+        d = docs.withColumn("sha_", F.sha2(F.coalesce("text", F.lit("")), 256))
+        return d.join(known, (F.col("sha_") == known["sha"]) & (d["doc_id"] == known["doc_id"]), "left_anti").drop("sha_")
+
+    def put(self, docs: DataFrame, vectors: DataFrame) -> int:
+        """Keep what is new of docs; gives the version."""
+        base, _ = self.tables.current()
+        new = self.tables.staged(self.tables.stage(self.unknown(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "doc_id long, text string")
+        texts = self.tables.stage(new.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
+        return self.tables.commit(append={"texts": [texts], "distances": [self.tables.stage(sentence_distances(new, vectors))]}, base=base)
+
+    def distances(self, docs: DataFrame) -> DataFrame:
+        """DISTANCES of docs as they are now."""
+        d = docs.select(F.col("doc_id").cast("long").alias("d_"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("s_"))
+        known = self.tables.read("distances", DISTANCES)
+        return known.join(d, (F.col("doc_id") == F.col("d_")) & (F.col("sha") == F.col("s_")), "left_semi")
+
+
+def chunks_of_distances(docs: DataFrame, dists: DataFrame, percentile: int = 10) -> DataFrame:
+    """Chunks of sentences between the boundaries of their distances (DISTANCES), with the white space inside; longer ones than SEMANTIC_MOST are cut. Columns as of chunk, and capped: whether the chunk is a part of a longer one. Texts without a sentence have none."""
+    spans = grouped(breakpoints(dists, percentile=percentile)).groupBy("doc_id", "grp").agg(F.min("start").alias("a"), F.max("end").alias("b"))
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))  # a document's own
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, text, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                parts = [p for x in own for p in (_long_parts(text[x["a"] : x["b"]], x["a"], SEMANTIC_MOST))]
-                rows += [(doc, i, a, len(p.strip()), "semantic", p.strip()) for i, (p, a) in enumerate(parts)]
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "chunk_index", "start", "n_chars", "strategy", "chunk"])
+                parts = [(p, a, len(cut) > 1) for x in own for cut in [_long_parts(text[x["a"] : x["b"]], x["a"], SEMANTIC_MOST)] for p, a in cut if p.strip()]
+                rows += [(doc, i, a, len(p.strip()), "semantic", p.strip(), capped) for i, (p, a, capped) in enumerate(parts)]
+            cols = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "chunk_index", "start", "n_chars", "strategy", "chunk", "capped"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, "doc_id").mapInArrow(run, CHUNK + ", capped boolean")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(spans, "doc_id").mapInArrow(run, CHUNK)
+
+def semantic_chunks(docs: DataFrame, vectors: DataFrame, percentile: int = 10) -> DataFrame:
+    """Chunks of sentences between the boundaries of their vectors (doc_id, sent_no, vector). Columns as of chunk."""
+    return chunks_of_distances(docs, sentence_distances(docs, vectors), percentile).drop("capped")
+
+
+def semantic_report(docs: DataFrame, dists: DataFrame, percentile: int = 10, cached: DataFrame | None = None) -> DataFrame:
+    """A row for each document: percentile, threshold, sentences, boundaries, cuts, cached (whether cached, doc_id, has it), capped (groups that were cut for their length), distances, and snippets: the ends of both sentences at each boundary. Zeros and empty lists for a text without
+    sentences."""
+    p = min(50, max(1, percentile))
+    w = Window.partitionBy("doc_id").orderBy("sent_no")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    b = breakpoints(dists, percentile=p).withColumn("n_start", F.lead("start").over(w)).withColumn("n_end", F.lead("end").over(w)).join(text, "doc_id")
+    head = strip(F.substring(F.col("text"), F.greatest(F.col("start"), F.col("end") - 30) + 1, F.col("end") - F.greatest(F.col("start"), F.col("end") - 30)))
+    tail = strip(F.substring(F.col("text"), F.col("n_start") + 1, F.least(F.col("n_end"), F.col("n_start") + 30) - F.col("n_start")))
+    at = F.when(F.col("dist").isNotNull(), F.struct("sent_no", "dist", F.array(head, tail).alias("ends")))
+    g = b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count("dist").alias("boundaries"), F.count_if("cut").alias("cuts"), F.max("threshold").alias("threshold"), F.sort_array(F.collect_list(at)).alias("l"))  # a document's sentences
+    spans = grouped(breakpoints(dists, percentile=p)).groupBy("doc_id", "grp").agg((F.max("end") - F.min("start")).alias("n")).groupBy("doc_id").agg(F.count_if(F.col("n") > SEMANTIC_MOST).alias("capped"))
+    out = text.select("doc_id").join(g, "doc_id", "left").join(spans, "doc_id", "left")
+    known = F.lit(False) if cached is None else F.col("c_").isNotNull()
+    if cached is not None:
+        out = out.join(cached.select(F.col("doc_id").alias("c_")).distinct(), F.col("doc_id") == F.col("c_"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select("doc_id", F.lit(p).alias("percentile"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"), zero("sentences"), zero("boundaries"), zero("cuts"), known.alias("cached"), zero("capped"), F.coalesce(F.transform("l", lambda x: x["dist"]), F.array().cast("array<double>")).alias("distances"), F.coalesce(F.transform("l", lambda x: x["ends"]), F.array().cast("array<array<string>>")).alias("snippets"))
 
 
 def boundary_snippets(cuts: DataFrame, doc: str = "doc_id", order: str = "sent_no", text: str = "sentence") -> DataFrame:

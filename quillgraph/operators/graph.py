@@ -37,6 +37,13 @@ def neighbours(r: DataFrame, term) -> DataFrame:
     return r.join(own, "chapter", "left_semi").where(F.col("term") != term).groupBy("term").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def neighbours_of(r: DataFrame, terms: DataFrame, n: int = 12) -> DataFrame:
+    """(hit, term, shared, rank): for each of terms the n terms that share most chapters with it, ties by term."""
+    own = r.join(terms.select("term"), "term", "left_semi").select("chapter", F.col("term").alias("hit"))
+    near = r.select("chapter", "term").join(own, "chapter").where("term <> hit").groupBy("hit", "term").agg(F.count(F.lit(1)).alias("shared"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("hit").orderBy(F.desc("shared"), "term"))).where(F.col("rank") <= n)
+
+
 def strongest(edges: DataFrame, n: int) -> DataFrame:
     """The n strongest edges of either end, each edge once."""
     ends = edges.select(F.col("source").alias("end_"), "source", "target", "weight").unionAll(edges.select(F.col("target").alias("end_"), "source", "target", "weight"))

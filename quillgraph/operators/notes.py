@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import note_title, strip
+from quillgraph.operators.search import containing
 
 SCHEMA = "id string, title string, body string, date string, ord long"
 
@@ -46,6 +47,17 @@ def search(notes: DataFrame, text: str = "") -> DataFrame:
     return found.crossJoin(any_exact).where(F.col("exact_") | ~F.col("any_")).select(*notes.columns)
 
 
+def search_each(notes: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id and the columns of notes: search for each query (query_id, text) that has a word. Words are looked up by an index of grams."""
+    q = queries.select("query_id", strip(F.coalesce("text", F.lit(""))).alias("key"))
+    words = q.select("query_id", F.explode(F.array_distinct(F.split("key", r"(?U)\s+"))).alias("needle")).where("needle <> ''")
+    hay = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    held = containing(words.select("needle").distinct(), notes.select("id", hay.alias("s")))
+    exact = q.join(notes.select("id"), F.col("key") == F.col("id")).select("query_id", "id")
+    found = words.join(held, "needle").select("query_id", "id").distinct().join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    return exact.unionByName(found).join(notes, "id").select("query_id", *notes.columns)
+
+
 def lost(previous: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Keys that new lacks."""
     return previous.select(key).exceptAll(new.select(key)) if key == "id" else previous.select(key).subtract(new.select(key))
@@ -120,3 +132,17 @@ def as_json(notes: DataFrame) -> DataFrame:
     """One row: the notes as a JSON list in order, what a file of notes holds."""
     item = F.struct("id", "title", "body", "date")
     return notes.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("n")))), lambda x: x["n"])).alias("json"))  # a file's notes
+
+
+def write(notes: DataFrame, path: str) -> None:
+    """notes as a file, in one step."""
+    from quillgraph.sources.sinks import put_file
+
+    put_file(notes.sparkSession, path, as_json(notes).first()["json"])  # a file's notes
+
+
+def reset(spark: SparkSession, path: str, seed: str) -> DataFrame:
+    """The file's notes put back to those of the seed file, numbered; gives them."""
+    notes = read(spark, seed)
+    write(notes, path)
+    return notes

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import first_line
+from quillgraph.functions.text import cosine, first_line
+from quillgraph.operators.chunking import sentences
 
 #: Forms of a verdict.
 STRICT = r"^([YN]) (0(?:\.[0-9]+)?|1(?:\.0+)?)$"
@@ -84,17 +85,27 @@ def report(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "rank_before", "rank_after", "moved", "kept", "ok", F.coalesce(F.nullif("verdict", F.lit("")), F.lit("?")).alias("verdict"), F.round("score", 6).alias("score"), "said", "score_source", label.alias("source_label"), F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("head"))
 
 
-def evidence(sentences: DataFrame, hit: str = "hit_id", order: str = "sent_no") -> DataFrame:
+def sentence_scores(hits: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, hit_id, sent_no, start, end, sentence, score (to four decimals) and base of the sentences of hits (query_id, hit_id, text, base), from their vectors (hit_id, sent_no, vector) and the queries' (query_id, q). Hits without a sentence have no row."""
+    # A hit's text is split once, whatever the number of queries that it answers.
+    texts = hits.groupBy("hit_id").agg(F.max("text").alias("text")).select(F.col("hit_id").cast("long").alias("doc_id"), "text")
+    s = sentences(texts).withColumnRenamed("doc_id", "hit_id").join(vectors, ["hit_id", "sent_no"])
+    s = hits.select("query_id", F.col("hit_id").cast("long").alias("hit_id"), "base").join(s, "hit_id").join(queries.select("query_id", "q"), "query_id")
+    score = F.round(cosine(F.col("vector").cast("array<double>"), F.col("q").cast("array<double>")), 4)
+    return s.select("query_id", "hit_id", "sent_no", "start", "end", "sentence", score.alias("score"), "base")
+
+
+def evidence(sentences: DataFrame, hit: str | tuple[str, ...] = "hit_id", order: str = "sent_no") -> DataFrame:
     """sentences (score to the query, base: the hit's own score) with rank and level: top for the first best one, high for others that reach the base, else empty."""
-    w = Window.partitionBy(hit).orderBy(F.desc("score"), order)
+    w = Window.partitionBy(*([hit] if isinstance(hit, str) else hit)).orderBy(F.desc("score"), order)
     s = sentences.withColumn("rank", F.row_number().over(w))
     return s.withColumn("level", F.when(F.col("rank") == 1, "top").when(F.col("score") >= F.col("base"), "high").otherwise(""))
 
 
-def evidence_summary(marked: DataFrame, hit: str = "hit_id") -> DataFrame:
+def evidence_summary(marked: DataFrame, hit: str | tuple[str, ...] = "hit_id") -> DataFrame:
     """For each hit: base, best score and distance, how much nearer than the hit the best one is, sentences, marked ones."""
     best = F.max(F.when(F.col("rank") == 1, F.col("score")))
-    out = marked.groupBy(hit).agg(F.round(F.max("base"), 4).alias("base_score"), best.alias("best_score"), F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("level") != "").alias("n_marked"))
+    out = marked.groupBy(*([hit] if isinstance(hit, str) else hit)).agg(F.round(F.max("base"), 4).alias("base_score"), best.alias("best_score"), F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("level") != "").alias("n_marked"))
     out = out.withColumn("best_distance", F.round(1 - F.col("best_score"), 4))
     return out.withColumn("gain", F.round((1 - F.col("base_score")) - F.col("best_distance"), 4))
 

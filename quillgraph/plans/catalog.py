@@ -19,6 +19,7 @@ from quillgraph.operators import tools as O
 from quillgraph.operators.index import Bm25Index
 from quillgraph.sources import versions as V
 from quillgraph.streaming import runs as E
+from quillgraph.streaming import stateful as SF
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -195,12 +196,14 @@ def sentence_split(spark, d):
 
 @query()
 def chunk_structure(spark, d):
-    return C.chunk(read(spark, d, "documents"), "structure", 800)
+    """Lines that begin with a short sentence are headings."""
+    return C.chunk(read(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"(?m)^([A-Z][a-z]+ [a-z]+)\.", "1.1 $1.")), "structure", 800)
 
 
 @query()
 def chunk_paragraph(spark, d):
-    return C.chunk(read(spark, d, "documents"), "paragraph", 800)
+    """A line that ends a sentence ends a paragraph."""
+    return C.chunk(read(spark, d, "documents").withColumn("text", F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n\n"))), "paragraph", 800)
 
 
 LINES = "with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents)\n"
@@ -312,9 +315,11 @@ def kg_keyword_index(spark, d):
     return G.keyword_index(_refs(spark, d), read(spark, d, "orders").select(F.col("o_orderkey").alias("chapter"), F.col("o_orderpriority").alias("category")))
 
 
-@query(REFS + "select b.term, count(*) as shared from r a join r b on a.chapter = b.chapter and a.term = 1 and b.term <> 1 group by b.term order by shared desc, term limit 12")
+@query(REFS + "select hit, term, shared, rank::int as rank from (select *, row_number() over (partition by hit order by shared desc, term) as rank from (select a.term as hit, b.term, count(*) as shared from r a join r b on a.chapter = b.chapter and b.term <> a.term where a.term % 50 = 0 group by all)) where rank <= 12")
 def kg_neighbors(spark, d):
-    return R.top(G.neighbours(_refs(spark, d), 1), 12, F.col("shared").desc(), "term")
+    """The twelve nearest neighbours of every term that is divisible by 50."""
+    r = _refs(spark, d)
+    return G.neighbours_of(r, r.where("term % 50 = 0").select("term").distinct(), 12)
 
 
 @query(REFS + """, e as (select source as p, * from co union all select target, * from co),
@@ -449,12 +454,11 @@ def truncate_titles(spark, d):
     return read(spark, d, "documents").select("doc_id", X.truncate(F.col("text"), 80).alias("head"), F.substring(F.ltrim(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("# ")), 1, 80).alias("title"))
 
 
-@query("""select doc_id, case when pp = 0 then substring(text, 1, 240) else (case when pp > 111 then '…' else '' end) || regexp_replace(substring(text, greatest(pp - 110, 1), pp + 190 - greatest(pp - 110, 1)), '\\s+', ' ', 'g') || (case when pp + 190 <= length(text) then '…' else '' end) end as snippet
-from (select doc_id, text, instr(lower(text), 'der') as pp from documents)""")
+@query("""select doc_id, case when p is null then (case when length(s) <= 240 then s else regexp_replace(substring(s, 1, 239), '\\s+$', '') || '…' end) else (case when p > 111 then '…' else '' end) || regexp_replace(regexp_replace(substring(text, greatest(p - 111, 0) + 1, least(p + 189, length(text)) - greatest(p - 111, 0)), '\\s+', ' ', 'g'), '^ | $', '', 'g') || (case when p + 189 < length(text) then '…' else '' end) end as snippet
+from (select doc_id, text, substring(text, 1, 300) as s, least(nullif(instr(lower(text), 'der'), 0), nullif(instr(lower(text), 'que'), 0), nullif(instr(lower(text), 'tion '), 0)) as p from documents)""")
 def snippet(spark, d):
-    at, lo = F.col("at"), F.greatest(F.col("at") - 110, F.lit(1))
-    s = F.concat(F.when(at > 111, "…").otherwise(""), F.regexp_replace(F.substring("text", lo, at + 190 - lo), r"\s+", " "), F.when(at + 190 <= F.length("text"), "…").otherwise(""))
-    return read(spark, d, "documents").withColumn("at", F.instr(F.lower("text"), "der")).select("doc_id", F.when(at == 0, F.substring("text", 1, 240)).otherwise(s).alias("snippet"))
+    words = F.array(*map(F.lit, ("der", "que", "tion ")))
+    return read(spark, d, "documents").select("doc_id", S.snippet(F.col("text"), words, F.substring("text", 1, 300)).alias("snippet"))
 
 
 @query(r"""with t as (select doc_id as id, lower(text) as t, w, w = 'the' as top from documents, (values ('the'), ('of'), ('and')) x(w)),
@@ -542,9 +546,15 @@ def _notes(spark, d):
     return c.select(F.concat(F.lit("c"), F.col("conv_id"), F.lit("t"), F.col("turn")).alias("id"), F.col("role").alias("title"), F.col("text").alias("body"), F.lit("").alias("date"), F.col("turn").alias("ord"), "turn")
 
 
-@query("select 'c' || conv_id || 't' || turn as id from conversations where contains(role || ' ' || coalesce(text, ''), 'the') or contains(role || ' ' || coalesce(text, ''), 'assist')")
+@query("""with n as (select 'c' || conv_id || 't' || turn as id, coalesce(role, '') || ' ' || coalesce(text, '') as hay from conversations),
+q as (select item_id as query_id, trim(text) as key, text from benchmark where item_id % 50 = 0 union all select -1 - conv_id, 'c' || conv_id || 't0', 'c' || conv_id || 't0' from conversations where conv_id % 50 = 0 and turn = 0),
+w as (select query_id, unnest(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) as w from q),
+e as (select query_id, id from q join n on n.id = q.key)
+select query_id, id from e union all select distinct query_id, id from w join n on contains(hay, w) where query_id not in (select query_id from e)""")
 def notes_search(spark, d):
-    return N.search(_notes(spark, d), "the assist").select("id")
+    """Notes for the words of benchmark items, and for ids of notes, which are found before words."""
+    ids = read(spark, d, "conversations").where("conv_id % 50 = 0 and turn = 0").select((F.lit(-1) - F.col("conv_id")).alias("query_id"), F.concat(F.lit("c"), "conv_id", F.lit("t0")).alias("text"))
+    return N.search_each(_notes(spark, d), _asked(spark, d).unionByName(ids)).select("query_id", "id")
 
 
 @query("select 'c' || conv_id || 't' || turn as id from conversations where turn >= 6")
@@ -655,24 +665,30 @@ def verdict_parse(spark, d):
     return K.judged(rows).select("doc_id", "verdict", "said", "fault", "score", "ok")
 
 
-@query("""with s as (select label as hit_id, vec_id as sent_no, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 4) as score from embeddings),
-m as (select *, row_number() over (partition by hit_id order by score desc, sent_no) as rank from s),
+@query("""with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
+s as (select query_id, label as hit_id, vec_id as sent_no, round(list_cosine_similarity(embedding::double[], q), 4) as score from embeddings, q),
+m as (select *, row_number() over (partition by query_id, hit_id order by score desc, sent_no) as rank from s),
 l as (select *, case when rank = 1 then 'top' when score >= 0.1 then 'high' else '' end as level from m)
-select hit_id, 0.1::double as base_score, max(score) as best_score, count(*) as n_segments, count(*) filter (level <> '') as n_marked from l group by hit_id""")
+select query_id, hit_id, 0.1::double as base_score, max(score) as best_score, count(*) as n_segments, count(*) filter (level <> '') as n_marked, round(1 - max(score), 4) as best_distance, round(0.9 - round(1 - max(score), 4), 4) as gain from l group by query_id, hit_id""")
 def evidence_marks(spark, d):
-    """Sentences (here: vectors of a label) by how near they are to the query, marked where they reach their hit's own score (here: 0.1)."""
-    v = read(spark, d, "embeddings")
-    q = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("q")))  # one row
-    s = v.crossJoin(q).select(F.col("label").alias("hit_id"), F.col("vec_id").alias("sent_no"), F.round(X.cosine(F.col("embedding").cast("array<double>"), F.col("q")), 4).alias("score"), F.lit(0.1).alias("base"))
-    return K.evidence_summary(K.evidence(s)).drop("best_distance", "gain")
+    """Sentences (here: vectors of a label) by how near they are to each query, marked where they reach their hit's own score (here: 0.1)."""
+    v, q = _vectors(spark, d)
+    s = v.crossJoin(q).select("query_id", F.col("label").alias("hit_id"), F.col("vec_id").alias("sent_no"), F.round(X.cosine(F.col("embedding").cast("array<double>"), F.col("q").cast("array<double>")), 4).alias("score"), F.lit(0.1).alias("base"))  # every sentence of every hit is asked for
+    return K.evidence_summary(K.evidence(s, ("query_id", "hit_id")), ("query_id", "hit_id"))
 
 
-@query("select doc, rank::int as rank, term from (select o_custkey as doc, l_partkey::varchar as term, row_number() over (partition by o_custkey order by sum(w) desc, l_partkey::varchar) as rank from (select o_custkey, l_orderkey, l_partkey, max(l_quantity) / 50 as w from lineitem join orders on l_orderkey = o_orderkey group by all) group by o_custkey, l_partkey) where rank <= 8")
+@query("""with r as (select o_custkey as doc, l_partkey::varchar as term, sum(w) as w from (select o_custkey, l_orderkey, l_partkey, max(l_quantity) / 50 as w from lineitem join orders on l_orderkey = o_orderkey group by all) group by all),
+p as (select o_custkey as doc, case when o_orderkey % 2 = 0 then l_partkey::varchar else 'none' end as term, l_linenumber + 10 * o_orderkey as place from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and o_custkey % 2 = 0),
+k as (select doc, term, 0 as f, min(place)::double as place from p where (doc, term) in (select (doc, term) from r) group by doc, term union all select doc, term, 1, -round(w, 6) from r),
+o as (select doc, term, min(struct_pack(f := f, place := place)) as o from k group by doc, term)
+select doc, rank::int as rank, term from (select *, row_number() over (partition by doc order by o, term) as rank from o) where rank <= 8""")
 def document_keywords(spark, d):
-    """Each document's heaviest terms."""
-    r = _refs(spark, d).withColumn("term", F.col("term").cast("string"))
-    none = spark.createDataFrame([], "doc long, label string, ord int")
-    return G.document_keywords(r.withColumn("weight", F.round("weight", 6)), none, spark.createDataFrame([], "term string, label string"))
+    """Each document's keywords: for every second one what a summary picked of it (here: the first line of orders with an even number, by label), then its heaviest terms."""
+    r = _refs(spark, d).withColumn("term", F.col("term").cast("string")).groupBy("doc", "term").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    lines = read(spark, d, "lineitem").where("l_linenumber = 1").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("o_custkey % 2 = 0")
+    picked = lines.select(F.col("o_custkey").alias("doc"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("PART "), "l_partkey")).otherwise("none").alias("label"), (F.col("l_linenumber") + 10 * F.col("o_orderkey")).alias("ord"))
+    labels = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("term"), F.concat(F.lit("Part "), "p_partkey").alias("label"))
+    return G.document_keywords(r, picked, labels)
 
 
 @query("""
@@ -704,3 +720,19 @@ def layout_body_size(spark, d):
     """Size of most characters, rounded to a half (here: a quarter of a part's size, by the letters of names of a brand)."""
     parts = read(spark, d, "part").select(F.col("p_brand").alias("doc"), (F.col("p_size") / 4.0).alias("font_size"), F.col("p_name").alias("str"), F.col("p_partkey").alias("run_no"))
     return L.body_size(parts)
+
+
+@query("""with s as (select conv_id, min(turn) as stop from conversations where role = 'assistant' and conv_id % 3 = 0 group by conv_id),
+c as (select conv_id::varchar as run_id, turn, stop, count(*) over w as n, count(*) filter (role = 'user') over w as u, count(*) filter (role = 'assistant') over w as a from conversations left join s using (conv_id) window w as (partition by conv_id order by turn)),
+f as (select run_id, turn::int as seq, 'entry' as event, n as entries, u as delegations, u - a as at_work, stop from c where stop is null or turn <= stop)
+select run_id, seq, event, entries, delegations, at_work from f
+union all select run_id, seq, 'stopped', entries, delegations, at_work from f where seq = stop
+union all select c.run_id, c.turn::int, 'ignored', f.entries, f.delegations, f.at_work from c join f on f.run_id = c.run_id and f.seq = f.stop where c.turn > c.stop""")
+def run_released(spark, d):
+    """Conversations as a stream of logs and another of stop marks (every third one is stopped at its first answer), followed with state."""
+    kinds = "conv_id long, turn long, role string, text string"
+    log = spark.readStream.schema(kinds).parquet(f"{d}/conversations.parque[t]").select(F.col("conv_id").cast("string").alias("run_id"), F.timestamp_seconds(F.lit(1767225600) + 60 * F.col("turn")).alias("at"), F.col("turn").cast("int").alias("seq"), F.when(F.col("role") == "user", "delegate").when(F.col("role") == "assistant", "return").otherwise(F.col("role")).alias("kind"), "role", F.col("text").alias("payload"), "conv_id")
+    stops = log.where("conv_id % 3 = 0 and kind = 'return'").select("run_id", "at", "seq")
+    path = V.scratch(spark, "runs")  # the pattern lets the source be one file or a folder
+    rows = SF.released(log, stops, idle="1000 hours", keep="1000 hours")
+    return SF.run_until_read(rows, f"{path}/rows", f"{path}/state").select("run_id", "seq", "event", "entries", "delegations", "at_work")

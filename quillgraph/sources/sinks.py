@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import slugify
-from quillgraph.operators import store
+from quillgraph.operators import graph, store
+from quillgraph.sources.versions import Versions
 
 MOST_BYTES = 2 * 1024 * 1024
 GRAPH = {
@@ -29,15 +30,56 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def settle(spark: SparkSession, path: str) -> None:
+    """End a move that failed half way: if there is no table at path, the one that was put aside comes back."""
+    fs, to = _fs(spark, path)
+    _, aside = _fs(spark, f"{path}.old")
+    if not fs.exists(to) and fs.exists(aside):
+        _rename(spark, f"{path}.old", path)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, a = _fs(spark, source)
+    _, b = _fs(spark, target)
+    if not fs.rename(a, b):
+        raise OSError(f"can't move {source} to {target}")
+
+
 def put(df: DataFrame, path: str, form: str = "parquet", by: str | None = None) -> None:
-    """df as the table at path, in place of one that was there: written beside it and then moved, so that a failed write leaves the old one, and df may be computed from it."""
+    """df as the table at path, in place of one that was there, from which df may be computed. It is written beside it; the old one is put aside, the new one moved, the old one deleted. A failure before the last move leaves the old table, there or aside, where settle finds it; all
+    readers here settle first. For tables that change together, or that have readers elsewhere, use versions.Versions."""
     spark, fresh = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
+    settle(spark, path)
     (df.write.partitionBy(by) if by else df.write).format(form).save(fresh)
     fs, to = _fs(spark, path)
-    _, frm = _fs(spark, fresh)
-    fs.delete(to, True)
-    if not fs.rename(frm, to):
-        raise OSError(f"can't move {fresh} to {path}")
+    _, aside = _fs(spark, f"{path}.old")
+    fs.delete(aside, True)
+    if fs.exists(to):
+        _rename(spark, path, f"{path}.old")
+    _rename(spark, fresh, path)
+    fs.delete(aside, True)
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of text, in one step: written beside it and moved over it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, _, name = path.rpartition("/")
+    fresh = f"{folder}/.{name}.new-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, fresh)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _, to = _fs(spark, path)
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    over = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    over[0] = kind.getEnumConstants()[1]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(p, to, over)
+
+
+def delete_file(spark: SparkSession, path: str) -> bool:
+    """Delete a file; whether it was there."""
+    fs, p = _fs(spark, path)
+    return fs.delete(p, False)
 
 
 def put_texts(texts: DataFrame, folder: str) -> None:
@@ -46,18 +88,45 @@ def put_texts(texts: DataFrame, folder: str) -> None:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
+    settle(spark, path)
     return spark.read.schema(store.SCHEMA).parquet(path) if exists(spark, path) else store.empty(spark)
 
 
+STAMPED = ", updated string"
+
+
 def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The graph's tables; empty ones for those that aren't there."""
-    return {name: spark.read.schema(schema).json(f"{path}/{name}") if exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema) for name, schema in GRAPH.items()}
+    """The graph's tables as of its last write; empty ones for those that aren't there. Columns that a table lacks are null."""
+    tables = Versions(spark, path)
+    version, _ = tables.current()
+    return {name: tables.read(name, schema + STAMPED, version).drop("updated") for name, schema in GRAPH.items()}
+
+
+def write_graph(tables: dict[str, DataFrame], spark: SparkSession, path: str) -> int:
+    """The graph's tables (documents, chapters, keywords; those left out stay) with edges computed anew from chapters and their keywords, each with the time of writing: all of them at once or none. Gives the version."""
+    store_ = Versions(spark, path)
+    version, _ = store_.current()
+    t = {name: tables.get(name, store_.read(name, GRAPH[name], version)) for name in ("documents", "chapters", "keywords")}
+    refs = t["chapters"].select("doc", "chapter", F.explode("keywords").alias("k")).select("doc", "chapter", "k.term", "k.weight")
+    t["edges"] = graph.edges(graph.refs(refs), t["chapters"], t["keywords"])
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return store_.commit({name: d.withColumn("updated", now) for name, d in t.items()}, base=version)
+
 
+def inside(path: Column) -> Column:
+    """A path below a folder; null for one that is absolute, empty, or leaves the folder."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when((p != "") & ~p.startswith("/") & ~p.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~p.rlike(r"(^|/)\.\.(/|$)") & ~p.rlike(r"[\x00-\x1f]"), p)
 
-def write_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """The graph's tables as JSON lines, each with the time of writing."""
-    for name, t in tables.items():
-        put(t.withColumn("updated", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), f"{path}/{name}", "json")
+
+def chapter_contents(spark: SparkSession, folder: str, chapters: DataFrame) -> DataFrame:
+    """chapter and text of chapters (chapter, path below folder); empty where there is no such file, or the path leaves the folder."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    root = _fs(spark, folder)[0].makeQualified(_fs(spark, folder)[1]).toUri().getPath().rstrip("/")
+    at = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""), r"\+", "%2B"))
+    files = raw.select(F.substring(at, len(root) + 2, 1 << 20).alias("p_"), F.decode("content", "UTF-8").alias("text"))
+    c = chapters.select("chapter", inside(F.col("path")).alias("path"))
+    return c.join(files, F.col("path") == F.col("p_"), "left").select("chapter", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def safe_name(name: Column) -> Column:
@@ -77,6 +146,15 @@ def uploads(files: DataFrame, have: DataFrame, endings=("csv", "txt", "json"), r
     return f.select("name", F.when(F.is_valid_utf8(F.col("raw")), F.decode("raw", "UTF-8")).alias("content"), fault.alias("fault"))
 
 
+def write_uploads(judged: DataFrame, folder: str) -> list[str]:
+    """Write the files (name, content, fault of uploads) without a fault, each in one step; gives their names. One upload's files, of MOST_BYTES at most."""
+    spark, names = judged.sparkSession, []
+    for r in judged.where("fault is null").orderBy("name").toLocalIterator():
+        put_file(spark, f"{folder.rstrip('/')}/{r['name']}", r["content"])
+        names.append(r["name"])
+    return names
+
+
 def listing(spark: SparkSession, folder: str, endings=("pdf",), loaded: DataFrame | None = None) -> DataFrame:
     """name and bytes of a folder's files, and the chunks that a store's status (document, chunks) has of them; contents aren't read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(folder)
