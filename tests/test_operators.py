@@ -148,14 +148,14 @@ def test_semantic_report_and_cache(spark, tmp_path):
     cache = chunking.SentenceCache(spark, str(tmp_path / "c"))
     assert cache.unknown(docs).count() == 3 and cache.put(docs, vectors) == 1 and cache.unknown(docs).count() == 0
     d = cache.distances(docs)
-    r = {x.doc_id: x for x in chunking.semantic_report(docs, d, 2, docs.where("doc_id = 3")).collect()}
+    r = {x.doc_id: x for x in chunking.semantic_report(docs, d, 1, docs.where("doc_id = 3")).collect()}
     spans = chunking.sentence_spans(text)
     assert (r[1].sentences, r[1].boundaries, r[1].cuts, r[1].cached, r[1].capped) == (len(spans), len(spans) - 1, 1, False, 1)
-    assert r[1].distances[:2] == [0.005, 0.9005] and r[1].threshold == 0.0 + sorted(r[1].distances)[-1] * 0 + r[1].threshold
+    assert r[1].distances[:2] == [0.005, 0.9005] and r[1].threshold == 0.3632  # between the two largest
     a, b = spans[1], spans[2]
     assert r[1].snippets[1] == [text[max(a[0], a[1] - 30) : a[1]].strip(), text[b[0] : min(b[1], b[0] + 30)].strip()]
     assert (r[2].sentences, r[2].cuts, r[2].distances, r[2].snippets, r[2].threshold) == (0, 0, [], [], 0.0) and (r[3].sentences, r[3].boundaries, r[3].cached) == (1, 0, True)
-    chunks = chunking.chunks_of_distances(docs, d, 2).orderBy("doc_id", "chunk_index").collect()
+    chunks = chunking.chunks_of_distances(docs, d, 1).orderBy("doc_id", "chunk_index").collect()
     assert [(c.doc_id, c.capped) for c in chunks] == [(1, False), (1, True), (1, True), (3, False)] and chunks[0].chunk == text[: spans[1][1]]
     # A changed text needs vectors, the others don't.
     new = docs.withColumn("text", F.when(F.col("doc_id") == 3, "Another sentence stands here, and a second one. It is new.").otherwise(F.col("text")))
