@@ -8,8 +8,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillgraph.functions.text import tokens
+from quillgraph.sources.versions import scratch
 
 K1, B = 1.5, 0.75
 
@@ -22,21 +24,21 @@ def corpus(docs: DataFrame) -> DataFrame:
 def bm25_parts(docs: DataFrame, queries: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, tf, idf, part) for each term of a query that a document holds. queries: query_id, text. Statistics come from all docs, rows from keep if given.
 
-    Only postings of query terms are built. The queries of a search are few and their terms are broadcast; tf, df and lengths come from one pass over the tokens.
+    Only postings of query terms are built, once: they are written to the shared folder, and df, scores and parts read them. Whether the queries' terms are sent to all tasks or dealt out by term is left to their size. For a corpus that is searched again and again see index.Bm25Index.
     """
-    toks = corpus(docs)
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("q"))
-    terms = F.broadcast(asked.select("q").distinct())
+    toks, spark = corpus(docs), docs.sparkSession
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    words = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    path = scratch(spark, "postings")
+    words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).write.parquet(path)
+    postings = spark.read.schema(StructType([docs.schema["doc_id"], *StructType.fromDDL("dl int, term string, tf long")])).parquet(path)
     stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    tf = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(terms, F.col("term") == F.col("q"), "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(F.col("term").alias("term_")).agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(F.broadcast(df), F.col("term") == F.col("term_")).crossJoin(F.broadcast(stats))  # a row a query term; one row
-    if keep is not None:
-        rows = rows.join(keep.select("doc_id"), "doc_id", "left_semi")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = rows.select("doc_id", "term", "tf", idf.alias("idf"), part.alias("part"))
-    return rows.join(F.broadcast(asked), F.col("term") == F.col("q")).select("query_id", "doc_id", "term", "tf", "idf", "part")
+    weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")  # one row
+    rows = postings if keep is None else postings.join(keep.select("doc_id"), "doc_id", "left_semi")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.join(asked.join(weights, "term"), "term").select("query_id", "doc_id", "term", "tf", "idf", part.alias("part"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, keep: DataFrame | None = None) -> DataFrame:

@@ -44,6 +44,17 @@ def add(store: DataFrame, document: str, chunks: DataFrame) -> DataFrame:
     return store.join(new.select("id"), "id", "left_anti").select(*store.columns).unionByName(new)
 
 
+def append_embedded(store: DataFrame, document: str, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store with a document's chunks and their vectors (chunk_index, vector), and one row: rows before, added, replaced, without (chunks without a vector, which stay out), after. Indexes of the store's words have to follow: see index.Bm25Index."""
+    have = vectors.select("chunk_index", "vector").dropDuplicates(["chunk_index"])
+    whole = chunks.drop("vector").join(have, "chunk_index")
+    out = add(store, document, whole)
+    ids = whole.select(F.concat(F.lit(document + "#"), F.col("chunk_index").cast("string")).alias("id"))
+    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    totals = n(store, "before").crossJoin(n(whole, "added_")).crossJoin(n(store.join(ids, "id", "left_semi"), "replaced")).crossJoin(n(chunks, "all_"))  # one row each
+    return out, totals.select("before", (F.col("added_") - F.col("replaced")).alias("added"), "replaced", (F.col("all_") - F.col("added_")).alias("without"), (F.col("before") + F.col("added_") - F.col("replaced")).alias("after"))
+
+
 def replace(store: DataFrame, key: str, rows: DataFrame) -> DataFrame:
     """store without the rows whose key is among those of rows, and with rows: an upsert."""
     return store.join(rows.select(key).distinct(), key, "left_anti").select(*store.columns).unionByName(rows, allowMissingColumns=True)

@@ -59,6 +59,9 @@ def test_chunks(spark):
 
 def test_store(spark):
     s = store.add(store.empty(spark), "d", spark.createDataFrame([(0, 1, "fixed", 1, "a", [1.0, 0.0]), (1, 1, "fixed", 1, "b", [0.0, 1.0])], "chunk_index int, page int, strategy string, n_chars int, text string, vector array<float>"))
+    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.5, 0.5])], "chunk_index int, vector array<float>")
+    more, totals = store.append_embedded(s, "d", spark.createDataFrame([(i, 1, "fixed", 1, t) for i, t in ((1, "b"), (2, "c"), (3, "d"))], "chunk_index int, page int, strategy string, n_chars int, text string"), v)
+    assert totals.first().asDict() == {"before": 2, "added": 1, "replaced": 1, "without": 1, "after": 3} and {r.id for r in more.collect()} == {"d#0", "d#1", "d#2"}
     s = store.add_generated(s, spark.createDataFrame([("answer", [1.0, 1.0], "q" * 400, "bm25", "d#0", 7, "now")], "text string, vector array<float>, question string, engine string, based_on string, at long, created string"))
     got = {r.id: r for r in s.collect()}
     assert set(got) == {"d#0", "d#1", "gen#7"} and got["gen#7"].chunk_index == 2 and len(got["gen#7"].question) == 300
