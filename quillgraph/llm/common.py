@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,26 @@ def small_batches(spark: SparkSession, rows: int = BATCH):
         spark.conf.set(key, before)
 
 
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary that a Python worker keeps from task to task, until free."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def free() -> None:
+    """Give back what this worker keeps of earlier stages, and memory that it has freed: a worker outlives its stages, and an executor has the memory of all its workers to hold."""
+    for c in _caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 SLOTS = 1 << 20  # bound of the rows that are broadcast to tell which rows a few ids may mean
 
 

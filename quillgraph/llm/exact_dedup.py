@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, drop, left, parted, plain, staged, without
+from .common import WS, drop, free, left, parted, plain, staged, without
 
 FIRST_DIGIT, GROWTH = 48, 8
 HOT, HOT_BYTES = 1000, 64 << 20  # groups that are broadcast in a round, and the bytes of their digits, at most
 
 
 def _normalised(batches):
+    free()
     for b in batches:
         norm, cps, sha = [], [], []
         for t in b.column("text").to_pylist():

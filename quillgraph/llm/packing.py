@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import cache, staged
 
 CAPACITY = 4096
 WIDTH = 16
@@ -111,7 +111,7 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache()
 
 
 def encoder(path: str) -> Encoder:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, left, parted, plain, small_batches, staged, unstage, without
+from .common import drop, free, left, parted, plain, small_batches, staged, unstage, without
 
 BITS, SEGMENTS = 4, ((0, 21), (21, 42), (42, 64))
 SHINGLE = 5  # words of near_dedup's shingles
@@ -187,6 +187,7 @@ def _lists(sets):
 
 
 def _shingled(batches):
+    free()
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column("rid"), _lists([shingles(t) for t in b.column("text").to_pylist()])], ["rid", "set"])
 
@@ -218,6 +219,7 @@ def _prefixes(common, ranks):
     """A row for each text: a digest, the size, the sketch and the brief sketch of its set, and the set's prefix in the order."""
 
     def run(batches):
+        free()
         for b in batches:
             digest, sizes, sketches, briefs, heads = [], [], [], [], []
             for t in b.column("text").to_pylist():
@@ -237,6 +239,7 @@ def _prefixes(common, ranks):
 
 def _whole_runs(batches):
     """Tables of rows that come sorted by key, cut between keys only."""
+    free()
     wait = []
     for b in batches:
         if not b.num_rows:
