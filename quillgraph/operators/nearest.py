@@ -4,6 +4,8 @@ Vectors are put on the unit sphere once. PIVOTS of them (bounded, so that they m
 is nearer to a query than the query's own angle to the pivot is to [lo, hi]. Queries are blocked likewise. First each query meets the blocks nearest to it by that bound, which gives a lower bound of its k-th best score; then all pairs of blocks in which some query's bound
 reaches its own go to one matrix product each. Where there is no structure (random directions), few pairs are skipped, and the rest is a join in blocks.
 
+Up to FEW queries, as many as may go to every task, meet all rows in one pass instead, which costs less than finding bounds.
+
 Nulls and numbers that aren't finite count as zeros; vectors without a norm have similarity 0 to all; shorter vectors count as padded with zeros. Null vectors go. Scores are rounded to four decimals before ranking, ties go by id.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from quillgraph.sources.versions import scratch
 
 PIVOTS = 64
+FEW = 512  # queries that go to every task
 ROWS = 1024  # of a block
 SLACK = 2e-4  # scores tie when they are equal to four decimals
 TILE = 1 << 22  # scores that a task holds at once
@@ -102,11 +105,6 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, tag: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _bound(angle, lo, hi):
-    """The greatest cosine that a row of a shell may have to a query at that angle to the pivot."""
-    return np.cos(np.maximum(0.0, np.maximum(lo - angle, angle - hi)))
-
-
 def _placed(pivots: np.ndarray, kind: pa.DataType):
     """Each query's place in its block, and its angle to each pivot: block, query_id, cell, angle."""
 
@@ -120,10 +118,9 @@ def _placed(pivots: np.ndarray, kind: pa.DataType):
     return run
 
 
-def _scored(k: int, qkind: pa.DataType, kind: pa.DataType, grouping: pa.DataType, counter=None):
-    """Pairs of blocks: of each query that may find something there (own: place and bound), what may be among its k best."""
-
+def _best(k: int):
     def best(scores: np.ndarray, least: float, ids: list):
+        """Places of what may be among the k best: all that ties with the k-th to four decimals."""
         keep = np.flatnonzero(scores >= least)
         if keep.size > k:
             kth = np.partition(scores[keep], keep.size - k)[keep.size - k]
@@ -136,6 +133,42 @@ def _scored(k: int, qkind: pa.DataType, kind: pa.DataType, grouping: pa.DataType
             keep = np.array(order)[at < k]
         return keep
 
+    return best
+
+
+def _direct(k: int, qids: list, q: np.ndarray, qkind: pa.DataType, kind: pa.DataType, grouping: pa.DataType, counter=None):
+    """All rows against a few queries."""
+    best = _best(k)
+
+    def run(batches):
+        for b in batches:
+            u, ids, groups = units(b.column("v")), b.column("id").to_pylist(), b.column("g").to_pylist()
+            width = min(u.shape[1], q.shape[1])
+            of: dict = {}
+            for i, g in enumerate(groups):
+                of.setdefault(g, []).append(i)
+            if counter is not None:
+                counter.add(len(ids) * len(qids))
+            out = ([], [], [], [])
+            for g, rows in of.items():
+                for s in range(0, len(rows), max(1, TILE // max(1, len(qids)))):
+                    part = rows[s : s + max(1, TILE // max(1, len(qids)))]
+                    own = [ids[i] for i in part]
+                    for i, line in zip(qids, q[:, :width] @ u[part, :width].T):
+                        keep = best(line, -2.0, own)
+                        out[0].extend([i] * keep.size)
+                        out[1].extend([g] * keep.size)
+                        out[2].extend(own[j] for j in keep)
+                        out[3].extend(line[keep].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (qkind, grouping, kind, pa.float64()))], ["query_id", "g", "id", "raw"])
+
+    return run
+
+
+def _scored(k: int, qkind: pa.DataType, kind: pa.DataType, grouping: pa.DataType, counter=None):
+    """Pairs of blocks: of each query that may find something there (own: place and bound), what may be among its k best."""
+    best = _best(k)
+
     def run(batches):
         for b in batches:
             for g, ids, dim, m, qids, qdim, qm, own in zip(*(b.column(c).to_pylist() for c in ("g", "ids", "dim", "m", "qids", "qdim", "qm", "own"))):
@@ -159,23 +192,27 @@ def _scored(k: int, qkind: pa.DataType, kind: pa.DataType, grouping: pa.DataType
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, pivots: int = PIVOTS, counter=None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, pivots: int = PIVOTS, few: int = FEW, counter=None) -> DataFrame:
     """(query_id, rank, id_col, score): of the rows that keep allows, the k most similar ones to each query (query_id, q), ties by id; with group, of each of its values (and that column). A filter comes before the cut, so k rows come back where
     there are as many. Query ids must differ. counter: an accumulator of the pairs that are scored after the first bound."""
     rows = vectors if keep is None else vectors.where(keep)
     rows = rows.where(F.col(vector).isNotNull()).select((F.col(group) if group else F.lit(0)).alias("g"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where("q is not null").select(F.lit(0).alias("g"), F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    kinds = {n: {f.name: f.type for f in d.limit(0).toArrow().schema} for n, d in (("rows", rows), ("asked", asked))}
+    kind, qkind, grouping = kinds["rows"]["id"], kinds["asked"]["id"], kinds["rows"]["g"]
+    of = {f.name: f.dataType.simpleString() for f in rows.schema} | {"q": asked.schema["id"].dataType.simpleString()}
+    hits = f"query_id {of['q']}, g {of['g']}, id {of['id']}, raw double"
+    own = asked.select("id", "v").limit(few + 1).toArrow() if few else None
+    if own is not None and own.num_rows <= few:
+        q = units(own.column("v").combine_chunks()) if own.num_rows else np.zeros((0, 0))
+        return _ranked(rows.mapInArrow(_direct(k, own.column("id").to_pylist(), q, qkind, kind, grouping, counter), hits), k, id_col, group)
     # A bounded sample: which pivots there are changes what is skipped, not what is found.
     some = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow()
     p = units(some.column("v").combine_chunks()) if some.num_rows else np.zeros((0, 0))
     p = p[np.any(p != 0, axis=1)] if len(p) else p
     p = p if len(p) else np.ones((1, 1))
-    kinds = {n: {f.name: f.type for f in d.limit(0).toArrow().schema} for n, d in (("rows", rows), ("asked", asked))}
-    kind, qkind, grouping = kinds["rows"]["id"], kinds["asked"]["id"], kinds["rows"]["g"]
-    of = {f.name: f.dataType.simpleString() for f in rows.schema} | {"q": asked.schema["id"].dataType.simpleString()}
     blocks, qblocks = _blocks(rows, p, "near-rows"), _blocks(asked, p, "near-queries")
     qb = qblocks.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("dim").alias("qdim"), F.col("m").alias("qm"))
-    hits = f"query_id {of['q']}, g {of['g']}, id {of['id']}, raw double"
 
     def scored(pairs: DataFrame, count=None) -> DataFrame:
         """pairs: block, qblock, own."""
@@ -198,6 +235,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None
         kth = probe.withColumn("r_", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw")))).where(F.col("r_") <= k).where(F.col("r_") == k).select(F.col("query_id").alias("q_"), F.col("raw").alias("kth"))
         may = bounds.join(kth, F.col("query_id") == F.col("q_"), "left").withColumn("least", F.coalesce(F.col("kth") - SLACK, F.lit(-2.0))).where(F.col("most") >= F.col("least") - 1e-9)
         found = scored(listed(may), counter)
+    return _ranked(found, k, id_col, group)
+
+
+def _ranked(found: DataFrame, k: int, id_col: str, group: str | None) -> DataFrame:
     found = found.withColumn("raw", F.round("raw", 4) + F.lit(0.0))  # no negative zero
     best = Window.partitionBy("query_id", "g").orderBy(F.desc("raw"), "id")
     out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -133,14 +133,16 @@ def test_nearest_equals_brute_force(spark):
     queries = [v for v in vectors if v[0] % 50 == 0]
     q = spark.createDataFrame(queries, "query_id long, q array<double>")
     counter = spark.sparkContext.accumulator(0)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in NV.nearest(df, q, 10, pivots=24, counter=counter).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in NV.nearest(df, q, 10, pivots=24, few=0, counter=counter).collect())
     assert got == _near(vectors, queries, 10)
     assert counter.value < 0.7 * len(vectors) * len(queries)  # most blocks are passed over
+    assert got == sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in NV.nearest(df, q, 10).collect())  # all rows against a few queries
     few = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in NV.nearest(df, q, 3, F.col("vec_id") >= 1999).collect())
     assert few == _near(vectors, queries, 3, lambda i: i >= 1999)
-    by = NV.nearest(df.withColumn("kind", F.col("vec_id") % 3), q, 1, group="kind").collect()
-    assert sorted((r["query_id"], r["kind"], r["vec_id"], r["score"]) for r in by) == sorted((a, i % 3, i, s) for kind in range(3) for a, _, i, s in _near(vectors, queries, 1, lambda i, kind=kind: i % 3 == kind))
-    assert NV.nearest(df.limit(0), q, 3).count() == 0 and NV.nearest(df, q.limit(0), 3).count() == 0
+    for options in ({}, {"few": 0}):
+        by = NV.nearest(df.withColumn("kind", F.col("vec_id") % 3), q, 1, group="kind", **options).collect()
+        assert sorted((r["query_id"], r["kind"], r["vec_id"], r["score"]) for r in by) == sorted((a, i % 3, i, s) for kind in range(3) for a, _, i, s in _near(vectors, queries, 1, lambda i, kind=kind: i % 3 == kind))
+    assert NV.nearest(df.limit(0), q, 3).count() == 0 and NV.nearest(df.limit(0), q, 3, few=0).count() == 0 and NV.nearest(df, q.limit(0), 3, few=0).count() == 0 and NV.nearest(df, q.limit(0), 3).count() == 0
     # Ids may be text.
     named = NV.nearest(df.select(F.concat(F.lit("v"), "vec_id").alias("id"), F.col("embedding").alias("vector")), q.where("query_id = 50"), 1, None, "id", "vector").first()
     assert named["id"] == "v50"
