@@ -35,30 +35,13 @@ def nfc(s: Column) -> Column:
     return compose(s)
 
 
-def _uncomposed() -> str:
-    """A class of characters, at least one of which any text outside normal form C holds: those that have another form, or that join with what stands before them."""
-    loose = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.combining(chr(c)) or 0x1160 <= c < 0x1200)]
-    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
-    loose = sorted({*loose, *(int(d[1], 16) for d in pairs if len(d) == 2 and d[0][0] != "<")})
-    runs, out = [], []
-    for c in loose:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    for a, b in runs:
-        out.append(f"\\x{{{a:x}}}-\\x{{{b:x}}}")
-    return "[" + "".join(out) + "]"
-
-
-_UNCOMPOSED: list[str] = []
+#: Characters that are in normal form C whatever stands beside them: those before combining marks, most punctuation, kana, Han and Hangul syllables.
+_COMPOSED = "\\x00-\\x{2ff}\\x{2002}-\\x{2027}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{3400}-\\x{9fff}\\x{ac00}-\\x{d7a3}"
 
 
 def composed(s: Column) -> Column:
     """nfc, where only texts that may need it leave the JVM."""
-    if not _UNCOMPOSED:
-        _UNCOMPOSED.append(_uncomposed())
-    return F.coalesce(nfc(F.when(s.rlike(_UNCOMPOSED[0]), s)), s)
+    return F.coalesce(nfc(F.when(s.rlike(f"[^{_COMPOSED}]"), s)), s)
 
 
 def strip(s: Column) -> Column:

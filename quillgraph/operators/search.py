@@ -92,7 +92,8 @@ def keyword_hits(keywords: DataFrame, q: DataFrame) -> DataFrame:
     held = containing(one, texts).select("needle", "term")
     # Words that contain a keyword: a substring equals it. Keywords have LONGEST characters at most; longer ones aren't in this index.
     parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.length("needle"), F.lit(LONGEST)))), lambda n: _grams(F.col("needle"), n))))
-    holding = one.select("needle", F.explode(parts).alias("term")).join(k.select("term"), "term", "left_semi").select("needle", "term")
+    words = q.select(F.explode("words").alias("needle")).distinct()
+    holding = words.select("needle", F.explode(parts).alias("term")).join(k.select("term"), "term", "left_semi").select("needle", "term")
     longer = k.where(F.length("term") > LONGEST).select(F.col("term").alias("needle"))
     long_words = one.where(F.length("needle") > LONGEST)
     holding = holding.unionAll(containing(longer, long_words.select(F.col("needle").alias("word"), F.col("needle").alias("s"))).select(F.col("word").alias("needle"), F.col("needle").alias("term")))
