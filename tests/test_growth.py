@@ -1,15 +1,16 @@
 """Tests of what round 3 found: work that grew faster than its input."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import rerank
+from quillgraph.operators import rerank, search
 
 
 def test_evidence_of_all_is_evidence_of_each(spark):
     """In matrix products, what evidence gives row by row: shorter, null and zero vectors, ties at the base, null hits; and no plan that pairs rows."""
-    import random
-
     rng = random.Random(5)
     rows = [(i, rng.choice([0, 1, 2, None]), [rng.uniform(-1, 1) for _ in range(rng.choice([4, 4, 3]))]) for i in range(400)] + [(400, 1, None), (401, 3, [0.0] * 4), (402, 4, [-1.0, 0.0, 0.0, 0.0]), (403, 0, [1.0, None, 0.5, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
@@ -28,3 +29,24 @@ def test_evidence_marks_pairs_no_rows(spark):
 
     plan = catalog.evidence_marks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_containing_is_brute_force(spark, monkeypatch, most):
+    """With all grams in the tasks, and with a join picking them."""
+    rng = random.Random(3)
+    monkeypatch.setattr(search, "GRAMS", most)
+    texts = ["".join(rng.choice("abc가나 ") for _ in range(rng.randrange(30))) for _ in range(700)] + [None, "", "😀ab"]
+    needles = {"".join(rng.choice("abc가나 ") for _ in range(rng.randrange(1, 7))) for _ in range(40)} | {"😀", "zz", "나가나가나가"}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, s string").withColumn("x", F.col("id") % 3)
+    got = search.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), rows)
+    assert got.columns == ["needle", "id", "x"]
+    assert sorted(got.select("needle", "id").collect()) == sorted((n, i) for n in needles for i, t in enumerate(texts) if t and n in t)
+    assert search.containing(spark.createDataFrame([], "needle string"), rows).count() == 0
+
+
+def test_notes_are_not_broadcast(spark):
+    from quillgraph.plans import catalog
+
+    plan = catalog.notes_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [id#" not in plan and "BroadcastHashJoin [key#" not in plan
