@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import shared_pairs
+from .pairs import parts, shared_pairs
 from .retrieval import majority
 
+MOST_KEYWORDS = 2000  # of a view
+
 
 def refs(mentions: DataFrame) -> DataFrame:
     """(doc, chapter, term, weight): a term once a chapter, by its greatest weight."""
@@ -16,9 +18,11 @@ def refs(mentions: DataFrame) -> DataFrame:
 
 def keyword_index(r: DataFrame, chapters: DataFrame) -> DataFrame:
     """(term, n_chapters, n_docs, category): category by majority of the chapters', ties to the first chapter."""
-    counts = r.groupBy("term").agg(F.count(F.lit(1)).alias("n_chapters"), F.countDistinct("doc").alias("n_docs"))
-    cats = majority(r.join(chapters.select("chapter", "category"), "chapter"), "term", "category", "chapter")
-    return counts.join(cats, "term")
+    n = parts(r.count())
+    of_term = r.repartition(n, "term")
+    counts = of_term.groupBy("term").agg(F.count(F.lit(1)).alias("n_chapters")).join(of_term.select("term", "doc").distinct().groupBy("term").agg(F.count("doc").alias("n_docs")), "term")
+    at = r.repartition(n, "chapter").join(chapters.select("chapter", "category").repartition(n, "chapter"), "chapter")
+    return counts.join(majority(at.repartition(n, "term"), "term", "category", "chapter"), "term")
 
 
 def cooccurrence(r: DataFrame) -> DataFrame:
@@ -39,16 +43,18 @@ def neighbours(r: DataFrame, term) -> DataFrame:
 
 def neighbours_of(r: DataFrame, terms: DataFrame, n: int = 12) -> DataFrame:
     """(hit, term, shared, rank): for each of terms the n terms that share most chapters with it, ties by term."""
-    own = r.join(terms.select("term"), "term", "left_semi").select("chapter", F.col("term").alias("hit"))
-    near = r.select("chapter", "term").join(own, "chapter").where("term <> hit").groupBy("hit", "term").agg(F.count(F.lit(1)).alias("shared"))
+    p = parts(r.count())
+    own = r.select("chapter", "term").repartition(p, "term").join(terms.select("term").repartition(p, "term"), "term", "left_semi").select("chapter", F.col("term").alias("hit"))
+    near = r.select("chapter", "term").repartition(p, "chapter").join(own.repartition(p, "chapter"), "chapter").where("term <> hit").repartition(p, "hit").groupBy("hit", "term").agg(F.count(F.lit(1)).alias("shared"))
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("hit").orderBy(F.desc("shared"), "term"))).where(F.col("rank") <= n)
 
 
-def strongest(edges: DataFrame, n: int) -> DataFrame:
-    """The n strongest edges of either end, each edge once."""
-    ends = edges.select(F.col("source").alias("end_"), "source", "target", "weight").unionAll(edges.select(F.col("target").alias("end_"), "source", "target", "weight"))
+def strongest(edges: DataFrame, n: int, most: int | None = None) -> DataFrame:
+    """The n strongest edges of either end, each edge once. most: how many edges there may be; else they are counted first (write them, if they cost much)."""
+    p = parts(2 * (edges.count() if most is None else most))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("end_"), "source", "target", "weight").repartition(p, "end_")
     w = Window.partitionBy("end_").orderBy(F.col("weight").desc(), "source", "target")
-    return ends.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).groupBy("source", "target").agg(F.max("weight").alias("weight"))
+    return ends.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).repartition(p, "source", "target").groupBy("source", "target").agg(F.max("weight").alias("weight"))
 
 
 def keyword_nodes(r: DataFrame, chapters: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,18 +71,25 @@ def contains(chapters: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     return c.select(F.col("doc").cast("string").alias("source"), F.col("chapter").cast("string").alias("target"), F.lit("contains").alias("type"), F.lit(1.0).alias("weight"))
 
 
+def _edge_rows(df: DataFrame, a: str, b: str, kind: str) -> DataFrame:
+    return df.select(F.col(a).cast("string").alias("source"), F.col(b).cast("string").alias("target"), F.lit(kind).alias("type"), F.col("weight").cast("double").alias("weight"))
+
+
+def mentions(r: DataFrame) -> DataFrame:
+    """Edges from chapters to the terms that they hold."""
+    return _edge_rows(r, "chapter", "term", "mentions")
+
+
 def edges(r: DataFrame, chapters: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
     """The four kinds of edges as rows (source, target, type, weight): contains, mentions, cooccurs, shares. Only terms among keywords count, if these are given."""
     if keywords is not None:
         r = r.join(keywords.select("term"), "term", "left_semi")
-    row = lambda df, a, b, kind: df.select(F.col(a).cast("string").alias("source"), F.col(b).cast("string").alias("target"), F.lit(kind).alias("type"), F.col("weight").cast("double").alias("weight"))
-    out = contains(chapters).unionByName(row(r, "chapter", "term", "mentions"))
-    return out.unionByName(row(cooccurrence(r), "source", "target", "cooccurs")).unionByName(row(shares(r), "source", "target", "shares"))
+    return contains(chapters).unionByName(mentions(r)).unionByName(_edge_rows(cooccurrence(r), "source", "target", "cooccurs")).unionByName(_edge_rows(shares(r), "source", "target", "shares"))
 
 
 def view_keywords(keywords: DataFrame, min_count: int = 1, most: int = 400) -> DataFrame:
     """The commonest keywords that a view shows; ties by ord."""
-    return keywords.where(F.col("n_chapters") >= max(1, min_count)).orderBy(F.desc("n_chapters"), "ord").limit(min(2000, max(10, most)))
+    return keywords.where(F.col("n_chapters") >= max(1, min_count)).orderBy(F.desc("n_chapters"), "ord").limit(min(MOST_KEYWORDS, max(10, most)))
 
 
 def nodes(docs: DataFrame, chapters: DataFrame, keywords: DataFrame, include_chapters: bool = True) -> DataFrame:
@@ -89,19 +102,25 @@ def nodes(docs: DataFrame, chapters: DataFrame, keywords: DataFrame, include_cha
     return out.unionByName(keywords.select(F.col("term").cast("string").alias("id"), F.lit("keyword").alias("kind"), "label", "category", (1.5 + F.least(F.lit(10), F.col("n_chapters"))).cast("double").alias("size"), F.col("n_chapters").alias("n")))
 
 
+def view_edges(r: DataFrame, chapters: DataFrame, kept: DataFrame) -> DataFrame:
+    """What a view's links read of edges: co-occurrences of kept keywords only."""
+    own = r.join(kept.select("term"), "term", "left_semi")
+    return contains(chapters).unionByName(mentions(r)).unionByName(_edge_rows(cooccurrence(own), "source", "target", "cooccurs")).unionByName(_edge_rows(shares(r), "source", "target", "shares"))
+
+
 def view_links(all_edges: DataFrame, chapters: DataFrame, kept: DataFrame, include_chapters: bool = True, per_keyword: int = 4) -> DataFrame:
-    """Links of a view: those of kept keywords, of co-occurrences the strongest of either end, shares; without chapters, mentions go from the document. Equal links are one, with the greatest weight."""
+    """Links of a view: those of kept keywords, of co-occurrences the strongest of either end, shares; without chapters, mentions go from the document. Equal links are one, with the greatest weight; shares have each two documents once already."""
     k = kept.select(F.col("term").cast("string").alias("k_"))
     of = lambda kind: all_edges.where(F.col("type") == kind)
-    mentions = of("mentions").join(k, F.col("target") == F.col("k_"), "left_semi")
+    held = of("mentions").join(k, F.col("target") == F.col("k_"), "left_semi")
     if include_chapters:
-        out = of("contains").unionByName(mentions)
+        out = of("contains").unionByName(held)
     else:
         home = chapters.select(F.col("chapter").cast("string").alias("c_"), F.col("doc").cast("string").alias("d_"))
-        out = mentions.join(home, F.col("source") == F.col("c_")).select(F.col("d_").alias("source"), "target", "type", "weight")
+        out = held.join(home, F.col("source") == F.col("c_")).select(F.col("d_").alias("source"), "target", "type", "weight")
     both = of("cooccurs").join(k, F.col("source") == F.col("k_"), "left_semi").join(k, F.col("target") == F.col("k_"), "left_semi")
-    co = strongest(both.select("source", "target", "weight"), per_keyword).withColumn("type", F.lit("cooccurs"))
-    return merged_links(out.unionByName(co).unionByName(of("shares")))
+    co = strongest(both.select("source", "target", "weight"), per_keyword, MOST_KEYWORDS * (MOST_KEYWORDS - 1) // 2).withColumn("type", F.lit("cooccurs"))
+    return merged_links(out.unionByName(co)).unionByName(of("shares").select("type", "source", "target", "weight"))
 
 
 def merged_links(links: DataFrame) -> DataFrame:
@@ -174,12 +193,13 @@ def new_terms(r: DataFrame, known: DataFrame, doc) -> DataFrame:
 
 def document_keywords(r: DataFrame, picked: DataFrame, labels: DataFrame, n: int = 8) -> DataFrame:
     """For each document its keywords: those that a summary picked (doc, label, ord) and the document holds, then its heaviest, n in all: doc, rank, term."""
-    own = r.groupBy("doc", "term").agg(F.sum("weight").alias("w"))
+    p = parts(r.count())
+    own = r.repartition(p, "doc").groupBy("doc", "term").agg(F.sum("weight").alias("w"))
     low = labels.select(F.lower("label").alias("l_"), F.col("term").alias("lt_")).groupBy("l_").agg(F.max("lt_").alias("lt_"))
     chosen = picked.join(low, F.lower("label") == F.col("l_"), "left").select("doc", F.coalesce("lt_", F.lower("label")).alias("term"), F.col("ord").cast("double").alias("at_"))
-    chosen = chosen.join(own, ["doc", "term"], "left_semi").withColumn("first_", F.lit(0))
     rest = own.select("doc", "term", (-F.col("w")).alias("at_"), F.lit(1).alias("first_"))
-    both = chosen.unionByName(rest).groupBy("doc", "term").agg(F.min(F.struct("first_", "at_")).alias("k_"))
+    # What the document doesn't hold has no row of rest.
+    both = chosen.withColumn("first_", F.lit(0)).unionByName(rest).repartition(p, "doc").groupBy("doc", "term").agg(F.min(F.struct("first_", "at_")).alias("k_"), F.max("first_").alias("own_")).where("own_ = 1").drop("own_")
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("k_", "term"))).where(F.col("rank") <= n).select("doc", "rank", "term")
 
 

@@ -1,12 +1,14 @@
 """Tests of what round 3 found: work that grew faster than its input."""
 
+import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import rerank, search
+from quillgraph.operators import pairs, rerank, search
 
 
 def test_evidence_of_all_is_evidence_of_each(spark):
@@ -50,3 +52,32 @@ def test_notes_are_not_broadcast(spark):
 
     plan = catalog.notes_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [id#" not in plan and "BroadcastHashJoin [key#" not in plan
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_come_whole_from_split_batches(spark, monkeypatch, kind):
+    """Groups over several Arrow batches, rows that repeat, and more pairs than leave a task at once."""
+    monkeypatch.setattr(pairs, "ROWS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(4)
+        rows = [(i if kind == "long" else f"é{i}", rng.randrange(40)) for i in range(60) for _ in range(8)] + [(1 if kind == "long" else "é1", 99)]
+        got = {(r.source, r.target): r.weight for r in pairs.shared_pairs(spark.createDataFrame(rows, f"item {kind}, grp int"), "item", "grp").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for item, g in set(rows):
+        groups.setdefault(g, set()).add(item)
+    assert got == Counter(p for g in groups.values() for p in itertools.combinations(sorted(g), 2))
+
+
+@pytest.mark.parametrize("name", ["top_terms", "kg_cooccurrence", "kg_edges", "kg_edge_rows", "kg_keyword_index", "kg_neighbors", "kg_nodes", "kg_shares", "kg_view", "kg_view_links", "document_keywords"])
+def test_partitions_follow_the_rows(spark, monkeypatch, name):
+    """Where a task has so many rows at most, large tables are dealt to more tasks than there are shuffle partitions."""
+    from quillgraph.plans import catalog
+
+    asked = []
+    monkeypatch.setattr(catalog, "parts", lambda rows, *each: asked.append(rows) or pairs.parts(rows, *each), raising=False)
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert max(asked, default=0) >= spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert pairs.parts(216_000_000) > 800 and pairs.parts(0) == 1
