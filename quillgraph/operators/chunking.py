@@ -25,9 +25,18 @@ SHORT, LONG = 25, 220
 FLOOR, TAIL = 0.4, 0.2
 SEMANTIC_MOST = 2000
 
+SLICE = 256  # texts that a task takes apart at once
+
 Span = tuple[int, int]
 
 
+def _slices(batches):
+    """Batches of SLICE rows at most: what Python makes of a batch is several times its size."""
+    for b in batches:
+        for a in range(0, b.num_rows, SLICE):
+            yield b.slice(a, SLICE)
+
+
 def _trimmed(text: str, a: int, b: int) -> list[Span]:
     """The span without white space at its ends, or none."""
     piece = text[a:b]
@@ -162,7 +171,7 @@ def pack_chapters(chapters: DataFrame, target: int) -> DataFrame:
     kinds = (pa.string(), *[pa.int32()] * 6, pa.string())
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc, no, header, paras in zip(*(b.column(c).to_pylist() for c in ("doc", "chapter_no", "header", "paragraphs"))):
                 for i, (chunk, first, start, last) in enumerate(packed([(p["text"] or "", p["heading"] is not None) for p in paras or []], header or "", target)):
@@ -184,7 +193,7 @@ def chunk(docs: DataFrame, strategy: str, size: int = 500) -> DataFrame:
     cut, size = CHUNKERS[strategy], min(2000, max(100, int(size)))
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 kept = [(p.strip(), a) for p, a in cut(text or "", size) if p.strip()]
@@ -199,7 +208,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, sent_no, start, end, sentence."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = [(d, i, x, y, t[x:y]) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for i, (x, y) in enumerate(sentence_spans(t))]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "sent_no", "start", "end", "sentence"])
@@ -270,7 +279,7 @@ def chunks_of_distances(docs: DataFrame, dists: DataFrame, percentile: int = 10)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc, text, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 parts = [(p, a, len(cut) > 1) for x in own for cut in [_long_parts(text[x["a"] : x["b"]], x["a"], SEMANTIC_MOST)] for p, a in cut if p.strip()]

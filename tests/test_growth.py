@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import pairs, rerank, search
+from quillgraph.operators import chunking, pairs, rerank, search
 
 
 def test_evidence_of_all_is_evidence_of_each(spark):
@@ -81,3 +81,16 @@ def test_partitions_follow_the_rows(spark, monkeypatch, name):
     catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert max(asked, default=0) >= spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert pairs.parts(216_000_000) > 800 and pairs.parts(0) == 1
+
+
+def test_chunks_leave_a_task_in_slices(spark):
+    """However many rows an Arrow batch has, Python takes a few texts apart at once."""
+    import pyarrow as pa
+
+    n = 3 * chunking.SLICE + 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["1.1 a b.\n" * 3] * n)], ["doc_id", "text"])
+    got = list(chunking._slices([batch]))
+    assert [b.num_rows for b in got] == [chunking.SLICE] * 3 + [5] and pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    df = spark.createDataFrame([(i, "1.1 a b.\n" * (i % 4)) for i in range(n)], "doc_id long, text string").coalesce(1)
+    rows = chunking.chunk(df, "structure", 800).collect()
+    assert [r.doc_id for r in rows] == [i for i in range(n) if i % 4] and all(r.chunk_index == 0 for r in rows)
