@@ -8,8 +8,8 @@ large-star and small-star rounds over written tables.
 Rows that share a fingerprint are one node from the start, so copies never meet in pairs. Null and empty texts have fingerprint zero and link
 like any other. Rows that repeat keep a row each. A component's id is its smallest non-null doc_id.
 
-That is op9's contract. near_dedup, the pipeline's stage, links at a similarity (common shingles over all shingles) of 4/5 or more of the sets of five-word shingles, and
-misses no such pair: sets are put in one fixed order, and two sets that alike share one of their first n - ceil(4n/5) + 1 shingles. The order is by how often a
+That is op9's contract. near_dedup, the pipeline's stage, links at a similarity (common shingles over all shingles) of 4/5 or more of the sets of five-word shingles. Its candidates are the pairs that the fingerprints of five-word shingles link by the same
+signatures; the whole sets then decide. Most pairs so similar differ in more than BITS bits (about ten at 4/5), so an exact check follows that misses none: sets are put in one fixed order, and two sets that alike share one of their first n - ceil(4n/5) + 1 shingles. The order is by how often a
 sample holds a shingle, rare ones first, so the sample bears on cost only, not on what is found. Sets that meet are held to the bounds that their sizes and places give, then to the bound of their sketches (parities in slots), which loses no similar pair either; pairs left
 are compared on the whole sets. First rows of a bucket are compared with neighbours of other components only (by size, then by chance); then all pairs whose rows aren't in one component yet; those take the bound of brief sketches, of BRIEF slots, in the bucket itself. Equal sets are one node. Texts of fewer than
 five words are one shingle, so null and empty texts are alike. Shingles are 64-bit hashes, equal sets 128-bit ones.
@@ -35,17 +35,22 @@ BRIEF = 1024  # slots of the sketch that rows carry into their buckets; it bears
 SMALL = 8  # buckets up to this size are compared all at once in numpy
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def hashes(text: str | None, n: int) -> np.ndarray:
+    """Hashes of a text's n-word shingles, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    parts = [joined[a : b - 1] for a, b in zip(starts, ends[shingle - 1 :])] or [joined]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
+    parts = [joined[a : b - 1] for a, b in zip([0, *ends[:-1]], ends[n - 1 :])] or [joined]
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
+
+
+def majority_bits(h: np.ndarray) -> int:
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > h.size, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return majority_bits(hashes(text, shingle)) if text and text.strip(" \t\n\x0b\x0c\r") else 0
 
 
 def _fingerprints(shingle):
@@ -170,11 +175,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of a text's n-word shingles, ascending; a shorter text is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    parts = [joined[a : b - 1] for a, b in zip([0, *ends[:-1]], ends[n - 1 :])] or [joined]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)).view(np.int64))
+    return np.unique(hashes(text, n).view(np.int64))
 
 
 def alike(common, a, b):
@@ -216,14 +217,16 @@ def _possible(batches):
 
 
 def _prefixes(common, ranks):
-    """A row for each text: a digest, the size, the sketch and the brief sketch of its set, and the set's prefix in the order."""
+    """A row for each text: its fingerprint, a digest, the size, the sketch and the brief sketch of its set, and the set's prefix in the order."""
 
     def run(batches):
         free()
         for b in batches:
-            digest, sizes, sketches, briefs, heads = [], [], [], [], []
+            prints, digest, sizes, sketches, briefs, heads = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
-                s = shingles(t)
+                h = hashes(t, SHINGLE)
+                prints.append(majority_bits(h))
+                s = np.unique(h.view(np.int64))
                 digest.append(xxhash.xxh128_digest(s.tobytes()))
                 sizes.append(s.size)
                 sketches.append(sketch(s))
@@ -232,7 +235,7 @@ def _prefixes(common, ranks):
                     i = np.minimum(np.searchsorted(common, s), common.size - 1)
                     s = s[np.argsort(np.where(common[i] == s, ranks[i], 0), kind="stable")]
                 heads.append(s[: s.size - (4 * s.size + 4) // 5 + 1].copy())  # not the whole set
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary()), _lists(heads)], ["rid", "doc_id", "digest", "n", "sketch", "brief", "head"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(digest, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary()), _lists(heads)], ["rid", "doc_id", "fp", "digest", "n", "sketch", "brief", "head"])
 
     return run
 
@@ -357,6 +360,14 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(_similar, "u long, v long")
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (u > v) of the rows (node, fp) that the fingerprints allow: each row and the first of its fingerprint, and the firsts of fingerprints that links joins."""
+    first, _ = staged(prints.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    same = prints.join(first.withColumnRenamed("fp", "f_"), F.col("fp") == F.col("f_")).where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(first.select("fp")).join(first.toDF("a_", "x"), F.col("u") == F.col("a_")).join(first.toDF("b_", "y"), F.col("v") == F.col("b_"))
+    return same.unionAll(near.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
     """A row for each row of docs: rid, doc_id, component_id and kept, as classes has them, by similarity of shingle sets."""
     src = docs.select((F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -367,27 +378,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = part.select("rid", "text").mapInArrow(_shingled, "rid long, set array<long>").select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     often = sorted(often.where("c > 2").orderBy(F.desc("c"), "s").limit(ORDER_SHINGLES).collect())
     common, ranks = np.array([r["s"] for r in often], np.int64), np.array([r["c"] for r in often], np.int64)
-    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, digest binary, n long, sketch binary, brief binary, head array<long>"), "near-heads")
+    heads, _ = staged(src.mapInArrow(_prefixes(common, ranks), "rid long, doc_id long, fp long, digest binary, n long, sketch binary, brief binary, head array<long>"), "near-heads")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rid").alias("r")))
     nodes, _ = staged(heads.groupBy("digest").agg(F.min("rid").alias("node"), first.alias("first")), "near-nodes")
-    index = heads.join(nodes.select(F.col("node").alias("k_")), heads["rid"] == F.col("k_")).select(F.posexplode("head").alias("at", "key"), F.col("rid").alias("node"), "n")
+    sets = heads.join(nodes.select(F.col("node").alias("k_")), heads["rid"] == F.col("k_"))
+    index = sets.select(F.posexplode("head").alias("at", "key"), F.col("rid").alias("node"), "n")
     index = index.select("key", "node", "n", F.col("at").cast("long").alias("at"))
     met, _ = staged(index.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long, n long, at long"), "near-met")
 
+    def checked(pairs):
+        of = lambda *names: heads.select("rid", "n", "sketch").toDF(*names)
+        both = pairs.distinct().join(of("a_", "m", "x"), F.col("u") == F.col("a_")).join(of("b_", "n", "y"), F.col("v") == F.col("b_"))
+        got, _ = staged(both.select("u", "v", "m", "n", "x", "y").mapInArrow(_possible, "u long, v long"), "near-pairs")
+        return staged(_verified(got, src), "near-links")[0]
+
     def links_of(comp, pairs_of, *order):
-        rows = met.withColumn("root", F.col("node")) if comp is None else met.join(comp.toDF("c_", "r_"), F.col("node") == F.col("c_"), "left").select("key", "node", "n", "at", F.coalesce("r_", "node").alias("root"))
+        rows = met.join(comp.toDF("c_", "r_"), F.col("node") == F.col("c_"), "left").select("key", "node", "n", "at", F.coalesce("r_", "node").alias("root"))
         if pairs_of is _all_pairs:
             # Buckets in which components still differ: their rows get brief sketches, so that unlike pairs never leave a bucket.
             rows = rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_open, "key long, node long, n long, at long, root long")
             rows = rows.join(heads.select(F.col("rid").alias("h_"), "brief"), F.col("node") == F.col("h_")).drop("h_")
-        dealt = rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_candidates(pairs_of), "u long, v long")
-        of = lambda *names: heads.select("rid", "n", "sketch").toDF(*names)
-        both = dealt.distinct().join(of("a_", "m", "x"), F.col("u") == F.col("a_")).join(of("b_", "n", "y"), F.col("v") == F.col("b_"))
-        got, _ = staged(both.select("u", "v", "m", "n", "x", "y").mapInArrow(_possible, "u long, v long"), "near-pairs")
-        return staged(_verified(got, src), "near-links")[0]
+        return checked(rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_candidates(pairs_of), "u long, v long"))
 
-    # Neighbours by size, then by chance, join large groups at a cost in proportion to their rows. All pairs are left to find what lies between components.
-    found = links_of(None, _adjacent, "n", "node")
+    # SimHash first. The exact check follows, for the similar pairs whose fingerprints lie further apart: neighbours by size, then by chance, join large groups at a cost in proportion to their rows. All pairs are left to find what lies between components.
+    found = checked(fingerprint_pairs(sets.select(F.col("rid").alias("node"), "fp")))
+    comp, _ = staged(components(found), "near-cc")
+    found = found.unionAll(links_of(comp, _adjacent, "n", "node"))
     comp, _ = staged(components(found), "near-cc")
     for seed in range(CHANCES):
         found = found.unionAll(links_of(comp, _adjacent, F.xxhash64("node", F.lit(seed))))
