@@ -18,13 +18,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +46,8 @@ Z = 1.645  # one-sided 95 %
 GENERALISE = 0.8
 LEAST = 0.25  # of n(e, t) / n(t)
 REMOVE = 0.98
-SLOTS = 1 << 20  # hash slots that tell a task which words may disclose
+#: A Bloom filter of two hashes tells a task which words may disclose: slots for each such term, and in all (32 MB at most; beyond that it lets more words pass, and the join decides all the same).
+SLOTS_EACH, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 20, 1 << 28
 FLUSH = 200_000  # distinct terms that a task holds before it hands its counts on
 
 
@@ -174,8 +174,35 @@ def disclosing(src: DataFrame, scan: DataFrame) -> DataFrame:
     return both.where((ic > 0) & (sure >= LEAST)).select("entity", "term", (1 + F.log(sure) / ic).alias("given")).where(F.col("given") >= GENERALISE)
 
 
+def _slots(terms: int) -> int:
+    """A power of two that follows the number of terms, so that the share of other words that pass doesn't grow with it."""
+    return min(max(1 << max(SLOTS_EACH * terms - 1, 0).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+
+
+def filter_of(terms: DataFrame, col: str) -> bytes:
+    """The filter of the terms; its parts, 4 kB each, are made by tasks."""
+    slots = _slots(terms.count())
+    h = F.xxhash64(col)
+    at = F.explode(F.array(h.bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1))))
+    rows = terms.select(at.alias("at")).select((F.col("at") + 1).alias("at")).select(F.bitmap_bucket_number("at").alias("part"), F.bitmap_bit_position("at").alias("bit"))
+    bits = bytearray(slots // 8)
+    for r in rows.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        a = (r["part"] - 1) * len(r["bits"])
+        bits[a : a + len(r["bits"])] = r["bits"]
+    return bytes(bits)
+
+
+def _in(bits: bytes, word: str) -> bool:
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+    for x in (h, h >> 32):
+        x &= len(bits) * 8 - 1
+        if not bits[x >> 3] >> (x & 7) & 1:
+            return False
+    return True
+
+
 def _places(bits: bytes):
-    """Where terms stand whose hash is among bits: those that disclose, and few others."""
+    """Where terms stand that the filter lets pass: those that disclose, and few others."""
 
     def run(batches):
         known: dict[str, bool] = {}
@@ -184,8 +211,7 @@ def _places(bits: bytes):
             if (got := known.get(w)) is None:
                 if len(known) > FLUSH:
                     known.clear()
-                h = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS
-                got = known[w] = bool(bits[h >> 3] >> (h & 7) & 1)
+                got = known[w] = _in(bits, w)
             return got
 
         for b in batches:
@@ -210,9 +236,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_co
         src, _ = staged(src, "pii-docs")  # written, so that row numbers don't change
     scan, _ = staged(src.mapInArrow(_scan, SCAN), "pii")
     rules, _ = staged(disclosing(src, scan).groupBy("term").agg(F.max("given").alias("g")).withColumnRenamed("term", "t_"), "pii-rules")
-    bits = np.zeros(SLOTS, bool)
-    bits[[r[0] for r in rules.select(F.crc32(F.col("t_").cast("binary")) % SLOTS).distinct().collect()]] = True
-    places = src.select("rid", "text").mapInArrow(_places(np.packbits(bits, bitorder="little").tobytes()), "rid long, term string, a long, b long")
+    places = src.select("rid", "text").mapInArrow(_places(filter_of(rules, "t_")), "rid long, term string, a long, b long")
     hits = places.join(rules, F.col("term") == F.col("t_")).select("rid", F.struct("a", "b", F.when(F.col("g") >= REMOVE, "gone").otherwise("term").alias("kind")).alias("x"))
     # A document's own spans, as many as it has words at most.
     hits = hits.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("extra")).withColumnRenamed("rid", "r_")

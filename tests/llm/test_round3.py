@@ -2,7 +2,9 @@
 
 import random
 
-from quillgraph.llm import simhash
+from pyspark.sql import functions as F
+
+from quillgraph.llm import pii, simhash
 
 
 def test_near_dedup_has_fingerprints(spark, monkeypatch):
@@ -20,3 +22,13 @@ def test_near_dedup_has_fingerprints(spark, monkeypatch):
     sets = [set(simhash.shingles(t).tolist()) for t in rows]
     assert first[0] and all((prints[u] ^ prints[v]).bit_count() <= 4 and 5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v]) for u, v in first[0])
     assert got == {i: i - i % 3 if i < 18 else 18 if i < 20 else 20 for i in range(22)}
+
+
+def test_filter_follows_its_terms(spark):
+    """However many terms disclose, all of them pass the tasks' filter, and few other words do."""
+    n = 300_000
+    bits = pii.filter_of(spark.range(n, numPartitions=4).select(F.concat(F.lit("é가t"), "id").alias("t_")), "t_")
+    assert len(bits) * 8 >= 16 * n
+    assert all(pii._in(bits, f"é가t{i}") for i in range(0, n, 7))
+    assert sum(pii._in(bits, f"é가u{i}") for i in range(20_000)) < 600
+    assert not pii._in(pii.filter_of(spark.range(0).select(F.col("id").cast("string").alias("t_")), "t_"), "a")
