@@ -94,3 +94,22 @@ def test_chunks_leave_a_task_in_slices(spark):
     df = spark.createDataFrame([(i, "1.1 a b.\n" * (i % 4)) for i in range(n)], "doc_id long, text string").coalesce(1)
     rows = chunking.chunk(df, "structure", 800).collect()
     assert [r.doc_id for r in rows] == [i for i in range(n) if i % 4] and all(r.chunk_index == 0 for r in rows)
+
+
+def test_index_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """A bucket's postings are several tasks' where there are many, texts are counted where they are, and searches give the same."""
+    from quillgraph.operators import index, retrieval
+
+    for name in ("TEXTS", "FORWARD", "POSTINGS"):
+        monkeypatch.setattr(index, name, 8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 23}" for k in range(i % 9))) for i in range(60)] + [(60, "소프트에러 가 ABC abc")], "doc_id long, text string")
+    i = index.Bm25Index(spark, str(tmp_path / "i"), 2)
+    i.update(docs)
+    files = [p for p in (tmp_path / "i" / "data").glob("*/bucket_=0/*.parquet")]
+    assert len(files) > 3
+    q = spark.createDataFrame([(1, "w1 w2 abc"), (2, "프트")], "query_id long, text string")
+    want = sorted(map(str, retrieval.bm25(docs, q).collect()))
+    assert sorted(map(str, i.search(q, 100).select("query_id", "doc_id", "score", "matched").collect())) == want
+    i.update(docs.where("doc_id < 30"))
+    i.compact()
+    assert sorted(map(str, i.search(q, 100).select("query_id", "doc_id", "score", "matched").collect())) == want
