@@ -113,3 +113,16 @@ def test_index_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     i.update(docs.where("doc_id < 30"))
     i.compact()
     assert sorted(map(str, i.search(q, 100).select("query_id", "doc_id", "score", "matched").collect())) == want
+
+
+def test_frequency_keywords_pass_a_text_once(spark):
+    """What needs normal form C is told by one run from a text's start, and words found in a text aren't normalised one by one; keywords are as before."""
+    rng = random.Random(8)
+    made = ["".join(rng.choice("aZé가\n😀́̈漢 -가") for _ in range(rng.randrange(12))) for _ in range(800)] + ["", None, "a\n", "\ń"]
+    df = spark.createDataFrame([(s,) for s in made], "s string")
+    assert [r[0] for r in df.coalesce(1).select(text.composed(F.col("s"))).collect()] == [s and __import__("unicodedata").normalize("NFC", s) for s in made]
+    c = spark.createDataFrame([(1, "“Alpha”, beta: (The) 42", "Gamma gamma Gamma 소프트에러 Delta_x Alpha Cafés 소프트에러 가\n(Delta)."), (2, None, "Omega"), (3, "Omega", None)], "chapter long, title string, text string")
+    got = sorted((r.chapter, r.pos, r.term, r.label, r.weight) for r in search.frequency_keywords(c).collect())
+    assert got == [(1, 1, "alpha", "“Alpha”", 1.0), (1, 2, "beta", "beta", 0.8), (1, 3, "gamma", "Gamma", 0.4), (1, 4, "소프트에러", "소프트에러", 0.4), (1, 5, "delta", "Delta", 0.2), (2, 1, "omega", "Omega", 1.0), (3, 1, "omega", "Omega", 1.0)]
+    plan = search.frequency_keywords(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(" in plan.upper() and plan.count("*+\\z") == plan.upper().count("RLIKE(") - plan.count("^[0-9]+$")
