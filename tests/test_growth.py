@@ -100,7 +100,7 @@ def test_index_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     """A bucket's postings are several tasks' where there are many, texts are counted where they are, and searches give the same."""
     from quillgraph.operators import index, retrieval
 
-    for name in ("TEXTS", "FORWARD", "POSTINGS"):
+    for name in ("TEXTS", "FORWARD", "POSTINGS", "PARTS"):
         monkeypatch.setattr(index, name, 8)
     docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 23}" for k in range(i % 9))) for i in range(60)] + [(60, "소프트에러 가 ABC abc")], "doc_id long, text string")
     i = index.Bm25Index(spark, str(tmp_path / "i"), 2)
@@ -110,6 +110,7 @@ def test_index_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     q = spark.createDataFrame([(1, "w1 w2 abc"), (2, "프트")], "query_id long, text string")
     want = sorted(map(str, retrieval.bm25(docs, q).collect()))
     assert sorted(map(str, i.search(q, 100).select("query_id", "doc_id", "score", "matched").collect())) == want
+    assert i.parts(q).rdd.getNumPartitions() > 4
     i.update(docs.where("doc_id < 30"))
     i.compact()
     assert sorted(map(str, i.search(q, 100).select("query_id", "doc_id", "score", "matched").collect())) == want
