@@ -100,8 +100,9 @@ def test_index_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     """A bucket's postings are several tasks' where there are many, texts are counted where they are, and searches give the same."""
     from quillgraph.operators import index, retrieval
 
-    for name in ("TEXTS", "FORWARD", "POSTINGS", "PARTS"):
+    for name in ("TEXTS", "FORWARD", "POSTINGS"):
         monkeypatch.setattr(index, name, 8)
+    monkeypatch.setattr(index, "PARTS", 1)
     docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 23}" for k in range(i % 9))) for i in range(60)] + [(60, "소프트에러 가 ABC abc")], "doc_id long, text string")
     i = index.Bm25Index(spark, str(tmp_path / "i"), 2)
     i.update(docs)
