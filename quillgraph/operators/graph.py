@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import parts, shared_pairs
+from .pairs import parts, shared_counts, shared_pairs
 from .retrieval import majority
 
 MOST_KEYWORDS = 2000  # of a view
@@ -35,6 +35,11 @@ def shares(r: DataFrame) -> DataFrame:
     return shared_pairs(r, "doc", "term")
 
 
+def partners(r: DataFrame) -> DataFrame:
+    """(doc, partners, shared): for each document how many others share terms with it, and the sum of the weights of these edges."""
+    return shared_counts(r, "doc", "term").withColumnRenamed("item", "doc")
+
+
 def neighbours(r: DataFrame, term) -> DataFrame:
     """(term, shared): terms in the chapters of one term."""
     own = r.where(F.col("term") == term).select("chapter")
